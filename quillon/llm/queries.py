@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import neardup
+from . import neardup, quality_rules
 from .common import load
 
 QUERIES = {
+    "op3_quality_rules": lambda spark, d: quality_rules.judged(load(spark, d, "documents"), load(spark, d, "labels")),
     "op2_near_duplicates": lambda spark, d: neardup.near_duplicates(load(spark, d, "documents")),
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_quality_rules": quality_rules.ORACLE,
+}
