@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import neardup, quality_rules
+from . import neardup, quality_rules, secrets
 from .common import load
 
 QUERIES = {
+    "op7_secret_scan": lambda spark, d: secrets.find_secrets(load(spark, d, "documents")),
     "op3_quality_rules": lambda spark, d: quality_rules.judged(load(spark, d, "documents"), load(spark, d, "labels")),
     "op2_near_duplicates": lambda spark, d: neardup.near_duplicates(load(spark, d, "documents")),
 }
