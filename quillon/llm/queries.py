@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, neardup, quality_rules, secrets
+from . import bpe, mil, neardup, quality_rules, secrets
 from .common import load
 
 QUERIES = {
+    "op10_attention_mil": lambda spark, d: mil.scored(load(spark, d, "documents"), load(spark, d, "labels")),
     "op5_bpe": lambda spark, d: bpe.encoded_and_decoded(load(spark, d, "documents")),
     "op7_secret_scan": lambda spark, d: secrets.find_secrets(load(spark, d, "documents")),
     "op3_quality_rules": lambda spark, d: quality_rules.judged(load(spark, d, "documents"), load(spark, d, "labels")),
