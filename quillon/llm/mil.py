@@ -80,7 +80,7 @@ class Encoder:
         return out
 
 
-def telling_words(texts: list[str], labels: np.ndarray, most: int, least_chi2: float = 32.0, least_share: float = 0.005) -> list[str]:
+def telling_words(texts: list[str], labels: np.ndarray, most: int, least_chi2: float = 32.0) -> list[str]:
     """Words whose presence parts the labels most by chi-square, at least 32 (chance, over any number of words, seldom reaches it); ties by the word."""
     total, ones = Counter(), Counter()
     for text, y in zip(texts, labels):
@@ -93,7 +93,7 @@ def telling_words(texts: list[str], labels: np.ndarray, most: int, least_chi2: f
         return []
     scored = []
     for w, t in total.items():
-        if t < max(5, n * least_share) or t > 0.9 * n or not w:
+        if t < 5 or t > 0.9 * n or not w:
             continue
         want = t * pos / n
         score = (ones[w] - want) ** 2 * (1 / want + 1 / (t - want)) * n / (n - t)
