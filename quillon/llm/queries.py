@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, mil, neardup, quality_rules, secrets
+from . import bpe, mil, neardup, quality_rules, secrets, warc
 from .common import load
 
 QUERIES = {
+    "op9_warc": lambda spark, d: warc.pages_through_warc(spark, load(spark, d, "pages")),
     "op10_attention_mil": lambda spark, d: mil.scored(load(spark, d, "documents"), load(spark, d, "labels")),
     "op5_bpe": lambda spark, d: bpe.encoded_and_decoded(load(spark, d, "documents")),
     "op7_secret_scan": lambda spark, d: secrets.find_secrets(load(spark, d, "documents")),
@@ -14,5 +15,7 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op9_warc": warc.ORACLE,
+
     "op3_quality_rules": quality_rules.ORACLE,
 }
