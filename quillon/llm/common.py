@@ -68,6 +68,11 @@ class Written:
         drop_path(self.spark, self.path)
 
 
+def sized(ids: DataFrame, rows: int = 2_000_000) -> DataFrame:
+    """A written table of ids, to be broadcast if it is counted to hold few rows; else Spark shuffles both sides."""
+    return F.broadcast(ids) if ids.count() <= rows else ids
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete every scratch table of this library in the shared folder."""
     drop_path(spark, f"{shared_dir(spark)}/quillon")

@@ -19,14 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, WordHash, Written, connected, id_text
+from .common import WORD, WordHash, Written, connected, id_text, sized
 
 
 @dataclass(frozen=True)
 class Params:
-    shingle: int = 3  #: words a shingle
-    threshold: float = 0.5  #: least Jaccard similarity of near copies
-    bands: int = 36
+    shingle: int = 4  #: words a shingle
+    threshold: float = 0.45  #: least Jaccard similarity of near copies
+    bands: int = 48
     rows: int = 4
     universe_bits: int = 20
     seed: int = 7
@@ -116,15 +116,13 @@ def jaccard(a: set, b: set) -> float:
     return both / (len(a) + len(b) - both) if a or b else 0.0
 
 
-def verified(pairs: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, p: Params) -> Written:
     """Of pairs (a, b) those whose texts' exact Jaccard similarity reaches the threshold."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.join(wanted, "doc_id", "left_semi")
-    joined = (
-        pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right")), "b")
-        .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), "a")
-        .select("a", "b", "left", "right")
-    )
+    wanted = Written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
+    texts = Written(docs.join(sized(wanted.df), "doc_id", "left_semi"), "texts")
+    wanted.drop()
+    left, right = (texts.df.select(F.col("doc_id").alias(x), F.col("text").alias(y)) for x, y in (("a", "left"), ("b", "right")))
+    joined = pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right")
 
     def batches(it):
         last, of_last = None, set()
@@ -138,7 +136,9 @@ def verified(pairs: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
                 out.append(jaccard(of_last, shingle_set(right[k].as_py(), p.shingle)))
             yield pa.record_batch([a, b, pa.array(out, pa.float64())], names=["a", "b", "jaccard"])
 
-    return joined.mapInArrow(batches, "a long, b long, jaccard double").where(F.col("jaccard") >= p.threshold)
+    found = Written(joined.mapInArrow(batches, "a long, b long, jaccard double").where(F.col("jaccard") >= p.threshold).select("a", "b").distinct(), "verified")
+    texts.drop()
+    return found
 
 
 def near_duplicates(df: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -154,8 +154,8 @@ def near_duplicates(df: DataFrame, p: Params = Params(), id_col: str = "doc_id",
     signed = Written(signatures(docs, p), "signed")
     #: one document stands for all that have the same words; it is the one with the smallest id
     same = Window.partitionBy("norm")
-    exact = Written(signed.df.select("doc_id", "norm").distinct().select("doc_id", F.min("doc_id").over(same).alias("rep")).where("doc_id <> rep"), "exact")
-    standing = signed.df.join(exact.df.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.explode("keys").alias("key"))
+    exact = Written(signed.df.select("doc_id", "norm").distinct().select("doc_id", "norm", F.min("doc_id").over(same).alias("rep")).where("doc_id <> rep"), "exact")
+    standing = signed.df.join(exact.df.select("doc_id", "norm"), ["doc_id", "norm"], "left_anti").select("doc_id", F.explode("keys").alias("key"))
     bucket = Window.partitionBy("key")
     shared = Written(
         standing.select("key", "doc_id", F.min("doc_id").over(bucket).alias("centre"), F.max("doc_id").over(bucket).alias("most"))
@@ -165,7 +165,7 @@ def near_duplicates(df: DataFrame, p: Params = Params(), id_col: str = "doc_id",
     )
 
     stars = Written(shared.df.where("centre <> doc_id").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
-    first = Written(verified(stars.df, docs, p).select("a", "b").distinct(), "first")
+    first = verified(stars.df, docs, p)
     groups = connected(first.df, "first-groups")
     label = groups.df.select(F.col("node").alias("doc_id"), "label")
     placed = shared.df.select("key", "doc_id").join(label, "doc_id", "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label"))
@@ -181,7 +181,8 @@ def near_duplicates(df: DataFrame, p: Params = Params(), id_col: str = "doc_id",
         .distinct()
         .join(stars.df, ["a", "b"], "left_anti")
     )
-    second = Written(verified(rest, docs, p).select("a", "b").distinct(), "second")
+    rest = Written(rest, "rest")
+    second = verified(rest.df, docs, p)
     edges = first.df.union(second.df).union(exact.df.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
     whole = connected(edges, "groups")
     copies = exact.df.select("doc_id").union(exact.df.select("rep")).distinct().withColumn("exact", F.lit(True))
@@ -191,7 +192,7 @@ def near_duplicates(df: DataFrame, p: Params = Params(), id_col: str = "doc_id",
         .select("doc_id", "group_id", (F.col("doc_id") == F.col("group_id")).alias("kept"), F.coalesce("exact", F.lit(False)).alias("exact")),
         "near",
     )
-    for t in (signed, exact, shared, stars, first, groups, apart, second, whole):
+    for t in (signed, exact, shared, stars, first, groups, apart, rest, second, whole):
         t.drop()
     return out.df
 
