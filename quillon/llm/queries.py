@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, mil, neardup, quality_rules, secrets, warc
+from . import bpe, latent, mil, neardup, quality_rules, secrets, warc
 from .common import load
 
 QUERIES = {
+    "op6_benchmark_leaks": lambda spark, d: latent.leaks(load(spark, d, "documents"), load(spark, d, "benchmark")),
     "op9_warc": lambda spark, d: warc.pages_through_warc(spark, load(spark, d, "pages")),
     "op10_attention_mil": lambda spark, d: mil.scored(load(spark, d, "documents"), load(spark, d, "labels")),
     "op5_bpe": lambda spark, d: bpe.encoded_and_decoded(load(spark, d, "documents")),
