@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, latent, mil, neardup, quality_rules, secrets, warc
+from . import bpe, latent, mil, neardup, pii, quality_rules, reply_trees, secrets, sharding, warc
 from .common import load
 
 QUERIES = {
+    "op8_personal_identifiers": lambda spark, d: pii.identifiers(load(spark, d, "documents")),
+    "op1_balanced_shards": lambda spark, d: sharding.shards(load(spark, d, "documents")),
+    "op4_reply_trees": lambda spark, d: reply_trees.branches(reply_trees.replies(load(spark, d, "conversations"))),
     "op6_benchmark_leaks": lambda spark, d: latent.leaks(load(spark, d, "documents"), load(spark, d, "benchmark")),
     "op9_warc": lambda spark, d: warc.pages_through_warc(spark, load(spark, d, "pages")),
     "op10_attention_mil": lambda spark, d: mil.scored(load(spark, d, "documents"), load(spark, d, "labels")),
@@ -16,6 +19,8 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op4_reply_trees": reply_trees.ORACLE,
+
     "op9_warc": warc.ORACLE,
 
     "op3_quality_rules": quality_rules.ORACLE,
