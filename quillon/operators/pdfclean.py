@@ -1,0 +1,166 @@
+"""Page furniture and hard wraps: extracted PDF pages to searchable text, as DataFrame plans.
+
+pages: (doc_id, page_no, text). Documents come out as (doc_id, text, error).
+"""
+
+from __future__ import annotations
+
+import shutil
+import subprocess
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from quillon.errors import PdfError
+from quillon.functions.textexpr import collapse, finished, rstrip, split_lines, strip, text, typography
+
+EDGE = 3  #: lines at each end of a page that can be furniture
+SHARE = 0.6  #: of the pages, rounded down, but two at least
+PAGE_NUMBER = r"(?iu)^(-\s*[\p{Nd}]+\s*-|(page\s+)?[\p{Nd}]+\s*(of\s+[\p{Nd}]+)?)$"
+_HEADING = "[A-Z][-A-Z '’]{6,}\\s*"
+STRUCTURAL = "^[\\s]*(§|\\([0-9A-Za-z]{1,4}\\)|\\d+\\.|(?:TITLE|DIVISION|CHAPTER|ARTICLE)\\b|Note:|" + _HEADING + "$)"
+UNTERMINATED = "[^.:;?!)\\]’\"]\\s*\\z"
+
+
+def page_number(line: Column) -> Column:
+    return strip(line).rlike(PAGE_NUMBER)
+
+
+def structural(line: Column) -> Column:
+    return line.rlike("(?Ud)" + STRUCTURAL)
+
+
+def unterminated(line: Column) -> Column:
+    return line.rlike("(?Ud)" + UNTERMINATED)
+
+
+def edge_votes(pages: DataFrame) -> DataFrame:
+    """(doc_id, line, votes): pages on which a line stands among the first or last non-blank ones."""
+    full = F.filter(F.transform(split_lines(F.col("text")), strip), lambda x: x != "")
+    n = F.size(full)
+    rest = n - EDGE
+    head = F.slice(full, F.lit(1), F.least(n, F.lit(EDGE)))
+    tail = F.when(rest > 0, F.slice(full, n - F.least(rest, F.lit(EDGE)) + 1, F.least(rest, F.lit(EDGE)))).otherwise(F.slice(full, F.lit(1), F.lit(0)))
+    edges = F.array_distinct(F.concat(head, tail))
+    return pages.select("doc_id", F.explode(edges).alias("line")).groupBy("doc_id", "line").agg(F.count("*").alias("votes"))
+
+
+def furniture(pages: DataFrame, share: float = SHARE) -> DataFrame:
+    """(doc_id, line) that stands at the edge of enough of a document's pages."""
+    sizes = pages.groupBy("doc_id").agg(F.count("*").alias("pages"))
+    needed = F.greatest(F.lit(2), F.floor(F.col("pages") * share).cast("int"))
+    return edge_votes(pages).join(sizes, "doc_id").where((F.col("pages") > 1) & (F.col("votes") >= needed)).select("doc_id", "line")
+
+
+def without_furniture(pages: DataFrame, share: float = SHARE) -> DataFrame:
+    """Pages without furniture and page numbers at their edges; a document of one page stays as it is."""
+    found = furniture(pages, share).groupBy("doc_id").agg(F.collect_set("line").alias("__f"))
+    sizes = pages.groupBy("doc_id").agg((F.count("*") > 1).alias("__many"))
+    lines, empty = split_lines(F.col("text")), F.array().cast("array<string>")
+    n = F.size(lines)
+
+    def stays(line: Column, k: Column) -> Column:
+        edge = (k < EDGE) | (k >= n - EDGE)
+        return ~(edge & (F.array_contains(F.coalesce("__f", empty), strip(line)) | page_number(line)))
+
+    kept = F.array_join(F.filter(lines, stays), "\n")
+    return pages.join(found, "doc_id", "left").join(sizes, "doc_id").select("doc_id", "page_no", F.when(F.col("__many"), kept).otherwise(F.col("text")).alias("text"))
+
+
+def rejoined_blocks(lines: DataFrame) -> DataFrame:
+    """Hard wraps undone: lines (doc_id, line_no, line) to blocks (doc_id, block, text).
+
+    Whether a line continues the one before depends on these two alone, so a running count of the
+    lines that don't numbers the blocks.
+    """
+    order = Window.partitionBy("doc_id").orderBy("line_no")
+    before = F.lag("line").over(order)
+    joins = (strip(F.col("line")) != "") & before.isNotNull() & (strip(before) != "") & ~structural(F.col("line")) & unterminated(before)
+    flagged = lines.select("doc_id", "line_no", "line", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1).alias("__new"))
+    numbered = flagged.withColumn("block", F.sum("__new").over(order))
+    last = Window.partitionBy("doc_id", "block").orderBy("line_no")
+    #: a line that is continued loses its end, one that continues both ends
+    place = numbered.withColumn("__more", F.lead("line").over(last).isNotNull())
+    part = F.when(F.col("__new") == 0, strip(F.col("line"))).when(F.col("__more"), rstrip(F.col("line"))).otherwise(F.col("line"))
+    return place.select("doc_id", "block", F.struct("line_no", part.alias("s")).alias("p")).groupBy("doc_id", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["s"]), " ").alias("text"))
+
+
+def rejoined(c: Column) -> Column:
+    """The same within one text, as an expression: no shuffle, a document stays one row."""
+    lines = split_lines(c)
+
+    def step(acc: Column, line: Column) -> Column:
+        last = F.element_at(acc, -1)
+        joins = (strip(line) != "") & (F.size(acc) > 0) & (strip(F.coalesce(last, F.lit(""))) != "") & ~structural(line) & unterminated(F.coalesce(last, F.lit("")))
+        head = F.slice(acc, F.lit(1), F.size(acc) - 1)
+        return F.when(joins, F.array_append(head, F.concat(rstrip(last), F.lit(" "), strip(line)))).otherwise(F.array_append(acc, line))
+
+    return F.array_join(F.aggregate(lines, F.array().cast("array<string>"), step), "\n")
+
+
+def clean_pages(pages: DataFrame) -> DataFrame:
+    """(doc_id, text, error): each document's pages as one text; error says why there is none.
+
+    A document whose pages are all blank has no text layer. Null page texts are blank pages.
+    """
+    own = pages.select("doc_id", "page_no", text(F.col("text")).alias("text"))
+    bare = without_furniture(own)
+    blank = own.groupBy("doc_id").agg(F.max((strip(F.col("text")) != "").cast("int")).alias("__any"))
+    one = bare.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    prepared = typography(F.replace(F.col("text"), F.lit("\f"), F.lit("\n")))
+    lines = one.select("doc_id", F.posexplode(F.transform(split_lines(prepared), rstrip)).alias("line_no", "line"))
+    blocks = rejoined_blocks(lines).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    done = blocks.select("doc_id", finished(collapse(F.col("text"))).alias("text"))
+    error = F.when(F.col("__any") == 0, F.struct(F.lit(PdfError.code).alias("code"), F.lit("every page is blank: the file has no text layer and needs OCR").alias("message")))
+    return blank.join(done, "doc_id", "left").select("doc_id", F.when(F.col("__any") == 1, F.coalesce("text", F.lit("\n"))).alias("text"), error.alias("error"))
+
+
+def clean(spark: SparkSession, pages: list[str]) -> str:
+    """One document's pages on the driver's call; raises where there is nothing to clean."""
+    if not pages:
+        raise PdfError("there are no pages: the extraction failed.")
+    rows = [("", k, p) for k, p in enumerate(pages)]
+    row = clean_pages(spark.createDataFrame(rows, "doc_id string, page_no int, text string")).first()
+    if row["error"]:
+        raise PdfError(row["error"]["message"])
+    return row["text"]
+
+
+def command(layout: bool = True) -> list[str]:
+    if not shutil.which("pdftotext"):
+        raise PdfError("pdftotext isn't installed; it comes with poppler-utils.")
+    return ["pdftotext", *(["-layout"] if layout else []), "-", "-"]
+
+
+def extract(files: DataFrame, layout: bool = True) -> DataFrame:
+    """(path, content) of PDF files to pages (doc_id, page_no, text, error), by one process a file on the executors.
+
+    A file that can't be read gives one row with an error. Needs pdftotext on every machine.
+    """
+    args = command(layout)
+
+    def run(it):
+        for pdf in it:
+            rows = []
+            for path, content in pdf.itertuples(index=False):
+                done = subprocess.run(args, input=bytes(content or b""), capture_output=True)
+                if done.returncode:
+                    rows.append((path, 0, None, f"pdftotext ended with {done.returncode}: {done.stderr.decode('utf-8', 'replace')[:200]}"))
+                else:
+                    rows += [(path, k, page, None) for k, page in enumerate(done.stdout.decode("utf-8", "replace").split("\f"))]
+            yield pd.DataFrame(rows, columns=["doc_id", "page_no", "text", "error"])
+
+    return files.select("path", "content").mapInPandas(run, "doc_id string, page_no int, text string, error string")
+
+
+def extract_file(spark: SparkSession, path, layout: bool = True) -> str:
+    from pathlib import Path
+
+    if not Path(path).exists():
+        raise PdfError(f"there is no file {path}.")
+    rows = extract(spark.read.format("binaryFile").load(str(path)), layout).orderBy("page_no").collect()
+    if rows[0]["error"]:
+        raise PdfError(rows[0]["error"])
+    return clean(spark, [r["text"] for r in rows])

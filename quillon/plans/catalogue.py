@@ -1,4 +1,340 @@
-"""The query catalogue: name -> (spark, sf_dir) -> DataFrame, and the same in DuckDB's SQL."""
+"""The query catalogue: name -> (spark, sf_dir) -> DataFrame over whole tables, and the same in DuckDB's SQL.
+
+The tables hold no manifest, so one is derived from `documents`: a row a document, validity and
+authority by its number. Every query runs the library's own operators on it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillon.functions import celex, vocab
+from quillon.functions.textexpr import sha256, split_lines, typography, utf8_size
+from quillon.operators import markup, pdfclean, search, validate
+from quillon.plans import analysis
+from quillon.sources import manifest as manifests
+from quillon.sources import store
+
+FAMILIES = {"licence": "licen[cs]e", "version": r"version \d", "mail": r"\w@\w", "control": r"\bthe\b"}
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def derived(docs: DataFrame) -> DataFrame:
+    """The manifest, with authority_rank."""
+    n = F.col("doc_id")
+    pick = lambda names, k: F.element_at(F.array(*map(F.lit, names)), (k + 1).cast("int"))
+    validity = pick(vocab.VALIDITIES, F.greatest(n % 8 - 2, F.lit(0)))
+    lang = F.element_at(F.create_map(*[F.lit(x) for kv in {"en": "eng", "fr": "fra", "de": "deu", "es": "spa"}.items() for x in kv]), F.col("lang"))
+    tier = pick(vocab.TIERS, n % 6)
+    return docs.select(
+        n.cast("string").alias("item_id"),
+        F.concat(F.lit("Doc. "), n).alias("citation"),
+        F.concat(F.lit("Document "), n, F.lit(" of "), "source").alias("title"),
+        tier.alias("authority_tier"),
+        validity.alias("validity"),
+        F.when(validity == "in-force", F.lit("")).otherwise(F.concat(F.lit("Act "), n)).alias("validity_note"),
+        F.lit("").alias("version_id"),
+        lang.alias("lang"),
+        F.concat(F.lit("https://example.org/"), n).alias("source_url"),
+        F.lit("2024-01-01").alias("retrieved"),
+        F.lit("text/plain").alias("media_type"),
+        utf8_size(F.col("text")).alias("bytes"),
+        sha256(F.col("text")).alias("sha256"),
+        vocab.rank(tier).alias("authority_rank"),
+    )
+
+
+def corpus(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, d, "documents")
+    return derived(docs), docs.select(F.col("doc_id").cast("string").alias("item_id"), "text")
+
+
+_TIER = "CASE doc_id % 6 " + " ".join(f"WHEN {k} THEN '{t}'" for k, t in enumerate(vocab.TIERS)) + " END"
+_VALIDITY = "CASE greatest(doc_id % 8 - 2, 0) " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(vocab.VALIDITIES)) + " END"
+_BANNER = "CASE validity " + " ".join(f"WHEN '{v}' THEN '{b}'" for v, b in vocab.BANNERS.items()) + " END"
+MANIFEST = f"""manifest AS (SELECT CAST(doc_id AS VARCHAR) AS item_id, 'Doc. ' || doc_id AS citation, 'Document ' || doc_id || ' of ' || source AS title,
+  {_TIER} AS authority_tier, {_VALIDITY} AS validity, CASE WHEN {_VALIDITY} = 'in-force' THEN '' ELSE 'Act ' || doc_id END AS validity_note, '' AS version_id,
+  CASE lang WHEN 'en' THEN 'eng' WHEN 'fr' THEN 'fra' WHEN 'de' THEN 'deu' WHEN 'es' THEN 'spa' END AS lang, 'https://example.org/' || doc_id AS source_url,
+  '2024-01-01' AS retrieved, 'text/plain' AS media_type, octet_length(encode(text)) AS bytes, sha256(text) AS sha256, CAST(doc_id % 6 AS INT) AS authority_rank, text FROM documents)"""
+LINES = f"""{MANIFEST}, split AS (SELECT *, string_split(text, chr(10)) AS parts FROM manifest),
+trimmed AS (SELECT *, CASE WHEN parts[-1] = '' THEN parts[:-2] ELSE parts END AS own FROM split),
+lines AS (SELECT * EXCLUDE (text, parts, own), CAST(unnest(range(1, len(own) + 1)) AS INT) AS line_no, unnest(own) AS raw FROM trimmed)"""
+_HITS = f"SELECT item_id, authority_tier, validity, line_no, trim(raw) AS line, CASE WHEN validity_note = '' THEN b ELSE left(b, length(b) - 1) || ' — ' || validity_note || ']' END AS banner FROM (SELECT *, {_BANNER} AS b FROM lines WHERE regexp_matches(raw, '(?i)licen[cs]e')) h"
+_SHOWN = ("item_id", "authority_tier", "validity", "line_no", "line", "banner")
+_SWEPT = "swept AS (" + " UNION ALL ".join(f"SELECT '{f}' AS family, item_id, authority_tier, authority_rank, validity, line_no FROM lines WHERE regexp_matches(raw, '(?i){p}')" for f, p in FAMILIES.items()) + ")"
 
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+@query(f"WITH {LINES} {_HITS}")
+def grep_hits(spark, d):
+    return search.grep(*corpus(spark, d), FAMILIES["licence"]).select(*_SHOWN)
+
+
+@query(f"WITH {LINES} {_HITS} WHERE validity = 'in-force'")
+def grep_in_force(spark, d):
+    return search.grep(*corpus(spark, d), FAMILIES["licence"], in_force_only=True).select(*_SHOWN)
+
+
+def _swept(spark, d):
+    return analysis.sweep(*corpus(spark, d), FAMILIES)
+
+
+@query(f"WITH {LINES}, {_SWEPT} SELECT family, authority_tier, count(*) AS hits, count(DISTINCT item_id) AS items FROM swept GROUP BY ALL")
+def family_sweep(spark, d):
+    return analysis.counted(_swept(spark, d), FAMILIES, "authority_tier")
+
+
+@query(
+    f"WITH {LINES}, {_SWEPT}, f AS (SELECT unnest([{', '.join(repr(f) for f in FAMILIES)}]) AS family), c AS (SELECT f.family, count(s.item_id) AS hits, count(DISTINCT s.item_id) AS items FROM f LEFT JOIN swept s ON s.family = f.family GROUP BY f.family)"
+    " SELECT *, CASE WHEN hits > 0 THEN 'found' WHEN (SELECT hits FROM c WHERE family = 'control') > 0 THEN 'absent' ELSE 'unproven' END AS status FROM c"
+)
+def control_status(spark, d):
+    return analysis.controlled(analysis.counted(_swept(spark, d), FAMILIES), "control")
+
+
+@query(f"WITH {LINES}, {_SWEPT} SELECT count(*) FILTER (family = 'licence') AS first, count(*) FILTER (family = 'version') AS second FROM swept")
+def competing_designs(spark, d):
+    return analysis.designs(_swept(spark, d), "licence", "version")
+
+
+@query(
+    f"WITH {LINES}, {_SWEPT} SELECT authority_tier, item_id, count(*) AS hits, CAST(grouping(authority_tier, item_id) AS INT) AS level FROM swept WHERE family = 'licence' GROUP BY ROLLUP (authority_tier, item_id)"
+)
+def hit_clusters(spark, d):
+    return analysis.clusters(_swept(spark, d).where("family = 'licence'"))
+
+
+@query(
+    f"WITH {LINES}, {_SWEPT} SELECT family, count(*) FILTER (CAST(item_id AS BIGINT) % 2 = 0) AS even, count(*) FILTER (CAST(item_id AS BIGINT) % 2 = 1) AS odd FROM swept GROUP BY family"
+)
+def coverage_matrix(spark, d):
+    hits = _swept(spark, d)
+    half = lambda k: hits.where(F.col("item_id").cast("long") % 2 == k)
+    return analysis.coverage(analysis.together({"even": half(0), "odd": half(1)}), "family", ["even", "odd"])
+
+
+@query(f"WITH {MANIFEST} SELECT * EXCLUDE (text, authority_rank) FROM manifest")
+def derived_manifest(spark, d):
+    return validate.validated(corpus(spark, d)[0].drop("authority_rank")).where(F.size("errors") == 0).select(*validate.COLUMNS)
+
+
+@query(f"WITH {MANIFEST} SELECT item_id, CASE WHEN validity_note = '' THEN b ELSE left(b, length(b) - 1) || ' — ' || validity_note || ']' END AS banner, validity = 'in-force' AS quotable FROM (SELECT *, {_BANNER} AS b FROM manifest) m")
+def banners(spark, d):
+    m = corpus(spark, d)[0]
+    return m.select("item_id", vocab.banner(F.col("validity"), F.col("validity_note")).alias("banner"), vocab.quotable(F.col("validity")).alias("quotable"))
+
+
+@query(f"WITH {MANIFEST} SELECT item_id, authority_rank, authority_tier FROM manifest ORDER BY authority_rank, item_id LIMIT 25")
+def authority_topk(spark, d):
+    return manifests.by_authority(corpus(spark, d)[0].select("item_id", "authority_rank", "authority_tier")).limit(25)
+
+
+@query(
+    f"WITH {MANIFEST} SELECT item_id, CASE WHEN CAST(item_id AS BIGINT) % 5 = 0 THEN 'removed' WHEN CAST(item_id AS BIGINT) % 7 = 0 THEN 'changed' ELSE 'same' END AS change FROM manifest UNION ALL SELECT 'new-' || item_id, 'added' FROM manifest WHERE CAST(item_id AS BIGINT) % 11 = 0"
+)
+def refetch_diff(spark, d):
+    old = corpus(spark, d)[0].select("item_id", "sha256")
+    n = F.col("item_id").cast("long")
+    kept = old.where(n % 5 != 0).withColumn("sha256", F.when(n % 7 == 0, F.sha2("sha256", 256)).otherwise(F.col("sha256")))
+    new = kept.unionByName(old.where(n % 11 == 0).select(F.concat(F.lit("new-"), "item_id").alias("item_id"), "sha256"))
+    return manifests.difference(old, new)
+
+
+@query(
+    f"WITH {MANIFEST} SELECT item_id, CASE WHEN n % 9 = 0 THEN 'missing' WHEN n % 7 = 0 THEN 'mismatch' ELSE 'ok' END AS status, CASE WHEN n % 9 = 0 THEN 'missing' WHEN n % 7 = 0 THEN 'mismatch' ELSE 'ok' END AS size_status FROM (SELECT item_id, CAST(item_id AS BIGINT) AS n FROM manifest) m"
+)
+def hash_audit(spark, d):
+    m, texts = corpus(spark, d)
+    n = F.col("item_id").cast("long")
+    there = texts.where(n % 9 != 0).withColumn("text", F.when(n % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return store.audit(m, there.select("item_id", sha256(F.col("text")).alias("sha256"), utf8_size(F.col("text")).alias("bytes")))
+
+
+@query(
+    f"""WITH {MANIFEST}, n AS (SELECT item_id, CAST(item_id AS BIGINT) AS n, validity FROM manifest)
+SELECT item_id, 'validity' AS field FROM n WHERE n % 6 = 1 UNION ALL SELECT item_id, 'validity_note' FROM n WHERE n % 6 = 2 AND validity <> 'in-force' UNION ALL SELECT item_id, 'lang' FROM n WHERE n % 6 = 3
+UNION ALL SELECT item_id, 'retrieved' FROM n WHERE n % 6 = 4 UNION ALL SELECT item_id, 'bytes' FROM n WHERE n % 6 = 5 UNION ALL SELECT item_id, 'sha256' FROM n WHERE n % 10 = 0 UNION ALL SELECT item_id, 'title' FROM n WHERE n % 10 = 5"""
+)
+def manifest_errors(spark, d):
+    m = corpus(spark, d)[0].drop("authority_rank")
+    n = F.col("item_id").cast("long")
+    spoil = {"validity": (n % 6 == 1, "probably"), "validity_note": (n % 6 == 2, " "), "lang": (n % 6 == 3, "english"), "retrieved": (n % 6 == 4, "31 July 2026"), "bytes": (n % 6 == 5, "lots"), "sha256": (n % 10 == 0, "abc"), "title": (n % 10 == 5, " ")}
+    bad = m.select(*[F.when(spoil[c][0], F.lit(spoil[c][1])).otherwise(F.col(c).cast("string")).alias(c) if c in spoil else F.col(c) for c in validate.COLUMNS])
+    return validate.validated(bad).select("item_id", F.explode("errors.field").alias("field"))
+
+
+@query(f"WITH {MANIFEST} SELECT item_id, CAST(2 AS BIGINT) AS n FROM manifest WHERE CAST(item_id AS BIGINT) % 10 = 3")
+def duplicate_keys(spark, d):
+    m = corpus(spark, d)[0].select("item_id")
+    return validate.duplicate_ids(m.unionByName(m.where(F.col("item_id").cast("long") % 10 == 3)))
+
+
+@query(f"WITH {MANIFEST} SELECT authority_tier, validity, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes FROM manifest GROUP BY ROLLUP (authority_tier, validity)")
+def tier_rollup(spark, d):
+    return corpus(spark, d)[0].rollup("authority_tier", "validity").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+
+
+@query(
+    f"WITH {MANIFEST}, refs AS (SELECT 'doc. ' || item_id || ' ' AS ref, item_id FROM manifest UNION ALL SELECT ' ' || item_id, item_id FROM manifest UNION ALL SELECT 'nothing ' || item_id, NULL FROM manifest) SELECT ref, item_id FROM refs"
+)
+def resolve_refs(spark, d):
+    m = corpus(spark, d)[0]
+    refs = [F.concat(F.lit("doc. "), "item_id", F.lit(" ")), F.concat(F.lit(" "), "item_id"), F.concat(F.lit("nothing "), "item_id")]
+    return search.resolved_all(m, m.select(F.explode(F.array(*refs)).alias("ref")))
+
+
+@query(
+    f"""WITH {MANIFEST} SELECT item_id, 'ok' AS status, CASE WHEN validity_note = '' THEN b ELSE left(b, length(b) - 1) || ' — ' || validity_note || ']' END || chr(10) || citation || ' — ' || title || chr(10)
+  || '  authority: ' || authority_tier || chr(10) || '  retrieved ' || retrieved || ' from ' || source_url || chr(10) || text AS quote FROM (SELECT *, {_BANNER} AS b FROM manifest) m"""
+)
+def quoted(spark, d):
+    return search.quotes(*corpus(spark, d))
+
+
+_CELEX = "CASE doc_id % 5 WHEN 0 THEN ' 32016r' || lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '0') WHEN 1 THEN '02016R0679-20160504' WHEN 2 THEN '62018CJ' || lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '0') WHEN 3 THEN '32016R0679(02)' ELSE 'the GDPR' END"
+
+
+@query(
+    f"""WITH n AS (SELECT doc_id, upper(trim({_CELEX})) AS c FROM documents), k AS (SELECT doc_id, CASE WHEN regexp_matches(c, '^[0-9]{{5}}[A-Z]{{1,2}}[0-9]{{4}}(\\([0-9]{{2}}\\))?(-[0-9]{{8}})?$') THEN c END AS celex FROM n)
+SELECT doc_id, celex, contains(celex, '-') AS consolidated, CASE WHEN NOT contains(celex, '-') THEN '0' || substr(celex, 2) || '-20240131' END AS consolidation FROM k"""
+)
+def celex_parse(spark, d):
+    raw = F.expr(_CELEX.replace("VARCHAR", "STRING"))
+    return table(spark, d, "documents").select("doc_id", celex.celex(raw).alias("celex"), celex.consolidated(raw).alias("consolidated"), celex.consolidation(raw, F.lit("2024-01-31")).alias("consolidation"))
+
+
+@query(
+    "WITH t AS (SELECT doc_id, text || chr(160) || 'C' || chr(8209) || '311' || chr(8239) || 'soft' || chr(173) || 'hyphen' || chr(8199) || '.' AS t FROM documents) SELECT doc_id, sha256(replace(replace(replace(replace(replace(t, chr(160), ' '), chr(8239), ' '), chr(8199), ' '), chr(8209), '-'), chr(173), '')) AS sha256 FROM t"
+)
+def text_hash(spark, d):
+    spoilt = F.concat("text", F.lit(" C‑311 soft­hyphen ."))
+    return table(spark, d, "documents").select("doc_id", sha256(typography(spoilt)).alias("sha256"))
+
+
+def _pages(spark, d) -> DataFrame:
+    """Documents of a source as the pages of one file."""
+    return table(spark, d, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page_no"), "text")
+
+
+@query(
+    """WITH p AS (SELECT source, doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents),
+e AS (SELECT source, doc_id, list_distinct(list_concat(l[1:3], CASE WHEN len(l) > 3 THEN l[greatest(4, len(l) - 2):] ELSE [] END)) AS edges FROM p),
+v AS (SELECT source, unnest(edges) AS line FROM e), n AS (SELECT source, count(*) AS n FROM documents GROUP BY source)
+SELECT v.source AS doc_id, line FROM v JOIN n USING (source) GROUP BY v.source, line, n HAVING count(*) >= greatest(2, CAST(floor(n * 0.05) AS INT)) AND n > 1"""
+)
+def furniture_lines(spark, d):
+    return pdfclean.furniture(_pages(spark, d), share=0.05)
+
+
+@query(
+    "SELECT source AS doc_id, doc_id AS page_no, CASE WHEN count(*) OVER (PARTITION BY source) > 1 THEN CASE WHEN right(text, 1) = chr(10) THEN left(text, length(text) - 1) ELSE text END ELSE 'Running Head' || chr(10) || text || chr(10) || 'Page ' || doc_id || ' of 9' END AS text FROM documents"
+)
+def furniture_removed(spark, d):
+    page = F.concat(F.lit("Running Head\n"), "text", F.when(F.col("text").endswith("\n"), F.lit("")).otherwise(F.lit("\n")), F.lit("Page "), "page_no", F.lit(" of 9"))
+    return pdfclean.without_furniture(_pages(spark, d).withColumn("text", page))
+
+
+_SQL_STRUCT = "^\\s*(§|\\([a-zA-Z0-9]{1,4}\\)|\\d+\\.|ARTICLE\\b|CHAPTER\\b|DIVISION\\b|TITLE\\b|Note:|[A-Z][A-Z ’''\\-]{6,}\\s*$)"
+
+
+@query(
+    f"""WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents), o AS (SELECT doc_id, CASE WHEN parts[-1] = '' THEN parts[:-2] ELSE parts END AS own FROM s),
+l AS (SELECT doc_id, unnest(range(0, len(own))) AS line_no, unnest(own) AS line FROM o), w AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS before FROM l),
+f AS (SELECT *, CASE WHEN trim(line) <> '' AND before IS NOT NULL AND trim(before) <> '' AND NOT regexp_matches(line, '{_SQL_STRUCT}') AND regexp_matches(before, '[^.:;?!)\\]’"]\\s*$') THEN 0 ELSE 1 END AS new FROM w),
+b AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY line_no) AS block FROM f),
+m AS (SELECT *, lead(line) OVER (PARTITION BY doc_id, block ORDER BY line_no) AS more FROM b)
+SELECT doc_id, CAST(block AS BIGINT) AS block, string_agg(CASE WHEN new = 0 THEN trim(line) WHEN more IS NOT NULL THEN rtrim(line) ELSE line END, ' ' ORDER BY line_no) AS text FROM m GROUP BY doc_id, block"""
+)
+def rejoined_lines(spark, d):
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(split_lines(F.col("text"))).alias("line_no", "line"))
+    return pdfclean.rejoined_blocks(lines)
+
+
+def _escaped(c):
+    return F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+
+
+def _first_line():
+    return F.element_at(split_lines(F.col("text")), 1)
+
+
+def _formex_docs(spark, d) -> DataFrame:
+    line = _escaped(_first_line())
+    art = lambda k, title: F.concat(F.lit(f'<ARTICLE IDENTIFIER="00{k}">{title}<STI.ART>Of  '), "source", F.lit("</STI.ART><ALINEA>"), line, F.lit("</ALINEA></ARTICLE>"))
+    xml = F.concat(F.lit("<ACT><CONSID><NP><NO.P>(7)</NO.P><TXT>Whereas.</TXT></NP></CONSID>"), art(1, "<TI.ART>Article 12a</TI.ART>"), art(2, ""), F.lit("</ACT>"))
+    return table(spark, d, "documents").select("doc_id", xml.alias("source"), F.col("text"))
+
+
+@query(
+    """WITH f AS (SELECT doc_id, source, trim(regexp_replace(string_split(text, chr(10))[1], '[ \\t]{2,}', ' ', 'g')) AS line FROM documents),
+l AS (SELECT *, CASE WHEN regexp_matches(line, '^[a-z(]') THEN chr(10) || ' ' ELSE chr(10) || chr(10) END AS gap FROM f)
+SELECT doc_id, 0 AS ordinal, '001' AS identifier, '12a' AS number, 'Of ' || source AS heading, 'Article 12a' || chr(10) || chr(10) || 'Of ' || source || gap || line || chr(10) AS text FROM l
+UNION ALL SELECT doc_id, 1, '002', '2', 'Of ' || source, 'Of ' || source || gap || line || chr(10) FROM l"""
+)
+def formex_articles(spark, d):
+    return markup.formex_articles(_formex_docs(spark, d))
+
+
+@query("SELECT doc_id, '7' AS number, '(7) Whereas.' || chr(10) AS text FROM documents")
+def formex_recitals(spark, d):
+    return markup.formex_recitals(_formex_docs(spark, d)).drop("ordinal")
+
+
+@query(
+    """WITH l AS (SELECT doc_id, source, trim(regexp_replace(string_split(text, chr(10))[1], '\\s+', ' ', 'g')) AS line FROM documents)
+SELECT doc_id, 'Title of ' || source AS heading, 'Title of ' || source || chr(10) || chr(10) || '(a) ' || line || chr(10) AS text, CAST(NULL AS VARCHAR) AS error FROM l"""
+)
+def caml_sections(spark, d):
+    xml = F.concat(F.lit('<caml:Content xmlns:caml="http://caml.example"><p>Title of '), "source", F.lit('</p><p/><p>(a)<span class="EnSpace"/>'), _escaped(_first_line()), F.lit("</p></caml:Content>"))
+    return markup.caml_texts(table(spark, d, "documents").select("doc_id", xml.alias("source")))
+
+
+@query("SELECT page_id AS doc_id, true AS failed FROM pages")
+def pages_not_wellformed(spark, d):
+    return markup.formex_texts(table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("source"))).select("doc_id", F.col("error").isNotNull().alias("failed"))
+
+
+@query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+def benchmark_containment(spark, d):
+    return analysis.contained(table(spark, d, "documents"), table(spark, d, "benchmark").withColumnRenamed("text", "phrase"), F.col("text"), F.col("phrase")).select("doc_id", "item_id")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS item_id, CAST(2 AS BIGINT) AS n, CAST(2 + doc_id % 2 AS BIGINT) AS expected, doc_id % 2 = 0 AS ok FROM documents")
+def shape_check(spark, d):
+    docs = _formex_docs(spark, d)
+    parts = markup.formex_articles(docs).select(F.col("doc_id").cast("string").alias("item_id"))
+    return analysis.shapes(parts, docs.select(F.col("doc_id").cast("string").alias("item_id"), (2 + F.col("doc_id") % 2).alias("expected")))
+
+
+@query(f"WITH {MANIFEST} SELECT item_id, 'of src1' AS phrase, CASE WHEN contains(lower(title), 'of src1') THEN 'confirmed' ELSE 'other' END AS status FROM manifest")
+def candidate_titles(spark, d):
+    m = corpus(spark, d)[0]
+    return analysis.candidates_verified(m.select("item_id", F.lit("of src1").alias("phrase")), m)
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'missing' ELSE 'unexpected' END AS problem FROM documents WHERE doc_id % 3 <> 1")
+def completeness_oracle(spark, d):
+    docs = table(spark, d, "documents").select("doc_id")
+    return analysis.completeness(docs.where("doc_id % 3 <> 0"), docs.where("doc_id % 3 <> 2"), "doc_id")
+
+
+@query(f"WITH {MANIFEST} SELECT m.item_id, CASE WHEN quality = 1 THEN 'controller' ELSE 'processor' END AS duty, CASE WHEN toxic = 1 THEN 'owed' ELSE 'owing' END AS direction FROM manifest m JOIN labels l ON m.item_id = CAST(l.doc_id AS VARCHAR)")
+def duty_labels(spark, d):
+    side = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("item_id"), F.when(F.col("quality") == 1, "controller").otherwise("processor").alias("duty"), F.when(F.col("toxic") == 1, "owed").otherwise("owing").alias("direction"))
+    return analysis.labelled(corpus(spark, d)[0].select("item_id"), side).where("duty IS NOT NULL")
