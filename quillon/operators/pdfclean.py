@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillon.errors import PdfError
-from quillon.functions.textexpr import collapse, finished, rstrip, split_lines, strip, text, typography
+from quillon.functions.textexpr import PYWS, collapse, finished, rstrip, split_lines, strip, text, typography
 
 EDGE = 3  #: lines at each end of a page that can be furniture
 SHARE = 0.6  #: of the pages, rounded down, but two at least
 PAGE_NUMBER = r"(?iu)^(-\s*[\p{Nd}]+\s*-|(page\s+)?[\p{Nd}]+\s*(of\s+[\p{Nd}]+)?)$"
-_HEADING = "[A-Z][-A-Z '’]{6,}\\s*"
-STRUCTURAL = "^[\\s]*(§|\\([0-9A-Za-z]{1,4}\\)|\\d+\\.|(?:TITLE|DIVISION|CHAPTER|ARTICLE)\\b|Note:|" + _HEADING + "$)"
-UNTERMINATED = "[^.:;?!)\\]’\"]\\s*\\z"
+_HEADING = "[A-Z][-A-Z '’]{6,}" + PYWS + "*"
+STRUCTURAL = "^" + PYWS + "*(§|\\([0-9A-Za-z]{1,4}\\)|\\d+\\.|(?:TITLE|DIVISION|CHAPTER|ARTICLE)\\b|Note:|" + _HEADING + "$)"
+UNTERMINATED = "[^.:;?!)\\]’\"]" + PYWS + "*\\z"
 
 
 def page_number(line: Column) -> Column:
@@ -70,7 +70,7 @@ def without_furniture(pages: DataFrame, share: float = SHARE) -> DataFrame:
 
 
 def rejoined_blocks(lines: DataFrame) -> DataFrame:
-    """Hard wraps undone: lines (doc_id, line_no, line) to blocks (doc_id, block, text).
+    """Hard wraps undone: lines (doc_id, line_no, line), without whitespace at their ends, to blocks (doc_id, block, text).
 
     Whether a line continues the one before depends on these two alone, so a running count of the
     lines that don't numbers the blocks.

@@ -12,7 +12,7 @@ from quillon.operators import validate
 def arriving(spark: SparkSession, inbox: str, files_at_once: int = 100) -> DataFrame:
     """The rows of tab-separated files put into the inbox, validated, with the time they were read."""
     schema = ", ".join(f"{c} string" for c in validate.COLUMNS)
-    rows = spark.readStream.csv(inbox, schema=schema, sep="\t", header=True, quote='"', escape='"', multiLine=True, enforceSchema=False, maxFilesPerTrigger=files_at_once)
+    rows = spark.readStream.option("maxFilesPerTrigger", files_at_once).csv(inbox, schema=schema, sep="\t", header=True, quote='"', escape='"', multiLine=True, enforceSchema=False)
     return validate.validated(rows).withColumn("seen", F.current_timestamp())
 
 

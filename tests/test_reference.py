@@ -1,0 +1,596 @@
+"""The library's own operators: rules, texts, store, search, markup, PDF clean-up, fetching, ingest, CLI, streaming."""
+
+import gzip
+import io
+import json
+import random
+import re
+import zipfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from quillon import cli, errors
+from quillon.functions import celex, textexpr, vocab
+from quillon.operators import markup, pdfclean, search, validate
+from quillon.plans import analysis, catalogue, ingest
+from quillon.sources import fetch, manifest, store
+from quillon.streaming import inbox
+
+GOOD = dict(
+    item_id="32016R0679", citation="Regulation (EU) 2016/679", title="General Data Protection Regulation", authority_tier="legislative", validity="in-force", validity_note="", version_id="02016R0679-20160504",
+    lang="eng", source_url="http://example.org/celex/32016R0679", retrieved="2026-07-31", media_type="application/xml", bytes="1833131", sha256="a" * 64,
+)
+
+
+def column(spark, values, f, kind="string"):
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], f"k int, v {kind}")
+    return [r[0] for r in df.select("k", f(F.col("v")).alias("o")).orderBy("k").select("o").collect()]
+
+
+def odd_texts(n=150, seed=0):
+    rng = random.Random(seed)
+    alphabet = [chr(c) for c in [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0x2011, 0xAD, 0x2007]] + list("aZé(§.;:1)b -\n\n\r ") + ["\r\n", "Note:", "ARTICLE", "ABC DEFGH"]
+    return ["".join(rng.choice(alphabet) for _ in range(rng.randrange(25))) for _ in range(n)] + [""]
+
+
+# --- text ---------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(
+    "f,twin",
+    [
+        (textexpr.strip, str.strip),
+        (textexpr.rstrip, str.rstrip),
+        (textexpr.squeeze, lambda s: " ".join(s.split())),
+        (textexpr.split_lines, str.splitlines),
+        (textexpr.typography, lambda s: s.translate({0xA0: " ", 0x202F: " ", 0x2007: " ", 0x2011: "-", 0xAD: None})),
+        (textexpr.utf8_size, lambda s: len(s.encode())),
+    ],
+)
+def test_text_expressions_are_pythons(spark, f, twin):
+    texts = odd_texts()
+    assert column(spark, texts, f) == [twin(t) for t in texts]
+
+
+def clean_twin(raw):
+    t = raw.replace("\r\n", "\n").translate({0xA0: " ", 0x202F: " ", 0x2007: " ", 0x2011: "-", 0xAD: None})
+    t = re.sub(r"[ \t]*\n[ \t]*", "\n", t)
+    t = re.sub(r"(?<![.:;)\]])\n(?=[a-z(])", " ", t)
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]{2,}", " ", t)).strip() + "\n"
+
+
+def test_markup_cleaning_keeps_the_order_of_its_steps(spark):
+    texts = odd_texts(seed=1) + ["x\n\n(a) y", "Sentence.\nnext", "cut\nin two"]
+    assert column(spark, texts, textexpr.clean_markup) == [clean_twin(t) for t in texts]
+
+
+def wrapped_twin(text):
+    structural = re.compile(r"\s*(?:§|\([a-zA-Z0-9]{1,4}\)|\d+\.|(?:ARTICLE|CHAPTER|DIVISION|TITLE)\b|Note:|[A-Z][A-Z ’'\-]{6,}\s*$)")
+    out = []
+    for line in text.splitlines():
+        if out and line.strip() and out[-1].strip() and not structural.match(line) and re.search("[^.:;?!)\\]’\"]\\s*$", out[-1]):
+            out[-1] = out[-1].rstrip() + " " + line.strip()
+        else:
+            out.append(line)
+    return out
+
+
+def test_rejoining_is_the_fold_over_lines(spark):
+    texts = [t for t in odd_texts(seed=2) if t] + ["means the California\nPrivacy Agency\n(a) one", "  first\nsecond", "ABC DEFGH\nx", "x\nABC DEFGH", "a\n\nb", "Ends.\nnext", "x\n§ 1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    bare = F.transform(textexpr.split_lines(F.col("text")), textexpr.rstrip)
+    blocks = pdfclean.rejoined_blocks(df.select("doc_id", F.posexplode(bare).alias("line_no", "line")))
+    got = {}
+    for r in blocks.orderBy("doc_id", "block").collect():
+        got.setdefault(r.doc_id, []).append(r.text)
+    assert [got.get(k, []) for k in range(len(texts))] == [wrapped_twin("\n".join(x.rstrip() for x in t.splitlines()) + "\n") for t in texts]
+    assert column(spark, texts, pdfclean.rejoined) == ["\n".join(wrapped_twin(t)) for t in texts]
+
+
+# --- vocabulary, CELEX ---------------------------------------------------------------------------
+
+
+def test_vocabularies_have_no_default(spark):
+    assert [v.value for v in vocab.Validity] == ["in-force", "amended", "struck-down", "read-down", "not-yet-applicable", "repealed"]
+    assert vocab.parse_validity(" Struck-Down ") is vocab.Validity.STRUCK_DOWN and vocab.parse_validity(vocab.Validity.AMENDED) is vocab.Validity.AMENDED
+    for bad in (None, "", "  ", "valid"):
+        with pytest.raises(errors.ValidityError) as e:
+            vocab.parse_validity(bad)
+        assert "in-force" in str(e.value) and e.value.code == "BK_VALIDITY_UNKNOWN" and not e.value.transient
+    assert sorted(vocab.AuthorityTier, key=lambda t: t.rank)[0].value == "constitutional" and vocab.AuthorityTier.COMMENTARY.rank == 5
+    assert vocab.quotable_as_current_law("in-force") and not vocab.quotable_as_current_law("amended")
+    rows = spark.createDataFrame([(v.value, n) for v in vocab.Validity for n in ("", "Act 5")], "v string, n string")
+    for r in rows.select("v", "n", vocab.banner(F.col("v"), F.col("n")).alias("b"), vocab.quotable(F.col("v")).alias("q")).collect():
+        assert r.b == vocab.Validity(r.v).banner(r.n) and r.q == (r.v == "in-force")
+    assert vocab.Validity.IN_FORCE.banner("x") == "[in force — x]"
+    assert column(spark, [*vocab.TIERS, "none", None], vocab.rank) == [0, 1, 2, 3, 4, 5, None, None]
+
+
+def test_errors_say_whether_a_retry_helps():
+    assert str(errors.FetchError("x", transient=True)) == "[BK_EURLEX_FETCH] x Retrying may succeed."
+    assert str(errors.FetchError("x")).endswith("Retrying will not change this; change the input instead.")
+
+
+def test_celex(spark):
+    raw = [" 32016r0679 ", "02016R0679-20160504", "62018CJ0311", "32016R0679(02)", "the GDPR", "", None, "32016R067", "32016R0679\n"]
+    want = ["32016R0679", "02016R0679-20160504", "62018CJ0311", "32016R0679(02)", None, None, None, None, "32016R0679"]
+    assert column(spark, raw, celex.celex) == want
+    for r, w in zip(raw, want):
+        if w:
+            assert celex.parse_celex(r) == w
+        else:
+            with pytest.raises(errors.FetchError):
+                celex.parse_celex(r)
+    assert celex.is_consolidated("02016R0679-20160504") and not celex.is_consolidated("32016R0679")
+    assert celex.celex_for_consolidation("32016r0679", "2016-05-04") == "02016R0679-20160504"
+    for a, b in (("02016R0679-20160504", "2016-05-04"), ("32016R0679", "4 May 2016")):
+        with pytest.raises(errors.FetchError):
+            celex.celex_for_consolidation(a, b)
+    assert column(spark, raw, lambda c: celex.consolidation(c, F.lit("2016-05-04"))) == ["02016R0679-20160504", None, "062018CJ0311"[:1] + "2018CJ0311-20160504", "02016R0679(02)-20160504", None, None, None, None, "02016R0679-20160504"]
+
+
+# --- manifest ------------------------------------------------------------------------------------
+
+BAD = [
+    ("item_id", " ", "item_id"), ("citation", None, "citation"), ("title", "", "title"), ("source_url", "\t", "source_url"), ("validity", "", "validity"), ("validity", "valid", "validity"), ("authority_tier", None, "authority_tier"),
+    ("validity", "repealed", "validity_note"), ("lang", "english", "lang"), ("lang", "", "lang"), ("retrieved", "31 July 2026", "retrieved"), ("bytes", "lots", "bytes"), ("bytes", "-1", "bytes"), ("bytes", "1__0", "bytes"), ("bytes", "9" * 30, "bytes"), ("bytes", None, "bytes"),
+    ("sha256", "a" * 63, "sha256"), ("sha256", "g" * 64, "sha256"),
+]
+FINE = [("sha256", "A" * 64), ("validity", " IN-force "), ("lang", " ENG"), ("retrieved", "2026-99-99"), ("bytes", " +1_0 "), ("validity_note", None), ("version_id", None), ("media_type", None)]
+
+
+def raw_frame(spark, rows):
+    return spark.createDataFrame([tuple(r[c] for c in validate.COLUMNS) for r in rows], ", ".join(f"{c} string" for c in validate.COLUMNS))
+
+
+def test_rules_agree_with_the_row_api(spark):
+    rows = [GOOD | {f: v} for f, v, _ in BAD] + [GOOD | {f: v} for f, v in FINE]
+    out = validate.validated(raw_frame(spark, rows).withColumn("n", F.monotonically_increasing_id())).orderBy("n").collect()
+    for row, (field, value, want), given in zip(out, BAD, rows):
+        assert row.errors[0].field == want and row.errors[0].code == "BK_MANIFEST_INVALID", (field, value)
+        with pytest.raises(errors.ManifestError) as e:
+            validate.Item.from_row(given)
+        assert want in str(e.value)
+    for row, (field, value), given in zip(out[len(BAD) :], FINE, rows[len(BAD) :]):
+        item = validate.Item.from_row(given)
+        assert row.errors == [] and {c: str(row[c]) for c in validate.COLUMNS} == item.to_row(), (field, value)
+    assert out[len(BAD) + 3].retrieved_date is None and out[len(BAD)].authority_rank == 1
+
+
+def test_order_of_rules(spark):
+    row = validate.validated(raw_frame(spark, [GOOD | dict(title="", validity="x", authority_tier="y", lang="z", sha256="")])).first()
+    assert [e.field for e in row.errors] == ["title", "validity", "authority_tier", "lang", "sha256"]
+
+
+def test_strict_and_lenient(spark):
+    df = raw_frame(spark, [GOOD, GOOD | dict(item_id="b", lang="x")])
+    good, bad = validate.split(df)
+    assert [r.item_id for r in good.collect()] == ["32016R0679"] and [r.item_id for r in bad.collect()] == ["b"]
+    with pytest.raises(Exception, match="BK_MANIFEST_INVALID"):
+        validate.strict(df).collect()
+    assert validate.strict(raw_frame(spark, [GOOD])).count() == 1
+
+
+def test_closed_schema():
+    with pytest.raises(errors.ManifestError, match="unknown.*extra"):
+        validate.Item.from_row(GOOD | {"extra": 1})
+    with pytest.raises(errors.ManifestError, match="missing.*lang"):
+        validate.Item.from_row({k: v for k, v in GOOD.items() if k != "lang"})
+    with pytest.raises(errors.ManifestError, match="beyond"):  # more fields than the header has
+        validate.Item.from_row(GOOD | {None: ["x"]})
+
+
+def items(spark, *rows):
+    return manifest.frame(spark, [validate.Item.from_row(GOOD | r) for r in rows])
+
+
+def test_manifest_files(spark, tmp_path):
+    df = items(spark, dict(item_id="b", title='say "x"\ttab'), dict(item_id="a", validity="repealed", validity_note="Act 1\nline"))
+    path = tmp_path / "deep" / "M.tsv"
+    assert manifest.write(df, path) == 2
+    text = path.read_text()
+    assert text.split("\n")[0].split("\t") == list(validate.COLUMNS) and text.index("\na\t") < text.index("\nb\t") and "\r" not in text
+    back = manifest.read_items(path)
+    assert [i.item_id for i in back] == ["a", "b"] and back[1].title == 'say "x"\ttab'
+    read = manifest.read(spark, str(path))
+    assert all(r.errors == [] for r in read.collect()) and manifest.equal(read, df) and not manifest.equal(read, df.limit(1))
+    with pytest.raises(errors.ManifestError, match="'b' is on 2 rows"):
+        manifest.write(df.union(df.where("item_id = 'b'")), path)
+    assert [r.item_id for r in manifest.by_authority(df).collect()] == ["a", "b"]
+    assert manifest.get(df, "a").validity == "repealed"
+    with pytest.raises(errors.ManifestError, match="a, b"):
+        manifest.get(df, "c")
+
+
+def test_manifest_file_errors(spark, tmp_path):
+    with pytest.raises(errors.ManifestError, match="no manifest"):
+        manifest.read_items(tmp_path / "none.tsv")
+    head, row = "\t".join(validate.COLUMNS), "\t".join(GOOD[c] for c in validate.COLUMNS)
+    path = tmp_path / "m.tsv"
+    path.write_text(f"{head}\n{row.replace('in-force', 'maybe')}\n")
+    with pytest.raises(errors.ManifestError, match="line 2"):
+        manifest.read_items(path)
+    path.write_text(f"{head}\n{row}\tmore\n{row[: row.rindex(chr(9))]}\n{row}\n")
+    with pytest.raises(errors.ManifestError, match="line 2"):
+        manifest.read_items(path)
+    found = [sorted(e.field for e in r.errors) for r in manifest.read(spark, str(path)).collect()]
+    assert sorted(found) == [[], ["row"], ["sha256"]]
+    path.write_text("")
+    assert manifest.read_items(path) == [] and manifest.read(spark, str(path)).count() == 0
+    path.write_text(head.replace("lang", "tongue") + "\n")
+    with pytest.raises(errors.ManifestError, match="tongue"):
+        manifest.read(spark, str(path))
+
+
+def test_difference(spark):
+    new = items(spark, dict(item_id="a"), dict(item_id="b", sha256="b" * 64), dict(item_id="d"))
+    got = {r.item_id: r.change for r in manifest.difference(items(spark, dict(item_id="a"), dict(item_id="b"), dict(item_id="c")), new).collect()}
+    assert got == {"a": "same", "b": "changed", "c": "removed", "d": "added"}
+
+
+# --- store ---------------------------------------------------------------------------------------
+
+
+def test_store(spark, tmp_path):
+    s = store.Store(tmp_path / "s")
+    assert s.item_ids() == [] and not s.exists("a")
+    got = s.write("a", "Größe\n")
+    assert got.bytes == 8 and s.read("a") == "Größe\n" and s.verify("a", got.sha256.upper()) and not s.verify("a", "0" * 64)
+    first = got.path.read_bytes()
+    assert s.write("a", "Größe\n").path.read_bytes() == first and gzip.decompress(first).decode() == "Größe\n"
+    s.write("a", "md", ".md")
+    s.write("a.b", "other")
+    assert s.resolve("a").name == "a.md.gz" and s.item_ids() == ["a", "a.b"] and s.item_ids(".md") == ["a"] and s.exists("a", ".txt") and not s.exists("a", ".xml")
+    for bad in ("", " ", "../x", ".x", "a/b", "a\\b", None):
+        with pytest.raises(errors.StoreError):
+            s.write(bad, "x")
+    for call in (lambda: s.write("e", ""), lambda: s.read("none"), lambda: s.verify("none", "0"), lambda: s.resolve("a", ".xml")):
+        with pytest.raises(errors.StoreError):
+            call()
+    (tmp_path / "s" / "z.txt.gz").write_bytes(gzip.compress(b"bad \xff byte"))
+    rows = {r.item_id: r for r in store.texts(spark, str(tmp_path / "s")).collect()}
+    assert set(rows) == {"a", "a.b", "z"} and rows["a"].suffix == ".md" and rows["z"].text == "bad � byte" == s.read("z")
+    assert store.texts(spark, str(tmp_path / "s"), every_suffix=True).count() == 4
+    assert store.texts(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_writing_in_bulk_gives_the_same_bytes(spark, tmp_path):
+    df = spark.createDataFrame([("a", "x\n"), (" b ", "ü"), ("../c", "x"), ("d", ""), (None, "x"), ("e", None)], "item_id string, text string")
+    out = {r.item_id: r for r in store.write_texts(df, str(tmp_path / "s")).collect()}
+    one = store.Store(tmp_path / "one")
+    assert (tmp_path / "s" / "a.txt.gz").read_bytes() == one.write("a", "x\n").path.read_bytes()
+    assert out["b"].bytes == 2 and out["b"].error is None and all(out[k].error for k in ("../c", "d", "e", ""))
+    audit = {r.item_id: (r.status, r.size_status) for r in store.audit(items(spark, dict(item_id="a", sha256=out["a"].sha256, bytes="2"), dict(item_id="b", bytes="2"), dict(item_id="x")), store.texts(spark, str(tmp_path / "s"))).collect()}
+    assert audit == {"a": ("ok", "ok"), "b": ("mismatch", "ok"), "x": ("missing", "missing")}
+    compact = store.compact(spark, str(tmp_path / "s"), items(spark, dict(item_id="a")), str(tmp_path / "p"))
+    assert compact.where("validity = 'in-force'").count() == 1
+
+
+# --- search --------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def root(tmp_path_factory, spark):
+    at = tmp_path_factory.mktemp("corpus")
+    s = store.Store(at)
+    one = s.write("32016R0679", "Data shall be processed lawfully.\n  Über Article 5 café\n")
+    two = s.write("aadhaar-s57", "Aadhaar may be used.\n")
+    s.write("bad", "edited")
+    rows = [
+        GOOD | dict(item_id="aadhaar-s57", citation="Aadhaar Act 2016 s.57", validity="struck-down", validity_note="Puttaswamy (2018)", sha256=two.sha256, authority_tier="commentary"),
+        GOOD | dict(sha256=one.sha256), GOOD | dict(item_id="bad", citation="Bad"), GOOD | dict(item_id="ghost", citation="Ghost"),
+    ]
+    manifest.write(manifest.frame(spark, [validate.Item.from_row(r) for r in rows]), at / "MANIFEST.tsv")
+    return at
+
+
+def test_corpus(spark, root):
+    c = search.Corpus(spark, root)
+    assert c.resolve(" regulation (eu) 2016/679 ").item_id == "32016R0679" and c.resolve("ghost").item_id == "ghost"
+    with pytest.raises(errors.CorpusError, match="32016R0679, aadhaar-s57"):
+        c.resolve("nothing")
+    q = c.quote("aadhaar-s57")
+    assert q.startswith("[STRUCK DOWN: this text is NOT current law — Puttaswamy (2018)]\nAadhaar Act 2016 s.57 — General") and q.endswith("celex/32016R0679\nAadhaar may be used.\n") and "   version: 02016R0679-20160504" in q
+    for ref in ("bad", "ghost"):
+        with pytest.raises(errors.CorpusError):
+            c.text(ref)
+    by = {r.item_id: r for r in search.quotes(c.manifest, c.texts).collect()}
+    assert by["aadhaar-s57"].quote == q and by["bad"].status == "mismatch" and by["ghost"].status == "missing" and by["ghost"].quote is None
+    got = {r.ref: r.item_id for r in search.resolved_all(c.manifest, spark.createDataFrame([("GHOST",), ("bad ",), ("no",), (None,)], "ref string")).collect()}
+    assert got == {"GHOST": "ghost", "bad ": "bad", "no": None, None: None}
+    c.register()
+    assert spark.sql("select count(*) from lines where raw like '%lawfully%'").first()[0] == 1
+    with pytest.raises(errors.CorpusError):
+        search.Corpus(spark, root / "none")
+
+
+def test_grep(spark, root):
+    c = search.Corpus(spark, root)
+    hits = c.grep("ü|u|edit").collect()
+    assert [(h.item_id, h.line_no, h.line) for h in hits] == [("32016R0679", 1, "Data shall be processed lawfully."), ("32016R0679", 2, "Über Article 5 café"), ("bad", 1, "edited"), ("aadhaar-s57", 1, "Aadhaar may be used.")]
+    assert {h.item_id for h in c.grep("ü|u|edit", in_force_only=True).collect()} == {"32016R0679", "bad"} and {h.item_id for h in c.grep("edit", verify=True).collect()} == set()
+    with pytest.raises(errors.CorpusError, match="not a valid"):
+        c.grep("(")
+    for pattern in (r"^  ü", r"caf\w$", r"(?P<n>article)\s+\d", r"(a)\1|(?P<x>d)a(?P=x)a", r"[[:x]ber"):
+        want = [(k + 1) for k, x in enumerate(store.Store(root).read("32016R0679").splitlines()) if re.search(pattern, x, re.I)]
+        assert [h.line_no for h in c.grep(pattern).where("item_id = '32016R0679'").collect()] == want, pattern
+
+
+def test_grep_pushes_the_validity_filter_and_prunes(spark, tmp_path):
+    m, texts = catalogue.corpus(spark, "/root/testdata/sf0.001")
+    m.write.parquet(str(tmp_path / "m"))
+    texts.withColumn("unused", F.lit("x")).write.parquet(str(tmp_path / "t"))
+    plan = search.grep(spark.read.parquet(str(tmp_path / "m")), spark.read.parquet(str(tmp_path / "t")), "x", in_force_only=True)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(validity,in-force)" in plan and "unused" not in plan and "Python" not in plan
+
+
+def test_cli(spark, root, capsys):
+    run = lambda *a: (cli.main(["--corpus", str(root), *a], spark), capsys.readouterr())
+    code, out = run("32016R0679")
+    assert code == 0 and "[in force]" in out.out
+    code, out = run("--grep", "may")
+    assert code == 0 and "aadhaar-s57:1: [STRUCK DOWN" in out.out and "1 line(s) in 1 item(s)." in out.out
+    assert run("--grep", "zzz")[0] == 1 and run("--grep", "may", "--in-force-only")[0] == 1
+    code, out = run("nothing")
+    assert code == 1 and "BK_CITE_UNRESOLVED" in out.err
+    for args in ([], ["--grep", ""]):
+        with pytest.raises(SystemExit) as e:
+            run(*args)
+        assert e.value.code == 2
+
+
+# --- markup --------------------------------------------------------------------------------------
+
+FORMEX = """<ACT><PREAMBLE><GR.CONSID><CONSID><NP><NO.P>(1)</NO.P><TXT>The protection of
+   persons.</TXT></NP></CONSID><CONSID><NP><NO.P>(2)</NO.P><TXT>Second.</TXT></NP></CONSID></GR.CONSID></PREAMBLE>
+<ENACTING.TERMS><DIVISION><TITLE><TI><P>CHAPTER I</P></TI></TITLE><ARTICLE IDENTIFIER="005"><TI.ART>Article 5</TI.ART><STI.ART>Principles  of data</STI.ART>
+<PARAG><NO.PARAG>1.</NO.PARAG><ALINEA><P>Data shall be <QUOT.START CODE="2018"/>fair<QUOT.END CODE="2019"/>:</P><LIST><ITEM><NP><NO.P>(a)</NO.P><TXT>law­fully</TXT></NP></ITEM></LIST></ALINEA></PARAG></ARTICLE>
+<ARTICLE IDENTIFIER="006"><ALINEA>C‑311/18</ALINEA></ARTICLE><ARTICLE IDENTIFIER="000"/></DIVISION></ENACTING.TERMS></ACT>"""
+
+
+def docs(spark, *sources):
+    return spark.createDataFrame([(k, s) for k, s in enumerate(sources)], "doc_id int, source string")
+
+
+def test_formex(spark):
+    df = docs(spark, FORMEX)
+    text = markup.formex_texts(df).first()
+    assert text.error is None and "Data shall be ‘fair’:" in text.text and "lawfully" in text.text and "C-311/18" in text.text and "The protection of persons." in text.text and "\n1.\n" in text.text
+    arts = markup.formex_articles(df).orderBy("ordinal").collect()
+    assert [(a.identifier, a.number, a.heading) for a in arts] == [("005", "5", "Principles of data"), ("006", "6", ""), ("000", "000", "")]
+    assert arts[1].text == "C-311/18\n"
+    assert [(r.number, r.text) for r in markup.formex_recitals(df).orderBy("ordinal").collect()] == [("1", "(1) The protection of persons.\n"), ("2", "(2) Second.\n")]
+    assert markup.article_text(df, " 5 ").first().text.startswith("Article 5\n")
+    miss = markup.article_text(df, "99").first()
+    assert miss.text is None and miss.available == "5, 6, 000"
+
+
+def test_formex_quirks(spark):
+    number = lambda xml: markup.formex_articles(docs(spark, xml)).orderBy("ordinal").collect()
+    assert number("<A><ARTICLE><TI.ART>Article 5A</TI.ART></ARTICLE></A>")[0].number == "5"
+    assert number("<A><ARTICLE><TI.ART>Article 5a</TI.ART></ARTICLE></A>")[0].number == "5a"
+    nested = number("<A><ARTICLE IDENTIFIER='1'>outer <ARTICLE IDENTIFIER='2'>inner</ARTICLE>tail</ARTICLE></A>")
+    assert len(nested) == 2 and "inner" in nested[0].text and nested[1].text == "innertail\n"
+    assert number("<A xmlns='http://x'><ARTICLE/></A>") == []
+    t = lambda xml: markup.formex_texts(docs(spark, xml)).first().text
+    assert t("<A><P>x</P><P>(a) y</P></A>") == "x\n (a) y\n" and t("<A/>") == "\n"
+    assert t("<A>a<QUOT.START/>b<QUOT.END CODE='zz'/>c</A>") == "abc\n"
+    deep = "<A>" * 3000 + "x" + "</A>" * 3000
+    assert t(deep) == "x\n"
+
+
+BOMB = '<!DOCTYPE a [<!ENTITY x "y"><!ENTITY z "&x;&x;">]><a>&z;</a>'
+
+
+def test_markup_errors_are_data(spark):
+    bad = [None, "", " ", "<a>", "no xml", BOMB, '<!DOCTYPE a SYSTEM "file:///etc/passwd"><a/>', "<a>&nbsp;</a>", "<a/><b/>"]
+    out = markup.formex_texts(docs(spark, *bad)).orderBy("doc_id").collect()
+    assert [bool(r.error) for r in out] == [True, True, True, True, True, True, False, True, True] and all("BK_FORMEX_PARSE" in r.error for r in out if r.error)
+    assert all("BK_CAML_PARSE" in r.error for r in markup.caml_texts(docs(spark, *bad[:6])).collect())
+    assert markup.parse(b'<?xml version="1.0" encoding="latin-1"?><a>\xc3\xbc\xff</a>', errors.FormexError).text == "ü�"
+
+
+def test_caml(spark):
+    space = '<span class="EnSpace"/>'
+    xml = f'<caml:Content xmlns:caml="http://c"><p>General  Duties</p><p>(a){space}One thing</p><p/><p>before <b>mid<i>lost</i></b>after</p><q>not this</q></caml:Content>'
+    rows = markup.caml_texts(docs(spark, xml, "<x/>", "<x><p>(a) opens</p></x>", "<x><p>A sentence.</p></x>", f"<x><p>{'t' * 121}</p></x>", f"<x><p>{'t' * 120}</p></x>")).orderBy("doc_id").collect()
+    assert rows[0].text == "General Duties\n\n(a) One thing\n\nbefore midafter\n" and rows[0].heading == "General Duties"
+    assert (rows[1].text, rows[1].heading) == ("\n", "") and [r.heading for r in rows[2:5]] == ["", "", ""] and len(rows[5].heading) == 120
+
+
+# --- PDF -----------------------------------------------------------------------------------------
+
+PAGES = ["ACME CODE\n\n§ 1. Scope\nmeans the California\nPrivacy Agency.\nfoot\nPage 1 of 3", "ACME CODE\n\n(a) body line\nbody term\nfoot\nPage 2 of 3", "ACME CODE\n\nlast body\nx\nfoot\nPage 3 of 3"]
+
+
+def furniture_twin(pages):
+    if len(pages) < 2:
+        return list(pages)
+    votes = {}
+    for p in pages:
+        full = [x.strip() for x in p.splitlines() if x.strip()]
+        for x in {*full[:3], *full[max(3, len(full) - 3) :]}:
+            votes[x] = votes.get(x, 0) + 1
+    found = {x for x, n in votes.items() if n >= max(2, int(len(pages) * 0.6))}
+    number = re.compile(r"(page\s+)?\d+\s*(of\s+\d+)?|-\s*\d+\s*-", re.I)
+    out = []
+    for p in pages:
+        lines = p.splitlines()
+        out.append("\n".join(x for k, x in enumerate(lines) if not ((k < 3 or k >= len(lines) - 3) and (x.strip() in found or number.fullmatch(x.strip())))))
+    return out
+
+
+def test_furniture(spark):
+    rng = random.Random(3)
+    cases = [PAGES, PAGES[:1], ["a\nb\nc"] * 2, ["one-off\nx1", "two\nx2"], ["", "- 3 -\ntext", "7\n\n\n\n12 of 13"]]
+    cases += [["\n".join(rng.choice(["head", "foot", "", " head ", "Page 3", "body", "12"]) for _ in range(rng.randrange(10))) for _ in range(rng.randrange(1, 8))] for _ in range(25)]
+    rows = [(d, k, p) for d, pages in enumerate(cases) for k, p in enumerate(pages)]
+    got = {(r.doc_id, r.page_no): r.text for r in pdfclean.without_furniture(spark.createDataFrame(rows, "doc_id int, page_no int, text string")).collect()}
+    for d, pages in enumerate(cases):
+        assert [got[d, k] for k in range(len(pages))] == furniture_twin(pages), pages
+
+
+def test_clean_pages(spark):
+    text = pdfclean.clean(spark, PAGES)
+    assert text == "§ 1. Scope means the California Privacy Agency.\n\n(a) body line body term\n\nlast body x\n"
+    with pytest.raises(errors.PdfError):
+        pdfclean.clean(spark, [])
+    with pytest.raises(errors.PdfError, match="OCR"):
+        pdfclean.clean(spark, ["", " \n"])
+    rows = spark.createDataFrame([("a", 0, None), ("b", 0, "x­y"), ("b", 1, None)], "doc_id string, page_no int, text string")
+    out = {r.doc_id: r for r in pdfclean.clean_pages(rows).collect()}
+    assert out["a"].text is None and out["a"].error.code == "BK_PDF_EXTRACT" and out["b"].text == "xy\n"
+
+
+def test_pdftotext_is_asked_for(spark, tmp_path, monkeypatch):
+    with pytest.raises(errors.PdfError, match="no file"):
+        pdfclean.extract_file(spark, tmp_path / "none.pdf")
+    monkeypatch.setattr(pdfclean.shutil, "which", lambda _: None)
+    with pytest.raises(errors.PdfError, match="poppler"):
+        pdfclean.command()
+
+
+def test_extract_runs_a_process_a_file(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pdfclean, "command", lambda layout=True: ["cat"])
+    (tmp_path / "a.pdf").write_bytes(b"one\ftwo\f")
+    assert pdfclean.extract_file(spark, tmp_path / "a.pdf") == "one two\n"
+    monkeypatch.setattr(pdfclean, "command", lambda layout=True: ["false"])
+    with pytest.raises(errors.PdfError, match="ended with 1"):
+        pdfclean.extract_file(spark, tmp_path / "a.pdf")
+
+
+# --- fetching ------------------------------------------------------------------------------------
+
+
+def answering(status=200, body=b"x", kind="t", log=None):
+    def transport(url, headers, timeout):
+        if log is not None:
+            log.append((url, headers, timeout))
+        if isinstance(status, Exception):
+            raise status
+        return status, body, kind
+
+    return transport
+
+
+def archive(**files):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for n, b in files.items():
+            z.writestr(n.replace("__", "."), b)
+    return out.getvalue()
+
+
+def test_fetch():
+    log = []
+    doc = fetch.Fetcher(answering(body=b"<a/>", kind="application/xml", log=log)).fetch("32016r0679")
+    assert doc == fetch.Document("32016R0679", fetch.RESOURCES + "32016R0679", b"<a/>", "application/xml") and log[0][1]["Accept-Language"] == "eng" and log[0][2] == 60.0
+    for status, transient in ((OSError("down"), True), (500, True), (503, True), (429, True), (404, False), (302, False)):
+        with pytest.raises(errors.FetchError) as e:
+            fetch.Fetcher(answering(status)).fetch("32016R0679")
+        assert e.value.transient is transient
+    with pytest.raises(errors.FetchError, match="empty body"):
+        fetch.Fetcher(answering(body=b"")).fetch("32016R0679")
+    with pytest.raises(errors.FetchError, match="^own$|own"):
+        fetch.Fetcher(answering(errors.FetchError("own"))).fetch("32016R0679")
+
+
+def test_formex_archives():
+    body = archive(x__doc__xml="d", x__toc__fmx__xml="t", b__xml="largest body", a__xml="first", c__txt="no")
+    doc = fetch.Fetcher(answering(body=body)).fetch_formex("32016R0679")
+    assert (doc.body, doc.annex_bodies) == (b"first", (b"largest body",))
+    for bad in (b"plain words", archive(x__doc__xml="d")):
+        with pytest.raises(errors.FetchError):
+            fetch.Fetcher(answering(body=bad)).fetch_formex("32016R0679")
+
+
+def test_sparql(spark):
+    answer = json.dumps({"results": {"bindings": [{"c": {"value": "1", "type": "x"}}, {"c": {"value": "2"}, "d": {"value": "3"}}]}})
+    log = []
+    assert fetch.Fetcher(answering(body=answer.encode(), log=log)).sparql("SELECT ?c") == [{"c": "1"}, {"c": "2", "d": "3"}] and "Accept-Language" not in log[0][1] and "query=SELECT+%3Fc" in log[0][0]
+    assert [r.row for r in fetch.bindings(spark, answer).collect()] == [{"c": "1"}, {"c": "2", "d": "3"}]
+    for bad in (b"<html>", b"{}", b'{"results": {"bindings": [{"c": 1}]}}', b"[]"):
+        with pytest.raises(errors.FetchError):
+            fetch.Fetcher(answering(body=bad)).sparql("q")
+
+
+def test_fetching_a_worklist_and_ingesting(spark, tmp_path):
+    zipped = archive(a__xml="<ACT><P>Body text.</P></ACT>", b__xml="<ACT><P>Annex text.</P></ACT>")
+
+    def transport(url, headers, timeout):
+        return (503, b"", "") if url.endswith("9999") else (200, zipped, "zip")
+
+    work = spark.createDataFrame([("32016R0679",), ("32016R9999",), ("the GDPR",), (None,)], "celex string")
+    got = fetch.fetched(work, transport)
+    by = {r.celex: r for r in got.collect()}
+    assert bytes(by["32016R0679"].body) == b"<ACT><P>Body text.</P></ACT>" and by["32016R9999"].error.transient and not by["the GDPR"].error.transient and by[None].error
+    texts = ingest.rendered(got.where("celex is not null"))
+    out = {r.celex: r for r in texts.collect()}
+    assert out["32016R0679"].text == "Body text.\n\nAnnex text.\n" and out["the GDPR"].text is None
+    facts = raw_frame(spark, [GOOD, GOOD | dict(item_id="x", validity="repealed")])
+    good, refused, receipts = ingest.ingest(texts.where("text is not null").selectExpr("celex as item_id", "text").union(spark.createDataFrame([("x", "words"), ("y", " \n")], "item_id string, text string")), facts, str(tmp_path / "s"))
+    assert receipts.count() == 1
+    assert {r.item_id: len(r.reasons) for r in refused.collect()} == {"x": 1, "y": 1}
+    row = good.first()
+    assert store.Store(tmp_path / "s").verify("32016R0679", row.sha256) and row.bytes == len("Body text.\n\nAnnex text.\n")
+    members = spark.createDataFrame([(bytearray(zipped),), (bytearray(b"x"),), (None,)], "z binary").select(fetch.unzipped(F.col("z")).alias("u"))
+    rows = members.select(fetch.ordered_bodies(F.col("u.members")).alias("b"), "u.error").collect()
+    assert bytes(rows[0].b[0]) == b"<ACT><P>Body text.</P></ACT>" and rows[1].error and rows[2].error is None
+
+
+# --- analysis, streaming, catalogue --------------------------------------------------------------
+
+
+def test_controls_and_distributions(spark, root):
+    c = search.Corpus(spark, root)
+    families = {"law": "law", "absent": "zzzz", "control": "data"}
+    hits = analysis.sweep(c.manifest, c.texts, families)
+    counts = analysis.counted(hits, families)
+    assert {r.family: (r.hits, r["items"], r.status) for r in analysis.controlled(counts, "control").collect()} == {"law": (1, 1, "found"), "absent": (0, 0, "absent"), "control": (1, 1, "found")}
+    assert {r.status for r in analysis.controlled(counts.where("family <> 'law'"), "nothing").where("hits = 0").collect()} == {"unproven"}
+    assert tuple(analysis.designs(hits, "law", "absent").first()) == (1, 0)
+    assert {(r.item_id, r.hits) for r in analysis.clusters(hits).where("level = 0").collect()} == {("32016R0679", 2)}
+    both = analysis.together({"a": hits, "b": hits.where("family = 'law'")})
+    assert {r.family: (r.a, r.b) for r in analysis.coverage(both, "family", ["a", "b"]).collect()} == {"law": (1, 1), "control": (1, 0)}
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "k string")
+    assert sorted(map(tuple, analysis.completeness(ids("1", "2"), ids("2", "3"), "k").collect())) == [("1", "unexpected"), ("3", "missing")]
+    assert analysis.completeness(ids("1"), ids("1"), "k").count() == 0
+
+
+def test_inbox(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    bad = GOOD | dict(item_id="bad", lang="x")
+    for name, rows in (("1.tsv", [GOOD, bad]), ("2.tsv", [GOOD, GOOD | dict(item_id="b")])):
+        (tmp_path / "in" / name).write_text("\n".join("\t".join(r[c] for c in validate.COLUMNS) for r in [dict(zip(validate.COLUMNS, validate.COLUMNS)), *rows]) + "\n")
+    q = inbox.start(spark, str(tmp_path / "in"), str(tmp_path / "ok"), str(tmp_path / "bad"), str(tmp_path / "cp"))
+    q.awaitTermination(120)
+    assert sorted(r.item_id for r in spark.read.parquet(str(tmp_path / "ok")).collect()) == ["32016R0679", "b"]
+    assert [r.item_id for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == ["bad"]
+
+
+def test_catalogue_equals_its_sql(spark):
+    import glob
+    import os
+
+    import duckdb
+
+    d, c = "/root/testdata/sf0.001", duckdb.connect()
+    for f in glob.glob(d + "/*.parquet"):
+        c.execute(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
+    assert set(catalogue.ORACLE) == set(catalogue.QUERIES)
+    for name, q in catalogue.QUERIES.items():
+        df = q(spark, d)
+        names = sorted(df.columns)
+        got = sorted(repr(tuple(r)) for r in df.select(*names).collect())
+        cur = c.execute(catalogue.ORACLE[name])
+        at = [[x[0] for x in cur.description].index(n) for n in names]
+        want = sorted(repr(tuple(r[k] for k in at)) for r in cur.fetchall())
+        assert got == want and got, name
+
+
+def test_entry(spark):
+    import __spark_entry__ as e
+
+    assert e.entry(spark).count() > 0
+    assert set(e.oracle_sql()) <= set(e.queries())
