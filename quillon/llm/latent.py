@@ -4,7 +4,7 @@ Documents are read once into term numbers of the benchmark's vocabulary (words o
 nothing). Their TF-IDF passages, and the benchmark's own, form a matrix whose leading right singular
 vectors come from a randomised subspace iteration: tasks add up A'(AQ) over their passages, and only
 the sum, terms by rank, reaches the driver. Every overlapping passage of every document is a query
-against all benchmark passages by cosine in the whitened latent space; what comes near is verified
+against all benchmark passages by cosine in the evened latent space; what comes near is verified
 by the longest common subsequence of words with the item, and by its answer's.
 """
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -25,10 +26,11 @@ from .common import WORD, Written, id_text, sized
 @dataclass(frozen=True)
 class Params:
     width: int = 32  #: words a passage
-    stride: int = 16
+    stride: int = 16  #: divides the width
     rank: int = 64
     oversample: int = 8
     iterations: int = 2  #: passes of A'A
+    common: float = 0.05  #: of the passages; terms in more of them weigh nothing
     cosine: float = 0.45
     lcs: float = 0.6  #: of the item's words, in order
     answer: float = 0.5  #: of the answer's words, in order
@@ -63,36 +65,66 @@ class Items:
 
 
 def _starts(n: int, p: Params) -> np.ndarray:
-    """Where the overlapping passages of n words begin; the last one reaches the end."""
-    return np.arange(0, max(1, n - p.width + p.stride), p.stride) if n > p.width else np.zeros(1, np.int64)
+    """Where the overlapping passages of n words begin, a stride apart; the last one reaches the end."""
+    return p.stride * np.arange(1 + max(0, -(-(n - p.width) // p.stride)))
+
+
+def sums(source: np.ndarray, index: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of source[index[starts[i]:starts[i + 1]]] for each i, none of them empty.
+
+    Segments are summed a place at a time, the longest first, so that each step adds whole rows;
+    long ones are cut up, and their parts summed in turn.
+    """
+    sizes = np.diff(np.append(starts, len(index)))
+    if not len(sizes):
+        return np.zeros((0, source.shape[1]), np.float32)
+    if sizes.max() > 64:
+        parts = -(-sizes // 32)
+        first = np.cumsum(parts) - parts
+        at = np.repeat(starts - 32 * first, parts) + 32 * np.arange(parts.sum())
+        return sums(sums(source, index, at), np.arange(len(at)), first)
+    order = np.argsort(-sizes, kind="stable")
+    at, count = starts[order], np.bincount(sizes, minlength=sizes.max() + 1)
+    out, n = source.take(index[at], axis=0), len(sizes)
+    for k in range(1, sizes.max()):
+        n -= count[k]
+        out[:n] += source.take(index[at[:n] + k], axis=0)
+    back = np.empty_like(out)
+    back[order] = out
+    return back
 
 
 class Sparse:
-    """Rows of TF-IDF, of length 1, as parallel arrays sorted by row."""
+    """Rows of TF-IDF, each divided by the square root of its words' summed idf squared, as arrays sorted by row."""
 
     def __init__(self, rows: np.ndarray, terms: np.ndarray, idf: np.ndarray):
-        v = len(idf)
-        key, tf = np.unique(rows * v + terms, return_counts=True)
-        self.row, self.term = key // v, (key % v).astype(np.int32)
-        self.value = (np.log1p(tf) * idf[self.term]).astype(np.float32)
-        live = self.value > 0
-        self.row, self.term, self.value = self.row[live], self.term[live], self.value[live]
+        live = idf[terms] > 0
+        self.row, self.term, self.idf = rows[live], terms[live], idf
         self.named, self.start = np.unique(self.row, return_index=True)
         if len(self.row):
-            size = np.diff(np.append(self.start, len(self.row)))
-            norm = np.sqrt(np.add.reduceat(self.value * self.value, self.start))
-            self.value /= np.repeat(norm, size)
-            self.local = np.repeat(np.arange(len(self.named)), size)
+            self.norm = np.sqrt(np.add.reduceat(np.square(idf)[self.term], self.start))[:, None]
 
     def times(self, q: np.ndarray) -> np.ndarray:
         """A Q, of the rows that aren't empty."""
-        return np.add.reduceat(q[self.term] * self.value[:, None], self.start, axis=0)
+        return sums(q * self.idf[:, None], self.term, self.start) / self.norm
 
     def add_transposed(self, y: np.ndarray, out: np.ndarray) -> None:
         """out += A' Y."""
-        order = np.argsort(self.term, kind="stable")
+        order = np.argsort(self.term.astype(np.uint16) if len(self.idf) < 65536 else self.term, kind="stable")
         term, at = np.unique(self.term[order], return_index=True)
-        out[term] += np.add.reduceat(y[self.local[order]] * self.value[order, None], at, axis=0)
+        local = np.repeat(np.arange(len(self.named)), np.diff(np.append(self.start, len(self.row))))
+        out[term] += sums(y / self.norm, local[order], at) * self.idf[term, None]
+
+
+def weights(seen: np.ndarray, passages: int, items: Items, p: Params) -> np.ndarray:
+    """idf of each term; 0 for those in more than p.common of the passages, unless an item would lose half of its weight by that."""
+    idf = np.log((passages + 1) / (seen + 1)).clip(0).astype(np.float32)
+    keep = seen <= p.common * passages
+    rows, terms, _ = item_passages(items, p)
+    power = np.square(idf)[terms]
+    whole, kept = np.bincount(rows, power), np.bincount(rows, power * keep[terms])
+    keep[terms[(kept < whole / 2)[rows]]] = True
+    return idf * keep
 
 
 def _tiles(coded, width: int, most: int = 120_000):
@@ -128,11 +160,7 @@ def coded(docs: DataFrame, vocabulary: dict[str, int], p: Params) -> Written:
     words = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def batches(it):
-        class Number(dict):
-            def __missing__(self, w):
-                return -1
-
-        number, v = Number(words.value).__getitem__, len(words.value)
+        number, v = words.value.get, len(words.value)
         seen = np.zeros(v + 1, np.int64)
         for batch in it:
             for at in range(0, batch.num_rows, 1024):
@@ -140,7 +168,7 @@ def coded(docs: DataFrame, vocabulary: dict[str, int], p: Params) -> Written:
                 part = batch.slice(at, 1024)
                 for i, text in zip(part.column(0).to_pylist(), part.column(1)):
                     found = WORD.findall(text.as_py().lower())
-                    terms = np.fromiter(map(number, found), np.int32, len(found))
+                    terms = np.fromiter(map(number, found, repeat(-1)), np.int32, len(found))
                     seen[v] += -(-len(terms) // p.width)
                     if len(terms) and terms.max() >= 0:
                         ids.append(i)
@@ -196,7 +224,10 @@ def item_passages(items: Items, p: Params) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def latent_space(table: DataFrame, items: Items, idf: np.ndarray, p: Params) -> np.ndarray:
-    """Terms by rank: right singular vectors, each divided by its singular value."""
+    """Terms by rank: right singular vectors, each divided by its singular value, softened.
+
+    The mean of their squares is added to each square, so that directions that hardly occur aren't blown up.
+    """
     rows, terms, _ = item_passages(items, p)
     own = Sparse(rows, terms, idf)
 
@@ -216,7 +247,7 @@ def latent_space(table: DataFrame, items: Items, idf: np.ndarray, p: Params) ->
     power, u = np.linalg.eigh((small + small.T) / 2)
     best = np.argsort(power)[::-1][: p.rank]
     best = best[power[best] > 1e-6 * max(power[best[0]], 1e-12)]
-    return (q @ u[:, best] / np.sqrt(power[best])).astype(np.float32)
+    return (q @ u[:, best] / np.sqrt(power[best] + power[best].mean())).astype(np.float32)
 
 
 def common_subsequence(masks: dict[int, int], size: int, words) -> int:
@@ -230,6 +261,24 @@ def common_subsequence(masks: dict[int, int], size: int, words) -> int:
     return size - v.bit_count()
 
 
+def signature(rows: np.ndarray, terms: np.ndarray, n: int) -> np.ndarray:
+    """512 bits a row, by the terms in it: a term that is there has its bit set."""
+    out = np.zeros((n, 512), bool)
+    out[rows, terms * 167 % 512] = True
+    return np.packbits(out, axis=1).view(np.uint64)
+
+
+def neighbourhood(rows: np.ndarray, terms: np.ndarray, n: int, span: tuple[int, int]) -> np.ndarray:
+    """signature() of each block together with span[0] blocks before and span[1] - 1 after it."""
+    own = signature(rows, terms, n)
+    out = own.copy()
+    for k in range(1, min(span[0], n - 1) + 1):
+        out[k:] |= own[:-k]
+    for k in range(1, min(span[1] - 1, n - 1) + 1):
+        out[:-k] |= own[k:]
+    return out
+
+
 def _masks(words: np.ndarray) -> dict[int, int]:
     out: dict[int, int] = {}
     for k, w in enumerate(words.tolist()):
@@ -249,37 +298,52 @@ def _found(table: DataFrame, items: Items, idf: np.ndarray, space: np.ndarray, p
         target = a.times(space)
         target /= np.maximum(np.linalg.norm(target, axis=1, keepdims=True), 1e-9)
         owner, target = owner[a.named], np.ascontiguousarray(target.T)
+        weighted, per = space * idf[:, None], p.width // p.stride
         masks = [(_masks(w), len(w), _masks(x), len(x)) for w, x in zip(items.words, items.answers)]
+        #: of an item's bits, all but one for each word it may lack must be set near a passage
+        bits = np.concatenate([signature(np.zeros(len(w), np.int64), w, 1) for w in items.words])
+        need = np.bitwise_count(bits).sum(axis=1) - np.array([len(w) - int(np.ceil(p.lcs * len(w) - 1e-9)) for w in items.words])
+        span = (-(-max(map(len, items.words)) // p.stride), per + -(-max(map(len, items.words)) // p.stride))
 
         def search(ids, docs):
-            rows, terms, at, whose = [], [], [], []
-            n = 0
+            rows, terms, at, whose, first = [], [], [], [], []
+            n = m = 0
             for k, words in enumerate(docs):
                 hit = np.flatnonzero(words >= 0)
                 starts = _starts(len(words), p)
-                if len(words) > p.width:  # a word lies in the passages that begin at most a width before it
-                    for back in range(-(-p.width // p.stride)):
-                        w = hit // p.stride - back
-                        good = (w >= 0) & (w < len(starts)) & (hit - w * p.stride < p.width)
-                        rows.append(n + w[good])
-                        terms.append(words[hit[good]])
-                else:
-                    rows.append(np.full(len(hit), n))
-                    terms.append(words[hit])
+                blocks = len(starts) + per - 1
+                rows.append(n + np.minimum(hit // p.stride, blocks - 1))
+                terms.append(words[hit])
                 at.append(starts)
                 whose.append(np.full(len(starts), k))
-                n += len(starts)
-            a = Sparse(np.concatenate(rows), np.concatenate(terms), idf)
-            if not len(a.row):
+                first.append(n + np.arange(len(starts)))
+                n += blocks
+                m += len(starts)
+            rows_all, terms_all = np.concatenate(rows), np.concatenate(terms)
+            live = idf[terms_all] > 0
+            rows, terms = rows_all[live], terms_all[live]
+            if not len(rows):
                 return []
-            at, whose, best = np.concatenate(at), np.concatenate(whose), {}
-            y = a.times(space)
-            y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9)
+            named, start = np.unique(rows, return_index=True)
+            block = np.zeros((n, space.shape[1]), np.float32)
+            block[named] = sums(weighted, terms, start)
+            at, whose, first, best = np.concatenate(at), np.concatenate(whose), np.concatenate(first), {}
+            #: a passage is `per` blocks of a stride each; a last one that is shorter has empty ones
+            y = block[first]
+            for k in range(1, per):
+                y += block[first + k]
+            norm = np.linalg.norm(y, axis=1)
+            some = np.flatnonzero(norm > 0)
+            y, at, whose = y[some] / norm[some, None], at[some], whose[some]
+            around = neighbourhood(rows_all, terms_all, n, span)[first[some]]
             for k in range(0, len(y), 4096):
                 near = y[k : k + 4096] @ target
-                for row, col in zip(*np.nonzero(near >= p.cosine)):
-                    passage = a.named[k + row]
-                    doc, item, start, cosine = whose[passage], owner[col], int(at[passage]), float(near[row, col])
+                row, col = np.divmod(np.flatnonzero(near.ravel() >= p.cosine), near.shape[1])
+                item = owner[col]
+                enough = np.bitwise_count(around[k + row] & bits[item]).sum(axis=1) >= need[item]
+                for row, item, cosine in zip(row[enough], item[enough], near[row[enough], col[enough]].tolist()):
+                    passage = k + row
+                    doc, start = whose[passage], int(at[passage])
                     whole, size, answer, answer_size = masks[item]
                     part = docs[doc][max(0, start - size) : start + p.width + size].tolist()
                     lcs = common_subsequence(whole, size, part) / size
@@ -337,7 +401,7 @@ def leaks(df: DataFrame, benchmark: DataFrame, p: Params = Params(), id_col: str
         for r in table.df.where("doc_id IS NULL").select(F.posexplode("seen")).groupBy("pos").agg(F.sum("col").alias("n")).collect():
             seen[r["pos"]] = r["n"]
         n = seen[-1] + len(items.ids)
-        idf = np.log((n + 1) / (seen[:-1] + 1)).clip(0).astype(np.float32)
+        idf = weights(seen[:-1], n, items, p)
         space = latent_space(table.df, items, idf, p)
         found = Written(
             _found(table.df, items, idf, space, p).groupBy("doc_id", "item_id").agg(F.max_by(F.struct("lcs", "answer", "at_word"), F.struct("lcs", "answer", -F.col("at_word"))).alias("best")).select("doc_id", "item_id", "best.*"),
