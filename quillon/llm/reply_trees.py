@@ -1,4 +1,4 @@
-"""Reply trees: root-to-leaf paths by iterative self-joins, ranked, each written as one conversation."""
+"""Reply trees: root-to-leaf paths by doubling self-joins, ranked, each written as one conversation."""
 
 from __future__ import annotations
 
@@ -39,30 +39,45 @@ def branches(nodes: DataFrame, p: Params = Params()) -> DataFrame:
     nodes: (tree, node, parent, role, text), a node once. A node without a parent, or whose parent
     isn't there, is a root; nodes that only a cycle leads to are on no path. A branch's score is the
     number of characters of its assistant messages; ties go to the smaller leaf. An empty table
-    gives no rows. All paths are enumerated; only p.best of each tree are given.
+    gives no rows. All paths are scored; only p.best of each tree are written out.
+
+    The self-joins double: round k joins every node's ancestor at a distance of 2^k with that one's
+    own, adding up scores, so a tree of depth d takes log d rounds. The chosen leaves' paths are
+    laid out by the same tables of ancestors, again in log d rounds; only then are texts joined.
     """
-    own = Written(nodes.select("tree", "node", "parent", "role", "text", F.when(F.col("role") == "assistant", F.length("text")).otherwise(0).cast("long").alias("points")), "nodes")
-    parents = Written(own.df.where("parent IS NOT NULL").select("tree", F.col("parent").alias("node")).distinct(), "parents")
+    own = Written(nodes.select("tree", "node", "parent", "role", "text"), "nodes")
     there = own.df.select("tree", F.col("node").alias("parent"), F.lit(True).alias("__there"))
-    roots = own.df.join(there, ["tree", "parent"], "left").where("__there IS NULL")
-    said = F.concat(F.lit(p.opening), F.col("role"), F.lit(p.closing + "\n"), F.col("text"), F.lit(p.end))
-    front = Written(roots.select("tree", "node", F.col("points").alias("score"), F.array("node").alias("path"), said.alias("conversation")), "paths")
-    children = own.df.where("parent IS NOT NULL").select("tree", F.col("parent").alias("node"), F.col("node").alias("child"), "points", said.alias("said"))
-    ends, fronts = [], []
-    while front.df.limit(1).count():
-        fronts.append(front)
-        ends.append(front.df.join(parents.df, ["tree", "node"], "left_anti"))
-        longer = front.df.join(children, ["tree", "node"]).select("tree", F.col("child").alias("node"), (F.col("score") + F.col("points")).alias("score"), F.array_append("path", F.col("child")).alias("path"), F.concat("conversation", "said").alias("conversation"))
-        front = Written(longer, "paths")
-    out = ends[0] if ends else front.df
-    for e in ends[1:]:
-        out = out.unionByName(e)
+    points = F.when(F.col("role") == "assistant", F.length("text")).otherwise(0).cast("long")
+    now = Written(own.df.join(there, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("__there"), F.col("parent")).alias("above"), points.alias("score"), F.lit(1).alias("turns")), "ancestors")
+    largest = own.df.groupBy("tree").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    ancestors = []
+    #: after as many doublings as that, what still has an ancestor goes round in a cycle
+    for _ in range(max(0, largest - 1).bit_length()):
+        if not now.df.where("above IS NOT NULL").limit(1).count():
+            break
+        ancestors.append(now)
+        far = now.df.select("tree", F.col("node").alias("above"), F.col("above").alias("__above"), F.col("score").alias("__score"), F.col("turns").alias("__turns"))
+        step = now.df.join(far, ["tree", "above"], "left")
+        now = Written(step.select("tree", "node", F.col("__above").alias("above"), (F.col("score") + F.coalesce("__score", F.lit(0))).alias("score"), (F.col("turns") + F.coalesce("__turns", F.lit(0))).alias("turns")), "ancestors")
+    first = ancestors[0].df if ancestors else now.df
+    inner = first.where("above IS NOT NULL").select("tree", F.col("above").alias("node")).distinct()
     order = Window.partitionBy("tree").orderBy(F.desc("score"), "node")
-    ranked = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= p.best)
-    chosen = Written(ranked.select("tree", F.col("node").alias("leaf"), "rank", "score", F.size("path").alias("turns"), F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), "conversation"), "branches")
-    for t in (own, parents, front, *fronts):
+    ends = now.df.where("above IS NULL").join(inner, ["tree", "node"], "left_anti").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= p.best)
+    chosen = Written(ends.select("tree", F.col("node").alias("leaf"), "rank", "score", "turns"), "chosen")
+    on = Written(chosen.df.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("back")), "on-paths")
+    for k, a in enumerate(ancestors):
+        more = on.df.join(a.df.where("above IS NOT NULL").select("tree", "node", "above"), ["tree", "node"]).select("tree", "leaf", F.col("above").alias("node"), F.col("back") + (1 << k))
+        longer = Written(on.df.union(more), "on-paths")
+        on.drop()
+        on = longer
+    said = F.concat(F.lit(p.opening), F.col("role"), F.lit(p.closing + "\n"), F.col("text"), F.lit(p.end))
+    spoken = on.df.join(own.df.select("tree", "node", said.alias("said")), ["tree", "node"])
+    laid = spoken.groupBy("tree", "leaf").agg(F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("at"), "node", "said"))).alias("m"))
+    out = laid.join(chosen.df, ["tree", "leaf"]).select("tree", "leaf", "rank", "score", "turns", F.array_join(F.col("m.node").cast("array<string>"), ">").alias("path"), F.array_join("m.said", "").alias("conversation"))
+    out = Written(out, "branches")
+    for t in (own, now, chosen, on, *ancestors):
         t.drop()
-    return chosen.df
+    return out.df
 
 
 ORACLE = """
