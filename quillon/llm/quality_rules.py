@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Written, sized
+
 #: name -> (share of the text, in per mille, whose excess is bad; cutoffs)
 GRID = tuple(range(50, 1000, 50))
 RULES = ("symbols", "capitals", "bars", "one_line_repeats", "scarce_letters")
@@ -85,10 +87,12 @@ def thresholds(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Data
     is not good; repeated rows of one document count once.
     """
     good = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
+    good = Written(good, "good")
     of = measures(F.col("text"))
-    held = _prepared(docs).join(good, "doc_id", "left_semi").select("doc_id", "stratum", *[of[r].alias(r) for r in RULES])
+    held = _prepared(docs).join(sized(good.df), "doc_id", "left_semi").select("doc_id", "stratum", *[of[r].alias(r) for r in RULES])
     held = held.groupBy("doc_id", "stratum").agg(*[F.max(r).alias(r) for r in RULES])
     counts = held.groupBy("stratum").agg(F.count("*").alias("n"), *[F.count_if(F.col(r) > c).alias(f"{r}_{c}") for r in RULES for c in p.grid]).collect()
+    good.drop()
     tests = max(1, len(counts)) * len(RULES) * len(p.grid)
     rows = []
     for row in sorted(counts, key=lambda r: r["stratum"]):
