@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from quillon.functions import celex, vocab
 from quillon.functions.textexpr import sha256, split_lines, typography, utf8_size
 from quillon.operators import markup, pdfclean, search, validate
-from quillon.plans import analysis
+from quillon.plans import analysis, ingest
+from quillon.sources import fetch, shared, store
 from quillon.sources import manifest as manifests
-from quillon.sources import store
 
 FAMILIES = {"licence": "licen[cs]e", "version": r"version \d", "mail": r"\w@\w", "control": r"\bthe\b"}
 
@@ -338,3 +338,93 @@ def completeness_oracle(spark, d):
 def duty_labels(spark, d):
     side = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("item_id"), F.when(F.col("quality") == 1, "controller").otherwise("processor").alias("duty"), F.when(F.col("toxic") == 1, "owed").otherwise("owing").alias("direction"))
     return analysis.labelled(corpus(spark, d)[0].select("item_id"), side).where("duty IS NOT NULL")
+
+
+@query(f"WITH {MANIFEST} SELECT item_id, title, validity_note, bytes, sha256, CAST(0 AS INT) AS errors FROM manifest")
+def manifest_files(spark, d):
+    """Written as tab-separated files by the executors, read back and validated."""
+    at = shared.scratch_path(spark, "manifest")
+    manifests.write_parts(corpus(spark, d)[0], at)
+    return manifests.read(spark, at).select("item_id", "title", "validity_note", "bytes", "sha256", F.size("errors").alias("errors"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS item_id, '.txt' AS suffix, octet_length(encode(text)) AS bytes, sha256(text) AS sha256, true AS same FROM documents")
+def stored_texts(spark, d):
+    """Every text written as <item_id>.txt.gz by the executors, then the whole store read back; hashes of what was written and read are compared."""
+    at = shared.scratch_path(spark, "store")
+    receipts_at = shared.scratch_path(spark, "receipts")
+    store.write_texts(corpus(spark, d)[1], at).write.parquet(receipts_at)
+    receipts = spark.read.parquet(receipts_at).select("item_id", F.col("sha256").alias("written"))
+    back = store.texts(spark, at).select("item_id", "suffix", "bytes", "sha256")
+    return back.join(receipts, "item_id").select("item_id", "suffix", "bytes", "sha256", (F.col("sha256") == F.col("written")).alias("same"))
+
+
+@query("SELECT count(*) AS rows, true AS equal_to_itself, false AS equal_to_less FROM documents")
+def manifest_equality(spark, d):
+    m = corpus(spark, d)[0]
+    less = m.where(F.col("item_id").cast("long") > 0)
+    return m.agg(F.count("*").alias("rows")).select("rows", F.lit(manifests.equal(m, m.repartition(3))).alias("equal_to_itself"), F.lit(manifests.equal(m, less)).alias("equal_to_less"))
+
+
+def _answering(url: str, headers: dict, timeout: float) -> tuple[int, bytes, str]:
+    """A stand-in for the network: an archive of an act and two annexes, out of order; some numbers fail."""
+    import io
+    import zipfile
+
+    number = url.rsplit("/", 1)[1]
+    if number.endswith(("3", "7")):
+        return 503 if number.endswith("3") else 404, b"", ""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, body in (("b.fmx.xml", "<ANNEX><P>Annex one.</P></ANNEX>"), ("x.doc.fmx.xml", "<DOC/>"), ("c.xml", "<ANNEX><P>Annex two.</P></ANNEX>"), ("a.xml", f"<ACT><P>Act {number}.</P></ACT>"), ("t.toc.xml", "<T/>")):
+            z.writestr(name, body)
+    return 200, out.getvalue(), "application/zip"
+
+
+_NUMBER = "'32016R' || lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '0')"
+
+
+@query(
+    f"""WITH n AS (SELECT DISTINCT {_NUMBER} AS celex FROM documents)
+SELECT celex, CASE WHEN right(celex, 1) NOT IN ('3', '7') THEN 'Act ' || celex || '.' || chr(10) || chr(10) || 'Annex one.' || chr(10) || chr(10) || 'Annex two.' || chr(10) END AS text,
+  CASE right(celex, 1) WHEN '3' THEN true WHEN '7' THEN false END AS transient FROM n"""
+)
+def fetched_texts(spark, d):
+    """A work-list fetched by the executors from a stand-in, unzipped, ordered and rendered."""
+    work = table(spark, d, "documents").select(F.expr(_NUMBER.replace("VARCHAR", "STRING")).alias("celex")).distinct()
+    at = shared.scratch_path(spark, "fetched")
+    fetch.fetched(work, _answering).write.parquet(at)
+    got = spark.read.parquet(at)
+    return ingest.rendered(got).select("celex", "text").join(got.select("celex", "error.transient"), "celex")
+
+
+@query("SELECT doc_id, CAST(doc_id AS VARCHAR) AS id, lang FROM documents")
+def sparql_bindings(spark, d):
+    cell = lambda c: F.struct(F.lit("literal").alias("type"), c.cast("string").alias("value"))
+    answer = F.to_json(F.struct(F.struct(F.array(F.struct(cell(F.col("doc_id")).alias("id"), cell(F.col("lang")).alias("lang"))).alias("bindings")).alias("results")))
+    rows = fetch.bindings_of(table(spark, d, "documents").select("doc_id", answer.alias("answer")), keep=("doc_id",))
+    return rows.select("doc_id", F.col("row")["id"].alias("id"), F.col("row")["lang"].alias("lang"))
+
+
+@query(
+    "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN NULL ELSE '§ ' || doc_id || '. Of ' || source || ' and of more.' || chr(10) || chr(10) || '(a) first part' || chr(10) || chr(10) || 'Ends here. ' || chr(10) END AS text, doc_id % 10 = 0 AS failed FROM documents".replace("here. '", "here.'")
+)
+def cleaned_pages(spark, d):
+    """Three pages a document with a running head, page numbers and a wrapped line; every tenth has no text layer."""
+    page = lambda k, body: F.concat(F.lit("Running Head\n\n"), body, F.lit(f"\nFoot\nPage {k} of 3"))
+    n, s = F.col("doc_id"), F.col("source")
+    bodies = [F.concat(F.lit("§ "), n, F.lit(". Of  "), s, F.lit("\nand of more.\n")), F.lit("(a) first part\n"), F.lit("Ends\u00a0here.")]
+    pages = F.array(*[F.when(n % 10 == 0, F.lit(" \n")).otherwise(page(k + 1, b)) for k, b in enumerate(bodies)])
+    out = pdfclean.clean_pages(table(spark, d, "documents").select("doc_id", F.posexplode(pages).alias("page_no", "text")))
+    return out.select("doc_id", "text", F.col("error").isNotNull().alias("failed"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS item_id, CASE WHEN doc_id % 6 = 1 THEN 'the text is blank' ELSE 'validity is empty and has no default' END AS reason FROM documents WHERE doc_id % 6 = 1 OR doc_id % 6 = 2")
+def ingest_refused(spark, d):
+    """What ingest gives back: blank texts, and items whose validity nobody stated."""
+    m, texts = corpus(spark, d)
+    n = F.col("item_id").cast("long")
+    blank = texts.withColumn("text", F.when(n % 6 == 1, F.lit(" ")).otherwise(F.col("text")))
+    facts = m.drop("authority_rank").withColumn("validity", F.when(n % 6 == 2, F.lit("")).otherwise(F.col("validity")))
+    _, refused, _ = ingest.ingest(blank, facts, shared.scratch_path(spark, "refused"))
+    return refused.select("item_id", F.explode("reasons").alias("reason"))

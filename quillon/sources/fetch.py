@@ -154,8 +154,13 @@ def ordered_bodies(named: Column) -> Column:
     return F.transform(F.array_sort(kept, lambda a, b: F.when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0)), lambda m: m["body"])
 
 
-def bindings(spark: SparkSession, answer: str) -> DataFrame:
-    """A SPARQL answer as a DataFrame of flat maps (row MAP<STRING, STRING>)."""
+def bindings_of(answers: DataFrame, answer: str = "answer", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keep..., row MAP<STRING, STRING>): the rows of SPARQL answers; an answer that is none has no rows."""
     schema = "struct<results:struct<bindings:array<map<string,struct<value:string>>>>>"
-    parsed = spark.createDataFrame([(answer,)], "answer string").select(F.from_json("answer", schema).alias("a"))
-    return parsed.select(F.explode("a.results.bindings").alias("b")).select(F.transform_values("b", lambda _, v: v["value"]).alias("row"))
+    parsed = answers.select(*keep, F.from_json(answer, schema).alias("__a"))
+    return parsed.select(*keep, F.explode("__a.results.bindings").alias("__b")).select(*keep, F.transform_values("__b", lambda _, v: v["value"]).alias("row"))
+
+
+def bindings(spark: SparkSession, answer: str) -> DataFrame:
+    """One SPARQL answer as a DataFrame of flat maps."""
+    return bindings_of(spark.createDataFrame([(answer,)], "answer string"))

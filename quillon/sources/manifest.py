@@ -36,7 +36,7 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
     if not header:
         return spark.createDataFrame([], ", ".join(f"{c} string" for c in (*COLUMNS, "_corrupt")))
     names = next(csv.reader(io.StringIO(header[0][0]), delimiter="\t"))
-    validate.check_columns(names)
+    validate.check_columns(names)  # of a folder, every part has the header that the first one has
     schema = ", ".join(f"`{n}` string" for n in names) + ", _corrupt string"
     rows = spark.read.csv(path, schema=schema, sep="\t", header=True, quote='"', escape='"', multiLine=True, columnNameOfCorruptRecord="_corrupt", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return rows.select(*[text(F.col(c)).alias(c) for c in COLUMNS], "_corrupt")
@@ -67,6 +67,12 @@ def write(df: DataFrame, path) -> int:
     return n
 
 
+def write_parts(df: DataFrame, path: str) -> None:
+    """The same rows as a folder of files, each with the header, written by the executors; scan() and read() take the folder."""
+    own = df.select(*[text(F.col(c)).alias(c) for c in COLUMNS])
+    own.write.csv(path, sep="\t", header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue="")
+
+
 def frame(spark: SparkSession, items: list[Item]) -> DataFrame:
     """Items in file order, with that order as file_pos."""
     rows = [(*[getattr(getattr(i, c), "value", getattr(i, c)) for c in COLUMNS], i.authority_tier.rank, k) for k, i in enumerate(items)]
