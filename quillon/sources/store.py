@@ -106,7 +106,7 @@ def texts(spark: SparkSession, root: str, every_suffix: bool = False) -> DataFra
     """
     if "://" not in root and not any(Path(root).glob("*.gz")):
         return spark.createDataFrame([], TEXTS)
-    raw = spark.read.text(f"{root}/*.gz", wholetext=True).select(F.col("value").alias("text"), F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_path").alias("path"))
+    raw = spark.read.text(f"{root}/*.gz", wholetext=True).select(F.col("value").alias("text"), F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B"))).alias("name"), F.col("_metadata.file_path").alias("path"))
     stem = r"^(.*)(\.[^.]*)\.gz$"
     out = raw.where(F.col("name").rlike(stem)).select(
         F.regexp_extract("name", stem, 1).alias("item_id"), F.regexp_extract("name", stem, 2).alias("suffix"), "path", "text", utf8_size(F.col("text")).alias("bytes"), F.sha2("text", 256).alias("sha256")
