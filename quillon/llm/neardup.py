@@ -203,7 +203,7 @@ def one_of_each(df: DataFrame, p: Params = Params(), id_col: str = "doc_id", tex
     Rows without an id go. Of rows that repeat an id one stays, the one with the smallest text.
     """
     near = near_duplicates(df, p, id_col, text_col)
-    gone = near.where(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
+    gone = sized(near.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")))
     left = df.where(F.col(id_col).isNotNull()).join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
     repeated = left.groupBy(F.col(id_col).alias("__id")).count().where("count > 1").select("__id")
     repeated = Written(repeated, "repeated")
