@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.sources.shared import drop_path, scratch_path, shared_dir
+
 WORD = re.compile(r"\w+")
 
 
@@ -28,32 +28,6 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     ).where(F.col("doc_id").isNotNull())
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, named by spark.checkpoint.dir.
-
-    Where the session names none, a temporary one is made, in local mode only: on a cluster a folder
-    of one machine would be lost with it.
-    """
-    conf = spark.sparkContext.getConf()
-    at = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="quillon-")
-        spark.conf.set("spark.checkpoint.dir", at)
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quillon/{name}-{uuid.uuid4().hex}"
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 class Written:
     """A table written to the shared folder: its lineage is cut, and losing executors loses nothing."""
 
