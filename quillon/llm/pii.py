@@ -31,6 +31,9 @@ class Params:
 
 _HIT = re.compile(r"[@\d]")
 _GROUPED = re.compile(r"\+?\d{1,4}[ .-]?\(?\d{2,4}\)?(?:[ .-]\d{2,4}){1,4}(?!\w)|\(\d{2,4}\) ?\d{2,4}(?:[ .-]\d{2,4}){1,3}(?!\w)")
+#: the same with noise between its groups
+_NOISY = re.compile(r"\+\d{1,3}[#$%&*!]* ?\(?\d{2,4}\)?[#$%&*!]*(?: ?\d{2,4}(?:-\d{2,4})?[#$%&*!]*){1,3}(?!\w)")
+_NOISE = re.compile(r"[#$%&*!]+")
 _PLAIN = re.compile(r"[^\s\"'<>|#$%&*!?;,=()\[\]{}]+")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
 _PHONE = re.compile(r"\+1 ?\(\d{3}\) ?\d{3}-\d{4}")
@@ -75,11 +78,11 @@ def mentions(text: str, least_digits: int) -> list[tuple[int, int, str]]:
             start -= 1
         if start > done and text[start - 1] == "(" and (start - 2 < 0 or text[start - 2].isspace()):
             start -= 1
-        m = _GROUPED.match(text, start) or _PLAIN.match(text, start)
+        m = _GROUPED.match(text, start) or _NOISY.match(text, start) or _PLAIN.match(text, start)
         if not m:
             done = k + 1
             continue
-        value = m.group().rstrip(".:-/_")
+        value = m.group().rstrip(".:-/_#$%&*!")
         done = max(m.end(), k + 1)
         if ("@" in value and not value.startswith("@") and not value.endswith("@")) or sum(map(str.isdigit, value)) >= least_digits:
             out.append((start, start + len(value), value))
@@ -106,7 +109,8 @@ def _mentioned(docs: DataFrame, p: Params) -> Written:
             rows = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py()
-                for start, end, value in mentions(text, p.digits):
+                for start, end, raw in mentions(text, p.digits):
+                    value = _NOISE.sub("", raw)
                     rows.append((i, start, end, value, seed_kind(value), patterns(text, start, end, value)))
             if rows:
                 kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()))

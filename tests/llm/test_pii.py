@@ -25,6 +25,12 @@ def test_mentions_are_found_in_any_surrounding():
     assert all(text[a:b] == v for a, b, v in pii.mentions(text, 5))
 
 
+def test_noise_between_the_groups_of_a_number(spark):
+    noisy = "of&&& +1*** (743)$$$ 555-3824### the&&& at!! +1!! (212)!! 555-0000!!"
+    assert [v for _, _, v in pii.mentions(noisy, 5)] == ["+1*** (743)$$$ 555-3824", "+1!! (212)!! 555-0000"]
+    assert sorted((r.kind, r.start) for r in pii.identifiers(frame(spark, [(1, noisy)])).collect()) == [("phone", 6), ("phone", 45)]
+
+
 def brute(found, p):
     """The same rounds over dictionaries."""
     graph = {(v, x) for v, _, ps in found for x in ps}
