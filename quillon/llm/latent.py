@@ -31,7 +31,7 @@ class Params:
     oversample: int = 8
     iterations: int = 2  #: passes of A'A
     common: float = 0.05  #: of the passages; terms in more of them weigh nothing
-    cosine: float = 0.45
+    cosine: float = 0.4
     lcs: float = 0.6  #: of the item's words, in order
     answer: float = 0.5  #: of the answer's words, in order
     chunk_chars: int = 4_000_000  #: characters of benchmark text worked on at a time

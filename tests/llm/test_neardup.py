@@ -49,7 +49,7 @@ def test_circulant_coordinates_are_shifts_of_one_permutation():
     p = neardup.Params(universe_bits=12)
     c = neardup.Circulant(p)
     d = 1 << 12
-    second = c.shifted[:, 0]
+    second = c.shifted[:d, 0]
     assert sorted(second) == list(range(d)) and sorted(c.first) == list(range(d))
     shingles = np.random.default_rng(0).integers(0, 2**63, 3000).astype(np.uint64)
     at = c.first[shingles >> np.uint64(52)]
