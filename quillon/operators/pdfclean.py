@@ -38,13 +38,12 @@ def unterminated(line: Column) -> Column:
 
 def edge_votes(pages: DataFrame) -> DataFrame:
     """(doc_id, line, votes): pages on which a line stands among the first or last non-blank ones."""
-    full = F.filter(F.transform(split_lines(F.col("text")), strip), lambda x: x != "")
-    n = F.size(full)
-    rest = n - EDGE
-    head = F.slice(full, F.lit(1), F.least(n, F.lit(EDGE)))
-    tail = F.when(rest > 0, F.slice(full, n - F.least(rest, F.lit(EDGE)) + 1, F.least(rest, F.lit(EDGE)))).otherwise(F.slice(full, F.lit(1), F.lit(0)))
+    full = pages.select("doc_id", F.filter(F.transform(split_lines(F.col("text")), strip), lambda x: x != "").alias("__full")).select("doc_id", "__full", F.size("__full").alias("__n"))
+    head = F.slice("__full", F.lit(1), F.least("__n", F.lit(EDGE)))
+    rest = F.greatest(F.lit(0), F.least(F.col("__n") - EDGE, F.lit(EDGE)))
+    tail = F.slice("__full", F.greatest(F.lit(1), F.col("__n") - rest + 1), rest)
     edges = F.array_distinct(F.concat(head, tail))
-    return pages.select("doc_id", F.explode(edges).alias("line")).groupBy("doc_id", "line").agg(F.count("*").alias("votes"))
+    return full.select("doc_id", F.explode(edges).alias("line")).groupBy("doc_id", "line").agg(F.count("*").alias("votes"))
 
 
 def furniture(pages: DataFrame, share: float = SHARE) -> DataFrame:
@@ -58,15 +57,14 @@ def without_furniture(pages: DataFrame, share: float = SHARE) -> DataFrame:
     """Pages without furniture and page numbers at their edges; a document of one page stays as it is."""
     found = furniture(pages, share).groupBy("doc_id").agg(F.collect_set("line").alias("__f"))
     sizes = pages.groupBy("doc_id").agg((F.count("*") > 1).alias("__many"))
-    lines, empty = split_lines(F.col("text")), F.array().cast("array<string>")
-    n = F.size(lines)
-
-    def stays(line: Column, k: Column) -> Column:
-        edge = (k < EDGE) | (k >= n - EDGE)
-        return ~(edge & (F.array_contains(F.coalesce("__f", empty), strip(line)) | page_number(line)))
-
-    kept = F.array_join(F.filter(lines, stays), "\n")
-    return pages.join(found, "doc_id", "left").join(sizes, "doc_id").select("doc_id", "page_no", F.when(F.col("__many"), kept).otherwise(F.col("text")).alias("text"))
+    empty = F.array().cast("array<string>")
+    #: only the lines at the edges are looked at; the middle is one slice
+    cut = pages.join(found, "doc_id", "left").join(sizes, "doc_id").withColumn("__l", split_lines(F.col("text"))).withColumn("__n", F.size("__l"))
+    first, last = F.least("__n", F.lit(EDGE)), F.greatest(F.least("__n", F.lit(EDGE)), F.col("__n") - EDGE)
+    stays = lambda line: ~(F.array_contains(F.coalesce("__f", empty), strip(line)) | page_number(line))
+    head, tail = F.filter(F.slice("__l", F.lit(1), first), stays), F.filter(F.slice("__l", last + 1, F.col("__n") - last), stays)
+    kept = F.array_join(F.concat(head, F.slice("__l", first + 1, last - first), tail), "\n")
+    return cut.select("doc_id", "page_no", F.when(F.col("__many"), kept).otherwise(F.col("text")).alias("text"))
 
 
 def rejoined_blocks(lines: DataFrame) -> DataFrame:

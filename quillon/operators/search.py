@@ -79,7 +79,8 @@ def resolved_all(manifest: DataFrame, refs: DataFrame) -> DataFrame:
     wanted = refs.select("ref", strip(text(F.col("ref"))).alias("__w")).distinct()
     order = F.col("file_pos") if "file_pos" in manifest.columns else F.col("item_id")
     keys = manifest.select(F.col("item_id").alias("__k"), F.lit(0).alias("__p"), "item_id", order.alias("__o")).unionByName(manifest.select(F.lower("citation").alias("__k"), F.lit(1).alias("__p"), "item_id", order.alias("__o")))
-    hit = wanted.join(keys, ((F.col("__p") == 0) & (F.col("__w") == F.col("__k"))) | ((F.col("__p") == 1) & (F.lower("__w") == F.col("__k"))))
+    asked = wanted.select("ref", F.col("__w").alias("__k"), F.lit(0).alias("__p")).unionByName(wanted.select("ref", F.lower("__w").alias("__k"), F.lit(1).alias("__p")))
+    hit = asked.join(keys, ["__k", "__p"])
     best = hit.groupBy("ref").agg(F.min_by("item_id", F.struct("__p", "__o")).alias("item_id"))
     return refs.select("ref").distinct().join(best, "ref", "left")
 
