@@ -32,7 +32,7 @@ END = b"\r\n\r\n"
 @dataclass(frozen=True)
 class Params:
     split_bytes: int = 16 << 20  #: bytes of a task's range
-    header_bytes: int = 64 << 10  #: a record's header is at most this long
+    header_bytes: int = 64 << 10  #: bytes first read on for a header; one that is longer is read on until its end
 
 
 @lru_cache(maxsize=8)
@@ -46,7 +46,7 @@ def _open(path: str):
     return fs.open_input_file(f"{base}/{name}")
 
 
-def header(block: bytes, at: int = 0) -> tuple[int, dict[str, str]] | None:
+def header(block: bytes | bytearray, at: int = 0) -> tuple[int, dict[str, str]] | None:
     """Of a record that starts at a place in a block: where its payload begins, and its fields; None if it isn't one."""
     if not _START.match(block, at):
         return None
@@ -65,13 +65,34 @@ def header(block: bytes, at: int = 0) -> tuple[int, dict[str, str]] | None:
     return end + 4, fields
 
 
-def _candidates(data: bytes, base: int, most: int, size: int, p: Params) -> list[tuple[int, int]]:
+def _header_at(f, data: bytearray, base: int, at: int, step: int) -> tuple[int, dict[str, str]] | None:
+    """header() at a place in data, that begins at base in the file; data grows by what has to be read on for it.
+
+    Reading ends at the blank line, whatever the header's length, or at a line that is no field.
+    """
+    line = at
+    while True:
+        while (stop := data.find(b"\r\n", line)) >= 0:
+            if stop == line:
+                return header(data, at)
+            if data.find(b":", line, stop) < 0 and (line > at or not _START.match(data, at)):
+                return None
+            line = stop + 2
+        f.seek(base + len(data))
+        more = f.read(step)
+        if not more:
+            return None
+        data += more
+        step *= 2
+
+
+def _candidates(f, data: bytearray, base: int, most: int, size: int, p: Params) -> list[tuple[int, int]]:
     """(offset, successor) of all that looks like a record starting in the first `most` bytes of data."""
     out, k = [], data.find(MAGIC)
     while 0 <= k < most:
-        found = header(data[k : k + p.header_bytes]) if k == 0 or data[k - 1 : k] == b"\n" else None
+        found = _header_at(f, data, base, k, p.header_bytes) if k == 0 or data[k - 1 : k] == b"\n" else None
         if found:
-            after = base + k + found[0] + int(found[1]["content-length"]) + 4
+            after = base + found[0] + int(found[1]["content-length"]) + 4
             if after <= size:
                 out.append((base + k, after))
         k = data.find(MAGIC, k + 1)
@@ -103,9 +124,9 @@ def reachable_entries(spans: DataFrame, p: Params = Params()) -> Written:
                 with _open(file) as f:
                     lead = 1 if start else 0
                     f.seek(start - lead)
-                    data = f.read(min(width, size - start) + lead + p.header_bytes)
-                end = min(start + width, size)
-                own = [c for c in _candidates(data, start - lead, end - start + lead, size, p) if c[0] >= start]
+                    data = bytearray(f.read(min(width, size - start) + lead + p.header_bytes))
+                    end = min(start + width, size)
+                    own = [c for c in _candidates(f, data, start - lead, end - start + lead, size, p) if c[0] >= start]
                 rows += [(file, at, to) for at, to in _exits(own, end)]
             yield pd.DataFrame(rows, columns=["file", "at", "to"])
 
@@ -147,22 +168,18 @@ def records(spark: SparkSession, files: DataFrame, p: Params = Params()) -> Data
             for file, size, start, entry in zip(*(c.to_pylist() for c in batch.columns)):
                 rows, held = [], 0
                 with _open(file) as f:
-                    at, end, data, base = entry, min(start + width, size), b"", entry
+                    at, end, base = entry, min(start + width, size), entry
                     f.seek(at)
-                    data = f.read(end - at)
+                    data = bytearray(f.read(end - at))
                     while at < end:
-                        block = data[at - base : at - base + p.header_bytes]
-                        if len(block) < p.header_bytes and at + len(block) < size:
-                            f.seek(at)
-                            block = f.read(p.header_bytes)
-                        found = header(block)
+                        found = _header_at(f, data, base, at - base, p.header_bytes)
                         if not found:
                             break
                         length = int(found[1]["content-length"])
-                        body = at + found[0]
+                        body = base + found[0]
                         if body + length + 4 > size:
                             break
-                        payload = data[body - base : body - base + length]
+                        payload = bytes(memoryview(data)[body - base : body - base + length])
                         if len(payload) < length:
                             f.seek(body)
                             payload = f.read(length)

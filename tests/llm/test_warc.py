@@ -59,5 +59,13 @@ def test_pages_come_back_whole(spark):
     assert warc.pages_through_warc(spark, df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("split", [1000, 1 << 20])
+def test_headers_of_any_length(spark, split):
+    long = "data:text/html," + "x" * 200_000
+    df = spark.createDataFrame([(1, "http://x/1", "one"), (2, long, "two"), (3, "http://x/3", "WARC/1.1\r\nA: " + "y" * 150_000), (4, "http://x/4", "four")], "page_id long, url string, html string").coalesce(1)
+    got = sorted((r.page_id, r.url, r.html) for r in warc.pages_through_warc(spark, df, warc.Params(split_bytes=split)).collect())
+    assert got == sorted((r.page_id, r.url, r.html) for r in df.collect())
+
+
 def test_scratch_is_in_the_shared_folder(spark):
     assert scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
