@@ -30,8 +30,7 @@ class Params:
     rank: int = 64
     oversample: int = 8
     iterations: int = 2  #: passes of A'A
-    common: float = 0.05  #: of the passages; terms in more of them weigh nothing
-    cosine: float = 0.4
+    cosine: float = 0.2
     lcs: float = 0.6  #: of the item's words, in order
     answer: float = 0.5  #: of the answer's words, in order
     chunk_chars: int = 4_000_000  #: characters of benchmark text worked on at a time
@@ -116,17 +115,6 @@ class Sparse:
         out[term] += sums(y / self.norm, local[order], at) * self.idf[term, None]
 
 
-def weights(seen: np.ndarray, passages: int, items: Items, p: Params) -> np.ndarray:
-    """idf of each term; 0 for those in more than p.common of the passages, unless an item would lose half of its weight by that."""
-    idf = np.log((passages + 1) / (seen + 1)).clip(0).astype(np.float32)
-    keep = seen <= p.common * passages
-    rows, terms, _ = item_passages(items, p)
-    power = np.square(idf)[terms]
-    whole, kept = np.bincount(rows, power), np.bincount(rows, power * keep[terms])
-    keep[terms[(kept < whole / 2)[rows]]] = True
-    return idf * keep
-
-
 def _tiles(coded, width: int, most: int = 120_000):
     """Of (id, terms) arrays: passages side by side, as (rows, terms) of about `most` hits at a time."""
     rows, terms, base, n = [], [], 0, 0
@@ -401,7 +389,7 @@ def leaks(df: DataFrame, benchmark: DataFrame, p: Params = Params(), id_col: str
         for r in table.df.where("doc_id IS NULL").select(F.posexplode("seen")).groupBy("pos").agg(F.sum("col").alias("n")).collect():
             seen[r["pos"]] = r["n"]
         n = seen[-1] + len(items.ids)
-        idf = weights(seen[:-1], n, items, p)
+        idf = np.log((n + 1) / (seen[:-1] + 1)).clip(0).astype(np.float32)
         space = latent_space(table.df, items, idf, p)
         found = Written(
             _found(table.df, items, idf, space, p).groupBy("doc_id", "item_id").agg(F.max_by(F.struct("lcs", "answer", "at_word"), F.struct("lcs", "answer", -F.col("at_word"))).alias("best")).select("doc_id", "item_id", "best.*"),

@@ -105,6 +105,28 @@ def test_paraphrases_and_odd_rows(spark):
     assert sorted((r.doc_id, r.item_id) for r in latent.leaks(docs, bench, latent.Params(chunk_chars=150)).collect()) == got
 
 
+def test_paraphrases_of_short_items_against_brute_force(spark):
+    big, rng = "/root/testdata/sf0.1", random.Random(3)
+    texts = [r.text for r in spark.read.parquet(f"{big}/documents.parquet").collect() if r.text]
+    rows = [(r.item_id, r.text) for r in spark.read.parquet(f"{big}/benchmark.parquet").collect()]
+    vocabulary = [w for t in rng.sample(texts, 300) for w in words(t)]
+    verdict = latent.Items.of(rows)
+    names, planted, want = {k: w for w, k in verdict.vocabulary.items()}, [], []
+    for i, item, answer in [x for x in zip(verdict.ids, verdict.words, verdict.answers) if len(x[1]) <= 24] * 3:
+        item, answer = [names[k] for k in item.tolist()], [names[k] for k in answer.tolist()]
+        said = list(item)
+        for k in rng.sample(range(len(item)), int(0.35 * len(item))):
+            said[k] = rng.choice(vocabulary)
+        host = rng.choice(texts).split()
+        at = rng.randrange(len(host) + 1)
+        planted.append((10**9 + len(planted), " ".join(host[:at] + said + host[at:])))
+        if lcs(item, said) >= 0.6 * len(item) and lcs(answer, said) >= 0.5 * len(answer):
+            want.append((planted[-1][0], i))
+    docs = spark.createDataFrame(list(enumerate(texts)) + planted, "doc_id long, text string").repartition(8)
+    got = {(r.doc_id, r.item_id) for r in latent.leaks(docs, spark.createDataFrame(rows, "item_id long, text string")).collect()}
+    assert len(want) > 80 and sum(x in got for x in want) >= 0.9 * len(want)
+
+
 def test_empty_tables(spark):
     docs, bench = spark.createDataFrame([(1, "some words here", 7, "x", "y")], DOCS), spark.createDataFrame([(1, "a question of words", 1, "z")], ITEMS)
     for d, b in ((docs.limit(0), bench), (docs, bench.limit(0)), (docs.limit(0), bench.limit(0))):
