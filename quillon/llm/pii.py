@@ -30,13 +30,18 @@ class Params:
 
 
 _HIT = re.compile(r"[@\d]")
-_GROUPED = re.compile(r"\+?\d{1,4}[ .-]?\(?\d{2,4}\)?(?:[ .-]\d{2,4}){1,4}(?!\w)|\(\d{2,4}\) ?\d{2,4}(?:[ .-]\d{2,4}){1,3}(?!\w)")
+_GROUPED = re.compile(r"\+?\d{1,4}[ .-]?\(?\d{2,4}\)?(?:[ .-]\d{2,4}){1,4}(?!\w|\.\d)|\(\d{2,4}\) ?\d{2,4}(?:[ .-]\d{2,4}){1,3}(?!\w|\.\d)")
 #: the same with noise between its groups
 _NOISY = re.compile(r"\+\d{1,3}[#$%&*!]* ?\(?\d{2,4}\)?[#$%&*!]*(?: ?\d{2,4}(?:-\d{2,4})?[#$%&*!]*){1,3}(?!\w)")
 _NOISE = re.compile(r"[#$%&*!]+")
 _PLAIN = re.compile(r"[^\s\"'<>|#$%&*!?;,=()\[\]{}]+")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
+_IPV4 = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}(?![\w-]|\.\w)")
 _PHONE = re.compile(r"\+1 ?\(\d{3}\) ?\d{3}-\d{4}")
+#: the same, and cards, where they end in a text
+_PHONE_END = re.compile(_PHONE.pattern + r"(?!\w)")
+_CARD = re.compile(r"[0-9]{13,19}(?![\w-]|\.\d)")
+_EMAIL_END = re.compile(_EMAIL.pattern + r"(?![\w@-]|\.\w)")
 
 
 def luhn(digits: str) -> bool:
@@ -66,8 +71,17 @@ def shapes(value: str) -> tuple[str, str]:
     return (coarse if "@" in value or value.count(".") == 3 else fine), coarse
 
 
+def _seed(text: str, start: int) -> re.Match | None:
+    """The identifier that begins at a place and whose own form proves it, if it ends there too."""
+    for form in (_IPV4, _PHONE_END, _CARD, _EMAIL_END):
+        m = form.match(text, start)
+        if m and seed_kind(m.group()):
+            return m
+    return None
+
+
 def mentions(text: str, least_digits: int) -> list[tuple[int, int, str]]:
-    """(start, end, value) of what is identifier-like; each place once, the longest form first."""
+    """(start, end, value) of what is identifier-like; each place once, what its own form proves first, then the longest form."""
     out, done = [], 0
     for hit in _HIT.finditer(text):
         k = hit.start()
@@ -78,7 +92,7 @@ def mentions(text: str, least_digits: int) -> list[tuple[int, int, str]]:
             start -= 1
         if start > done and text[start - 1] == "(" and (start - 2 < 0 or text[start - 2].isspace()):
             start -= 1
-        m = _GROUPED.match(text, start) or _NOISY.match(text, start) or _PLAIN.match(text, start)
+        m = _seed(text, start) or _GROUPED.match(text, start) or _NOISY.match(text, start) or _PLAIN.match(text, start)
         if not m:
             done = k + 1
             continue

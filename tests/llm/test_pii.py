@@ -31,6 +31,27 @@ def test_noise_between_the_groups_of_a_number(spark):
     assert sorted((r.kind, r.start) for r in pii.identifiers(frame(spark, [(1, noisy)])).collect()) == [("phone", 6), ("phone", 45)]
 
 
+def test_seed_forms_are_mentioned_whole():
+    text = "at 192.168.1.20 and 161.17.88.1, +1 (826) 555-4081 190.137.22.5 or 10.0.0.1. 4111111111111111 10.20.30.40"
+    assert [v for _, _, v in pii.mentions(text, 5)] == ["192.168.1.20", "161.17.88.1", "+1 (826) 555-4081", "190.137.22.5", "10.0.0.1", "4111111111111111", "10.20.30.40"]
+
+
+def test_no_seed_form_of_real_texts_is_lost():
+    """An independent scan of the raw texts for what stands between spaces, quotes, brackets and noise."""
+    import re
+
+    import duckdb
+
+    forms = re.compile(r"(?<![\w.+@-])(?:\+1 ?\(\d{3}\) ?\d{3}-\d{4}|\d{1,3}(?:\.\d{1,3}){3}|\d{13,19}|[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})(?![\w@-]|\.\w)")
+    n = 0
+    for (text,) in duckdb.sql("select text from '/root/testdata/sf0.1/documents.parquet' where text is not null").fetchall():
+        want = {(m.start(), m.end()) for m in forms.finditer(text) if pii.seed_kind(m.group())}
+        n += len(want)
+        if want:
+            assert want <= {(a, b) for a, b, _ in pii.mentions(text, 5)}
+    assert n > 500
+
+
 def brute(found, p):
     """The same rounds over dictionaries."""
     graph = {(v, x) for v, _, ps in found for x in ps}
