@@ -71,7 +71,7 @@ class Rule:
     check: object = None  #: verifies what the secret has of a checksum
 
 
-_ASSIGN = r"""(?i:{word})["']?\s*(?:=|:=|:|=>)\s*["']?([A-Za-z0-9+/_\-.~!@#$%^]{{{least},200}}?)(?=["'\s,;)]|[&%$#*!]{{2}}|$)"""
+_ASSIGN = r"""(?i:{word})["']?\s*(?:=|:=|:|=>)\s*["']?([A-Za-z0-9+/_\-.~!@#$%^]{{{least},}}?={{0,2}})(?=["'\s,;)]|[&%$#*!]{{2}}|$)"""
 
 RULES = (
     Rule("github_token", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), r"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])", crc_tail),

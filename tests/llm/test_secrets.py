@@ -37,6 +37,12 @@ def test_kinds_without_checksum():
     assert found("the token is a word; a password; secretary: nobody; tokens tokens") == []
 
 
+def test_assigned_values_of_any_length_and_with_padding():
+    for value in ("a1" * 110, "b2" * 5000, "QUJDREVGR0hJSktMTU5PUA==", "QUJDREVGR0hJSktMTU5PUFE="):
+        assert found(f'secret: "{value}" end') == [("assigned_token", value, "none")]
+        assert found(f"token={value}") == [("assigned_token", value, "none")]
+
+
 def test_prefilter_finds_what_expressions_alone_find():
     """Every rule's expression tried everywhere gives nothing more than near keywords."""
     import duckdb
