@@ -1,3 +1,5 @@
+import itertools
+
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -24,6 +26,15 @@ def test_equals_the_reference_tokenizer(text):
     assert ids == REAL.encode_ordinary(text) and CODEC.decode(ids) == text
 
 
+def test_all_triples_of_controls_and_separators():
+    """Every pair of control, space and separator characters, in the narrow and in the wide expression, before and after others."""
+    odd = [chr(c) for c in (*range(33), *range(0x7F, 0xA1), 0x1680, 0x2000, 0x2007, 0x200B, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0x180E, 0xFEFF)] + ["a", "1", "é", "'", "-"]
+    few = ["\n", "\x1c", "\x1f", "\x85", "\xa0", " ", "\x00", "\t", "a", "1", "!", "\u2028", "日"]
+    texts = ["".join(t) for t in itertools.product(odd, repeat=2)] + ["".join(t) for t in itertools.product(few, repeat=3)] + ["".join(t) for t in itertools.product(few[:8], repeat=4)]
+    texts.append("\n\n\x1c")
+    assert [t for t in texts if CODEC.encode(t) != REAL.encode_ordinary(t)] == []
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.binary(min_size=1, max_size=120))
 def test_fragments_are_independent(raw):
