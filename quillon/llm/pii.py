@@ -9,6 +9,7 @@ seeds lift patterns, and confident patterns lift instances that no seed rule cov
 
 from __future__ import annotations
 
+import bisect
 import re
 from dataclasses import dataclass
 
@@ -21,14 +22,14 @@ from .common import Written, id_text
 
 @dataclass(frozen=True)
 class Params:
-    rounds: int = 4  #: at most; fewer if nothing changes
     support: int = 3  #: distinct known instances that a pattern needs
     pattern_confidence: float = 0.7
     instance_confidence: float = 0.7
     smoothing: float = 1.0  #: added to the instances that a pattern is divided by
-    digits: int = 5  #: an instance has an @ or this many digits
+    digits: int = 1  #: an instance has an @, a form that proves itself, or this many digits
 
 
+_WORD = re.compile(r"\w+")
 _HIT = re.compile(r"[@\d]")
 _GROUPED = re.compile(r"\+?\d{1,4}[ .-]?\(?\d{2,4}\)?(?:[ .-]\d{2,4}){1,4}(?!\w|\.\d)|\(\d{2,4}\) ?\d{2,4}(?:[ .-]\d{2,4}){1,3}(?!\w|\.\d)")
 #: the same with noise between its groups
@@ -40,7 +41,8 @@ _IPV4 = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}(?![\w-]|\.\w)")
 _PHONE = re.compile(r"\+1 ?\(\d{3}\) ?\d{3}-\d{4}")
 #: the same, and cards, where they end in a text
 _PHONE_END = re.compile(_PHONE.pattern + r"(?!\w)")
-_CARD = re.compile(r"[0-9]{13,19}(?![\w-]|\.\d)")
+_CARD = re.compile(r"(?:[0-9]{13,19}|[0-9]{4}(?P<gap>[ -])[0-9]{4}(?P=gap)[0-9]{4}(?P=gap)[0-9]{1,4}(?:(?P=gap)[0-9]{1,3})?|3[0-9]{3}(?P<g>[ -])[0-9]{6}(?P=g)[0-9]{5})(?![\w-]|\.\d)")
+_CARD_GAP = re.compile(r"(?<=\d)[ -](?=\d)")
 _EMAIL_END = re.compile(_EMAIL.pattern + r"(?![\w@-]|\.\w)")
 
 
@@ -56,8 +58,9 @@ def seed_kind(value: str) -> str | None:
     """The kind of an identifier that its own form proves."""
     if "@" in value:
         return "email" if _EMAIL.fullmatch(value) else None
-    if value.isascii() and value.isdigit():
-        return "card" if 13 <= len(value) <= 19 and value[0] in "3456" and luhn(value) else None
+    if value.isascii() and value[:1].isdigit() and value.find(".") < 0 and _CARD.fullmatch(value):
+        number = _CARD_GAP.sub("", value)
+        return "card" if 13 <= len(number) <= 19 and number[0] in "3456" and luhn(number) else None
     if value.count(".") == 3 and all(p.isascii() and p.isdigit() and len(p) < 4 and int(p) < 256 and str(int(p)) == p for p in value.split(".")):
         return "ipv4"
     return "phone" if _PHONE.fullmatch(value) else None
@@ -98,15 +101,30 @@ def mentions(text: str, least_digits: int) -> list[tuple[int, int, str]]:
             continue
         value = m.group().rstrip(".:-/_#$%&*!")
         done = max(m.end(), k + 1)
-        if ("@" in value and not value.startswith("@") and not value.endswith("@")) or sum(map(str.isdigit, value)) >= least_digits:
+        if ("@" in value and not value.startswith("@") and not value.endswith("@")) or sum(map(str.isdigit, value)) >= least_digits or seed_kind(value):
             out.append((start, start + len(value), value))
     return out
 
 
-def patterns(text: str, start: int, end: int, value: str) -> list[str]:
+class Words:
+    """Where a text's words begin and end, found once, and only if they are asked for."""
+
+    def __init__(self, text: str):
+        self.text, self.starts, self.ends = text, None, None
+
+    def around(self, start: int, end: int) -> tuple[list[str], list[str]]:
+        """The last two words that end before a place and the first that begins after it, whole, however far away or long."""
+        if self.starts is None:
+            spans = [m.span() for m in _WORD.finditer(self.text)]
+            self.starts, self.ends = [a for a, _ in spans], [b for _, b in spans]
+        i, j = bisect.bisect_right(self.ends, start), bisect.bisect_left(self.starts, end)
+        word = lambda k: self.text[self.starts[k] : self.ends[k]].lower()
+        return [word(k) for k in range(max(0, i - 2), i)], [word(k) for k in range(j, min(j + 1, len(self.starts)))]
+
+
+def patterns(words: Words, start: int, end: int, value: str) -> list[str]:
     fine, coarse = shapes(value)
-    before = re.findall(r"\w+", text[max(0, start - 80) : start].lower())[-2:]
-    after = re.findall(r"\w+", text[end : end + 40].lower())[:1]
+    before, after = words.around(start, end)
     out = ["shape " + fine]
     if before:
         out.append(f"after {before[-1]} {coarse}")
@@ -123,9 +141,10 @@ def _mentioned(docs: DataFrame, p: Params) -> Written:
             rows = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py()
+                words = Words(text)
                 for start, end, raw in mentions(text, p.digits):
                     value = _NOISE.sub("", raw)
-                    rows.append((i, start, end, value, seed_kind(value), patterns(text, start, end, value)))
+                    rows.append((i, start, end, value, seed_kind(value), patterns(words, start, end, value)))
             if rows:
                 kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()))
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "start", "end", "value", "seed", "patterns"])
@@ -139,13 +158,16 @@ def bootstrapped(found: DataFrame, p: Params = Params()) -> Written:
     found: (value, seed, patterns). In each round
       pattern(kind)  = sum of its distinct instances' confidence in the kind / (all its distinct instances + smoothing)
       instance(kind) = 1 - product over its confident patterns of (1 - pattern(kind));  seeds stay at 1.
-    A pattern is confident at p.pattern_confidence and with p.support known instances.
+    A pattern is confident at p.pattern_confidence and with p.support known instances. An instance
+    keeps what made it surest: a round changes it only if it becomes surer. So the rounds, which go
+    on until no value, kind or confidence changes, come to an end. Of kinds that are equally sure in
+    one round the last by name counts.
     """
     graph = Written(found.select("value", F.explode("patterns").alias("pattern")).distinct(), "graph")
     seeds = found.where("seed IS NOT NULL").select("value", F.col("seed").alias("kind")).distinct().withColumn("confidence", F.lit(1.0)).withColumn("seed", F.lit(True))
     seeds, degree = Written(seeds, "seeds"), Written(graph.df.groupBy("pattern").agg(F.count("*").alias("degree")), "degree")
-    known, count = Written(seeds.df, "known"), -1
-    for _ in range(p.rounds):
+    known = Written(seeds.df, "known")
+    while True:
         lifted = graph.df.join(known.df, "value").groupBy("pattern", "kind").agg(F.sum("confidence").alias("mass"), F.count("*").alias("members"))
         sure = (
             lifted.where(F.col("members") >= p.support)
@@ -155,12 +177,14 @@ def bootstrapped(found: DataFrame, p: Params = Params()) -> Written:
         )
         each = graph.df.join(sure, "pattern").groupBy("value", "kind").agg(F.round(1 - F.exp(F.sum(F.log(1 - F.col("of")))), 4).alias("confidence"))
         best = each.groupBy("value").agg(F.max_by(F.struct("kind", "confidence"), F.struct("confidence", "kind")).alias("x")).select("value", "x.kind", "x.confidence")
-        best = best.where(F.col("confidence") >= p.instance_confidence).join(seeds.df.select("value"), "value", "left_anti").withColumn("seed", F.lit(False))
-        after = Written(seeds.df.unionByName(best), "known")
+        best = best.where(F.col("confidence") >= p.instance_confidence).select("value", F.struct("confidence", F.lit(0).alias("old"), "kind", F.lit(False).alias("seed")).alias("x"))
+        had = known.df.select("value", F.struct("confidence", F.lit(1).alias("old"), "kind", "seed").alias("x"))
+        after = Written(had.unionByName(best).groupBy("value").agg(F.max("x").alias("x")).select("value", "x.kind", "x.confidence", "x.seed", (F.col("x.old") == 0).alias("changed")), "known")
         known.drop()
-        known, was, count = after, count, after.df.count()
-        if count == was:
+        known = after
+        if not after.df.where("changed").limit(1).count():
             break
+    known.df = known.df.drop("changed")
     for t in (graph, seeds, degree):
         t.drop()
     return known
@@ -172,7 +196,8 @@ def identifiers(df: DataFrame, p: Params = Params(), id_col: str = "doc_id", tex
     discovered: found by confident patterns, not by a seed rule. The value itself isn't given, but
     its shape and its hash. start and end count characters of the whole text. Null and empty texts
     have none; rows without an id are left out; repeated rows are reported each, but a value counts
-    once in every statistic. An empty table gives no rows.
+    once in every statistic. Of kinds that are equally sure the last by name is given. An empty
+    table gives no rows.
     """
     found = _mentioned(id_text(df, id_col, text_col), p)
     known = bootstrapped(found.df, p)

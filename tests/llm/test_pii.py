@@ -13,7 +13,7 @@ def frame(spark, rows):
 
 @pytest.mark.parametrize(
     "value,kind",
-    [("ann.b@mail.example.com", "email"), ("a@b", None), ("4111111111111111", "card"), ("4111111111111112", None), ("10.0.0.255", "ipv4"), ("10.0.0.256", None), ("10.0.00.1", None), ("+1 (743) 555-3824", "phone"), ("12345", None)],
+    [("ann.b@mail.example.com", "email"), ("a@b", None), ("4111111111111111", "card"), ("4111111111111112", None), ("10.0.0.255", "ipv4"), ("10.0.0.256", None), ("10.0.00.1", None), ("+1 (743) 555-3824", "phone"), ("12345", None), ("4111 1111 1111 1111", "card"), ("4111-1111-1111-1111", "card"), ("4111 1111-1111 1111", None), ("3782 822463 10005", "card"), ("8.8.8.8", "ipv4")],
 )
 def test_seeds(value, kind):
     assert pii.seed_kind(value) == kind
@@ -59,8 +59,8 @@ def brute(found, p):
     degree = {}
     for _, x in graph:
         degree[x] = degree.get(x, 0) + 1
-    known, n = {v: (k, 1.0) for v, k in seeds.items()}, -1
-    for _ in range(p.rounds):
+    known = {v: (k, 1.0) for v, k in seeds.items()}
+    while True:
         mass = {}
         for v, x in graph:
             if v in known:
@@ -72,15 +72,13 @@ def brute(found, p):
             for (y, kind), c in sure.items():
                 if x == y:
                     left.setdefault(v, {}).setdefault(kind, []).append(1 - c)
-        known = {v: (k, 1.0) for v, k in seeds.items()}
+        changed = False
         for v, kinds in left.items():
             best = max((round(1 - __import__("math").prod(m), 4), k) for k, m in kinds.items())
-            if v not in seeds and best[0] >= p.instance_confidence:
-                known[v] = (best[1], best[0])
-        if n == len(known):
-            break
-        n = len(known)
-    return known
+            if best[0] >= p.instance_confidence and best[0] > known.get(v, ("", 0))[1]:
+                known[v], changed = (best[1], best[0]), True
+        if not changed:
+            return known
 
 
 def corpus(rng):
@@ -99,7 +97,7 @@ def test_confident_patterns_discover_what_no_rule_covers(spark):
     by = {r.doc_id: r for r in out}
     assert by[50].discovered and by[50].kind == "ipv4" and by[50].confidence >= 0.7
     assert set(by) == {*range(40), 50}  # order numbers stay
-    found = [(v, pii.seed_kind(v), pii.patterns(t, a, b, v)) for _, t in rows for a, b, v in pii.mentions(t, 5)]
+    found = [(v, pii.seed_kind(v), pii.patterns(pii.Words(t), a, b, v)) for _, t in rows for a, b, v in pii.mentions(t, pii.Params().digits)]
     want = brute(found, pii.Params())
     got = pii.bootstrapped(spark.createDataFrame(found, "value string, seed string, patterns array<string>")).df.collect()
     assert {r.value: r.kind for r in got} == {v: k for v, (k, _) in want.items()}
@@ -120,3 +118,35 @@ def test_odd_rows(spark):
     out = sorted((r.doc_id, r.kind, r.start) for r in pii.identifiers(frame(spark, rows)).collect())
     assert out == [(3, "email", 5), (3, "email", 5), (4, "ipv4", 200_003)]
     assert pii.identifiers(frame(spark, [])).count() == 0
+
+
+def test_short_and_grouped_identifiers(spark):
+    text = "dns 8.8.8.8, card 4111 1111 1111 1111 or 4111-1111-1111-1111; 378282246310005 and 3782 822463 10005."
+    got = [(pii.seed_kind(v), v) for _, _, v in pii.mentions(text, 5)]
+    assert got == [("ipv4", "8.8.8.8"), ("card", "4111 1111 1111 1111"), ("card", "4111-1111-1111-1111"), ("card", "378282246310005"), ("card", "3782 822463 10005")]
+    assert [r.kind for r in pii.identifiers(frame(spark, [(1, text)])).orderBy("start").collect()] == ["ipv4", "card", "card", "card", "card"]
+
+
+def test_context_words_are_whole_however_far_away():
+    far = "alpha" + " " * 300 + "b" * 200 + " " * 90 + "10.1.2.3" + " " * 90 + "omega" * 30
+    at = far.index("10.1")
+    assert pii.patterns(pii.Words(far), at, at + 8, "10.1.2.3")[1:] == [f"after {'b' * 200} 9.9.9.9", f"after alpha {'b' * 200} 9.9.9.9", f"before {'omega' * 30} 9.9.9.9"]
+
+
+def test_a_chain_of_discoveries_longer_than_any_fixed_number_of_rounds(spark):
+    """Seeds make the first pattern sure; the instances it finds make the next one sure, six times over."""
+    found, p = [], pii.Params(smoothing=0.0, support=1, pattern_confidence=0.001, instance_confidence=0.001)
+    found += [(f"s{k}", "email", ["p0"]) for k in range(6)]
+    for j in range(6):
+        found += [(f"v{j}-{k}", None, [f"p{j}", f"p{j + 1}"]) for k in range(3)]
+    want = brute(found, p)
+    got = pii.bootstrapped(spark.createDataFrame(found, "value string, seed string, patterns array<string>"), p).df.collect()
+    assert {r.value: r.kind for r in got} == {v: k for v, (k, _) in want.items()} and any(v.startswith("v5") for v in want)
+    assert all(abs(r.confidence - want[r.value][1]) < 1e-3 for r in got)
+
+
+def test_equally_sure_kinds(spark):
+    found = [(f"a{k}", "email", ["p"]) for k in range(5)] + [(f"b{k}", "phone", ["q"]) for k in range(5)] + [("x", None, ["p", "q"])]
+    p = pii.Params(smoothing=0.0)
+    got = {r.value: (r.kind, r.confidence, r.seed) for r in pii.bootstrapped(spark.createDataFrame(found, "value string, seed string, patterns array<string>"), p).df.collect()}
+    assert got["x"][0] == "phone" and not got["x"][2] and got["a0"] == ("email", 1.0, True)
