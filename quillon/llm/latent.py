@@ -12,11 +12,13 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,18 +35,19 @@ class Params:
     cosine: float = 0.2
     lcs: float = 0.6  #: of the item's words, in order
     answer: float = 0.5  #: of the answer's words, in order
-    chunk_chars: int = 4_000_000  #: characters of benchmark text worked on at a time
+    block_chars: int = 4_000_000  #: characters of benchmark text whose items are searched for in one pass
     seed: int = 5
 
 
 @dataclass
 class Items:
-    """The benchmark on the driver, a chunk at a time: words as term numbers, and which of them answer."""
+    """The benchmark on the driver: words as term numbers, and which of them answer."""
 
     ids: list[int]
     vocabulary: dict[str, int] = field(default_factory=dict)
     words: list[np.ndarray] = field(default_factory=list)
     answers: list[np.ndarray] = field(default_factory=list)
+    sizes: list[int] = field(default_factory=list)  #: characters
 
     @staticmethod
     def of(rows: list[tuple[int, str]]) -> Items:
@@ -60,6 +63,20 @@ class Items:
             out.ids.append(i)
             out.words.append(words)
             out.answers.append(answer)
+            out.sizes.append(len(text))
+        return out
+
+    def blocks(self, p: Params) -> list[Items]:
+        """Parts of about p.block_chars characters, with the vocabulary of all."""
+        out, held = [], p.block_chars
+        for i, words, answer, size in zip(self.ids, self.words, self.answers, self.sizes):
+            if held >= p.block_chars:
+                out.append(Items([]))
+                held = 0
+            out[-1].ids.append(i)
+            out[-1].words.append(words)
+            out[-1].answers.append(answer)
+            held += size
         return out
 
 
@@ -172,7 +189,10 @@ def coded(docs: DataFrame, vocabulary: dict[str, int], p: Params) -> Written:
 
 
 def gram_times(table: DataFrame, idf: np.ndarray, q: np.ndarray, p: Params) -> np.ndarray:
-    """A'(A Q) over all passages; tasks' sums are added up by blocks of terms before they come to the driver."""
+    """A'(A Q) over all passages; tasks' sums are added up by blocks of terms before they come to the driver.
+
+    They are added in two steps, so that no group holds more than a share of the tasks' arrays.
+    """
     sent = table.sparkSession.sparkContext.broadcast((idf, q))
     block = 512
 
@@ -184,14 +204,20 @@ def gram_times(table: DataFrame, idf: np.ndarray, q: np.ndarray, p: Params) -> n
                 a = Sparse(rows, terms, idf)
                 if len(a.row):
                     a.add_transposed(a.times(q), out)
+        salt = TaskContext.get().partitionId() % 256
         for k in range(0, len(out), block):
-            yield pa.record_batch([pa.array([k // block], pa.int32()), pa.array([out[k : k + block].tobytes()], pa.binary())], names=["block", "part"])
+            yield pa.record_batch([pa.array([k // block], pa.int32()), pa.array([salt], pa.int32()), pa.array([out[k : k + block].tobytes()], pa.binary())], names=["block", "salt", "part"])
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in pdf["part"])
-        return pd.DataFrame({"block": pdf["block"][:1], "part": [total.tobytes()]})
+    def add(kind):
+        def added(pdf: pd.DataFrame) -> pd.DataFrame:
+            total = sum(np.frombuffer(x, kind).astype(np.float64) for x in pdf["part"])
+            return pd.DataFrame({"block": pdf["block"][:1], "part": [total.tobytes()]})
 
-    parts = table.where("doc_id IS NOT NULL").select("terms").mapInArrow(batches, "block int, part binary").groupBy("block").applyInPandas(add, "block int, part binary").collect()
+        return added
+
+    each = table.where("doc_id IS NOT NULL").select("terms").mapInArrow(batches, "block int, salt int, part binary")
+    salted = each.groupBy("block", "salt").applyInPandas(add(np.float32), "block int, part binary")
+    parts = salted.groupBy("block").applyInPandas(add(np.float64), "block int, part binary").collect()
     out = np.zeros(q.shape)
     for r in parts:
         got = np.frombuffer(r["part"]).reshape(-1, q.shape[1])
@@ -373,34 +399,34 @@ def leaks(df: DataFrame, benchmark: DataFrame, p: Params = Params(), id_col: str
     lcs and answer are shares of the item's and its answer's words found in order near that place,
     a word number of the document. Null, empty and wordless texts, of documents or items, match
     nothing; rows without an id are left out; rows that repeat an id are one. Items with the same
-    words are found each. A benchmark larger than p.chunk_chars is worked on in parts, so that
-    what is sent to the executors stays bounded; an empty one gives no rows.
+    words are found each. Vocabulary, weights and latent space are those of the whole benchmark, which
+    the driver holds; its items are searched for in blocks of p.block_chars, so that what a task
+    holds of them stays bounded, and the blocks don't change what is found. An empty benchmark gives
+    no rows. Of equally good places the first counts.
     """
     spark, docs = df.sparkSession, id_text(df, id_col, text_col)
     own = id_text(benchmark, "item_id", "text").withColumnRenamed("doc_id", "item_id").distinct()
-    chars = own.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts, out = max(1, -(-chars // p.chunk_chars)), None
-    for k in range(parts):
-        items = Items.of([tuple(r) for r in own.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).collect()])
-        if not items.ids:
-            continue
-        table = coded(docs, items.vocabulary, p)
-        seen = np.zeros(len(items.vocabulary) + 1)
-        for r in table.df.where("doc_id IS NULL").select(F.posexplode("seen")).groupBy("pos").agg(F.sum("col").alias("n")).collect():
-            seen[r["pos"]] = r["n"]
-        n = seen[-1] + len(items.ids)
-        idf = np.log((n + 1) / (seen[:-1] + 1)).clip(0).astype(np.float32)
-        space = latent_space(table.df, items, idf, p)
-        found = Written(
-            _found(table.df, items, idf, space, p).groupBy("doc_id", "item_id").agg(F.max_by(F.struct("lcs", "answer", "at_word"), F.struct("lcs", "answer", -F.col("at_word"))).alias("best")).select("doc_id", "item_id", "best.*"),
-            "leaks",
-        ).df
-        table.drop()
-        out = found if out is None else out.unionByName(found)
-    return spark.createDataFrame([], SCHEMA) if out is None else out
+    items = Items.of([tuple(r) for r in own.toLocalIterator()])
+    if not items.ids:
+        return spark.createDataFrame([], SCHEMA)
+    table = coded(docs, items.vocabulary, p)
+    seen = np.zeros(len(items.vocabulary) + 1)
+    for r in table.df.where("doc_id IS NULL").select(F.posexplode("seen")).groupBy("pos").agg(F.sum("col").alias("n")).collect():
+        seen[r["pos"]] = r["n"]
+    n = seen[-1] + len(items.ids)
+    idf = np.log((n + 1) / (seen[:-1] + 1)).clip(0).astype(np.float32)
+    space = latent_space(table.df, items, idf, p)
+    best = F.max_by(F.struct("lcs", "answer", "at_word"), F.struct("lcs", "answer", -F.col("at_word"))).alias("best")
+    found = [Written(_found(table.df, part, idf, space, p).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*"), "leaks").df for part in items.blocks(p)]
+    table.drop()
+    return reduce(DataFrame.unionByName, found)
 
 
 def without_leaks(df: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataFrame:
-    """The rows of df in which no benchmark item is found, columns as they were; rows without an id go."""
-    gone = Written(leaks(df, benchmark, p).select(F.col("doc_id").alias("__gone")).distinct(), "leaking")
-    return df.where(F.col("doc_id").isNotNull()).join(sized(gone.df), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    """The rows of df in which no benchmark item is found, columns as they were; rows without an id go.
+
+    Of rows that repeat an id all go if an item is in one of them. Null and empty texts stay.
+    """
+    gone = Written(leaks(df, benchmark, p).select("doc_id").distinct(), "leaking")
+    left, right = df.where(F.col("doc_id").isNotNull()), sized(gone.df)
+    return left.join(right, left["doc_id"].cast("long") == right["doc_id"], "left_anti")
