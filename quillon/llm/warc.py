@@ -1,17 +1,21 @@
 """WARC by boundary-chain verification.
 
-Tasks scan byte ranges of uncompressed WARC files for the magic at a line's start, wherever it stands,
+Tasks scan byte ranges of WARC files for the magic at a line's start, wherever it stands,
 and emit each candidate record with the offset of the record that would follow it. Payloads can hold
 the magic too, so a candidate proves nothing. From the file's start, pointer jumping over the
 candidate-to-successor pairs finds what is reachable; only that is a record. Within its own range a
 task follows the successors itself and emits where the chain leaves the range, so that the jumping
 runs over ranges, in as many rounds as the logarithm of their number in the longest file. A second
 scan starts in each range at its reachable entry and reads records only.
+
+Files that begin with gzip's magic are read the same way, by members: every place with the magic is a
+candidate, its successor is where its compressed data ends.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -27,11 +31,13 @@ MAGIC = b"WARC/1."
 _LENGTH = re.compile(rb"\r\ncontent-length:[ \t]*(\d{1,18})[ \t]*(?=\r\n)", re.I)
 _START = re.compile(rb"WARC/1\.[01]\r\n")
 END = b"\r\n\r\n"
+GZIP = b"\x1f\x8b\x08"
 
 
 @dataclass(frozen=True)
 class Params:
     split_bytes: int = 16 << 20  #: bytes of a task's range
+    tasks: int = 20_000  #: tasks of a scan at most; a task then has several ranges
     header_bytes: int = 64 << 10  #: bytes first read on for a header; one that is longer is read on until its end
 
 
@@ -86,6 +92,79 @@ def _header_at(f, data: bytearray, base: int, at: int, step: int) -> tuple[int,
         step *= 2
 
 
+class Member:
+    """A gzip member that starts at a place of a file, decompressed as far as it is asked for; data holds the file from base on."""
+
+    STEP = 1 << 16
+
+    def __init__(self, f, data: bytearray, base: int, at: int):
+        self.f, self.data, self.base, self.at = f, data, base, at
+        self.inflate, self.end = zlib.decompressobj(31), None
+
+    def chunk(self) -> bytes | None:
+        """What comes next; None at the member's end, which is then known, or where it is broken."""
+        if self.inflate.eof:
+            return None
+        k = self.at - self.base
+        if 0 <= k < len(self.data):
+            raw = bytes(memoryview(self.data)[k : k + self.STEP])
+        else:
+            self.f.seek(self.at)
+            raw = self.f.read(self.STEP)
+        if not raw:
+            return None
+        self.at += len(raw)
+        try:
+            out = self.inflate.decompress(raw)
+        except zlib.error:
+            return None
+        if self.inflate.eof:
+            self.end = self.at - len(self.inflate.unused_data)
+        return out
+
+    def records(self):
+        """(fields, payload) of the records in it, one after the other; ends at the first that is broken."""
+        data = bytearray()
+        found, line = None, 0
+        while True:
+            more = self.chunk()
+            if more is None:
+                return
+            data += more
+            while True:
+                if not found:
+                    at = data.find(END, line)
+                    if at < 0:
+                        line = max(0, len(data) - 3)
+                        break
+                    found = header(data)
+                    if not found:
+                        return
+                length = int(found[1]["content-length"])
+                if len(data) < found[0] + length + 4:
+                    break
+                yield found[1], bytes(memoryview(data)[found[0] : found[0] + length])
+                del data[: found[0] + length + 4]
+                found, line = None, 0
+
+
+def _members(f, data: bytearray, base: int, start: int, most: int, size: int) -> list[tuple[int, int]]:
+    """(offset, successor) of all that looks like a member holding a record, starting between two places."""
+    out, k = [], data.find(GZIP, start - base)
+    while 0 <= k < most - base:
+        member = Member(f, data, base, base + k)
+        head = b""
+        while member.end is None and (more := member.chunk()) is not None:
+            if len(head) < 10:
+                head += more[:10]
+                if len(head) >= 10 and not _START.match(head):
+                    break
+        if member.end is not None and member.end <= size and _START.match(head):
+            out.append((base + k, member.end))
+        k = data.find(GZIP, k + 1)
+    return out
+
+
 def _candidates(f, data: bytearray, base: int, most: int, size: int, p: Params) -> list[tuple[int, int]]:
     """(offset, successor) of all that looks like a record starting in the first `most` bytes of data."""
     out, k = [], data.find(MAGIC)
@@ -122,11 +201,15 @@ def reachable_entries(spans: DataFrame, p: Params = Params()) -> Written:
             rows = []
             for file, size, start in pdf.itertuples(index=False):
                 with _open(file) as f:
+                    zipped = f.read(len(GZIP)) == GZIP
                     lead = 1 if start else 0
                     f.seek(start - lead)
                     data = bytearray(f.read(min(width, size - start) + lead + p.header_bytes))
                     end = min(start + width, size)
-                    own = [c for c in _candidates(f, data, start - lead, end - start + lead, size, p) if c[0] >= start]
+                    if zipped:
+                        own = _members(f, data, start - lead, start, end, size)
+                    else:
+                        own = [c for c in _candidates(f, data, start - lead, end - start + lead, size, p) if c[0] >= start]
                 rows += [(file, at, to) for at, to in _exits(own, end)]
             yield pd.DataFrame(rows, columns=["file", "at", "to"])
 
@@ -154,13 +237,18 @@ def records(spark: SparkSession, files: DataFrame, p: Params = Params()) -> Data
     files: (path, length), as spark.read.format('binaryFile') lists them. Fields a record lacks are
     null. A file that doesn't begin with a record has none; after a broken record the rest of the
     file isn't reachable, and isn't given. Empty files and null paths give nothing; a path listed
-    twice is read once.
+    twice is read once. Of gzip files offset is that of the record's member in the compressed file.
+
+    The ranges are a small table, but each is work of its own: they are dealt out by their number,
+    a task a range up to p.tasks tasks, or else a few small partitions would read all the files.
     """
-    spans = ranges(files, p)
+    spans = Written(ranges(files, p), "spans").df
+    tasks = max(1, min(spans.count(), p.tasks))
+    spans = spans.repartition(tasks)
     reached = reachable_entries(spans, p)
     width = p.split_bytes
     entries = reached.df.groupBy("file", (F.floor(F.col("entry") / width) * width).cast("long").alias("start")).agg(F.min("entry").alias("entry"))
-    own = spans.join(entries, ["file", "start"]).select("file", "size", "start", "entry")
+    own = spans.join(entries, ["file", "start"]).select("file", "size", "start", "entry").repartition(tasks)
     names = ["file", "offset", "warc_type", "target_uri", "record_id", "date", "content_type", "length", "payload"]
 
     def extract(it):
@@ -168,10 +256,20 @@ def records(spark: SparkSession, files: DataFrame, p: Params = Params()) -> Data
             for file, size, start, entry in zip(*(c.to_pylist() for c in batch.columns)):
                 rows, held = [], 0
                 with _open(file) as f:
+                    zipped = f.read(len(GZIP)) == GZIP
                     at, end, base = entry, min(start + width, size), entry
                     f.seek(at)
                     data = bytearray(f.read(end - at))
-                    while at < end:
+                    while zipped and at is not None and at < end:
+                        member = Member(f, data, base, at)
+                        for fields, payload in member.records():
+                            rows.append(_row(file, at, fields, payload))
+                            held += len(payload)
+                            if held > 8 << 20:
+                                yield _batch(rows, names)
+                                rows, held = [], 0
+                        at = member.end
+                    while not zipped and at < end:
                         found = _header_at(f, data, base, at - base, p.header_bytes)
                         if not found:
                             break
@@ -183,8 +281,7 @@ def records(spark: SparkSession, files: DataFrame, p: Params = Params()) -> Data
                         if len(payload) < length:
                             f.seek(body)
                             payload = f.read(length)
-                        g = found[1].get
-                        rows.append((file, at, g("warc-type"), g("warc-target-uri"), g("warc-record-id"), g("warc-date"), g("content-type"), length, payload))
+                        rows.append(_row(file, at, found[1], payload))
                         held += length
                         if held > 8 << 20:
                             yield _batch(rows, names)
@@ -196,6 +293,10 @@ def records(spark: SparkSession, files: DataFrame, p: Params = Params()) -> Data
     return own.mapInArrow(extract, "file string, offset long, warc_type string, target_uri string, record_id string, date string, content_type string, length long, payload binary")
 
 
+def _row(file: str, at: int, fields: dict[str, str], payload: bytes) -> tuple:
+    return (file, at, *map(fields.get, ("warc-type", "warc-target-uri", "warc-record-id", "warc-date", "content-type")), len(payload), payload)
+
+
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     kinds = [pa.string(), pa.int64(), *[pa.string()] * 5, pa.int64(), pa.binary()]
     return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
@@ -244,7 +345,12 @@ def write_files(pages: DataFrame, root: str) -> DataFrame:
 
 
 def pages_through_warc(spark: SparkSession, pages: DataFrame, p: Params = Params()) -> DataFrame:
-    """Pages written as WARC files and read back: (page_id, url, html, length), from the reachable responses only."""
+    """Pages written as WARC files and read back: (page_id, url, html, length), from the reachable responses only.
+
+    A null html comes back empty, a null url null; line ends in a url come back as blanks, and blanks
+    at its ends don't come back. Pages without an id are left out, rows that repeat come back each,
+    pages of any length whole; an empty table gives no rows.
+    """
     listed = Written(write_files(pages, scratch_path(spark, "warc")), "warc-files")
     kept = records(spark, listed.df.select("path", "length"), p).where("warc_type = 'response'")
     return kept.select(F.regexp_extract("record_id", r"page:(-?\d+)", 1).cast("long").alias("page_id"), F.col("target_uri").alias("url"), F.col("payload").cast("string").alias("html"), "length")
