@@ -5,29 +5,32 @@ of the signature, so two permutations stand for all of them: the values of one s
 coordinates are K neighbouring cells of the second permutation. Bands of rows give candidate pairs;
 every candidate pair that could still change a group is verified by the exact Jaccard similarity of
 the shingle sets. No bucket is cut: a bucket first compares its members with its smallest one, and
-only pairs that are still in different groups are compared after that, all of them.
+only pairs that are still in different groups are compared after that, all of them, in blocks of
+bounded size. Before any text is read a pair has to agree in size (a bound without exceptions) and in
+as many coordinates, two bits of each, as all but one in 100,000 pairs at the threshold do.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import WORD, WordHash, Written, connected, id_text, sized
 
 
 @dataclass(frozen=True)
 class Params:
-    shingle: int = 4  #: words a shingle
-    threshold: float = 0.45  #: least Jaccard similarity of near copies
-    bands: int = 48
+    shingle: int = 3  #: words a shingle
+    threshold: float = 0.5  #: least Jaccard similarity of near copies
+    bands: int = 48  #: with 4 rows a pair at the threshold shares a bucket with probability 0.955
     rows: int = 4
+    block: int = 2000  #: members of a bucket that meet all its others in one task
     universe_bits: int = 20
     seed: int = 7
 
@@ -78,8 +81,39 @@ class Circulant:
         return out.view(np.int64)
 
 
+SKETCH = "sketch struct<shingles:int,bits:array<long>>"
+
+
+def least_agreement(p: Params) -> int:
+    """Coordinates whose two bits agree in all but one of 100,000 pairs at the threshold; two bits of different values agree by chance in a quarter."""
+    k = p.bands * p.rows
+    q, total = p.threshold + (1 - p.threshold) / 4, 0.0
+    for i in range(k + 1):
+        total += math.exp(math.lgamma(k + 1) - math.lgamma(i + 1) - math.lgamma(k - i + 1) + i * math.log(q) + (k - i) * math.log1p(-q))
+        if total > 1e-5:
+            return i
+    return k
+
+
+def packed_bits(signatures: np.ndarray) -> np.ndarray:
+    """The two lowest bits of each coordinate of each row, as 64-bit numbers: those of the lowest bits, then those of the next."""
+    n, k = signatures.shape
+    out = np.zeros((n, 2, -(-k // 64) * 64), np.uint8)
+    out[:, 0, :k], out[:, 1, :k] = signatures & 1, signatures >> 1 & 1
+    return np.packbits(out, axis=2).view(np.int64).reshape(n, -1)
+
+
+def alike(p: Params, x: str, y: str) -> Column:
+    """Whether the sketches in two columns, structs of shingles and bits, leave it open that their documents are near copies."""
+    a, b, words = F.col(x), F.col(y), -(-p.bands * p.rows // 64)
+    bit = lambda k: a["bits"][k].bitwiseXOR(b["bits"][k])
+    differ = sum((F.bit_count(bit(k).bitwiseOR(bit(k + words))) for k in range(1, words)), F.bit_count(bit(0).bitwiseOR(bit(words))))
+    close = F.least(a["shingles"], b["shingles"]) >= F.greatest(a["shingles"], b["shingles"]) * F.lit(p.threshold - 1e-9)
+    return close & (differ <= p.bands * p.rows - least_agreement(p))
+
+
 def signatures(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """(doc_id, norm, n, keys): digest of the word sequence, number of words, band keys; texts without words are left out."""
+    """(doc_id, norm, sketch, keys): digest of the word sequence, number of shingles and two bits a coordinate, band keys; texts without words are left out."""
 
     def batches(it):
         made, cache = Circulant(p), WordHash()
@@ -92,17 +126,17 @@ def signatures(docs: DataFrame, p: Params = Params()) -> DataFrame:
                 hashes = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
                 ids.append(i)
                 norms.append(xxhash.xxh3_128_digest(hashes.tobytes()))
-                ns.append(len(words))
-                sigs.append(made.signature(shingle_hashes(hashes, p.shingle)))
+                shingles = np.unique(shingle_hashes(hashes, p.shingle))
+                ns.append(len(shingles))
+                sigs.append(made.signature(shingles))
             if ids:
-                keys = made.keys(np.stack(sigs))
-                offsets = np.arange(0, keys.size + 1, p.bands, dtype=np.int32)
-                yield pa.record_batch(
-                    [pa.array(ids, pa.int64()), pa.array(norms, pa.binary()), pa.array(ns, pa.int32()), pa.ListArray.from_arrays(offsets, keys.reshape(-1))],
-                    names=["doc_id", "norm", "n", "keys"],
-                )
+                sigs = np.stack(sigs)
+                keys, bits = made.keys(sigs), packed_bits(sigs)
+                lists = lambda a: pa.ListArray.from_arrays(np.arange(0, a.size + 1, a.shape[1], dtype=np.int32), a.reshape(-1))
+                sketch = pa.StructArray.from_arrays([pa.array(ns, pa.int32()), lists(bits)], names=["shingles", "bits"])
+                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(norms, pa.binary()), sketch, lists(keys)], names=["doc_id", "norm", "sketch", "keys"])
 
-    return docs.mapInArrow(batches, "doc_id long, norm binary, n int, keys array<long>")
+    return docs.mapInArrow(batches, f"doc_id long, norm binary, {SKETCH}, keys array<long>")
 
 
 def shingle_set(text: str, n: int) -> set:
@@ -153,30 +187,31 @@ def near_duplicates(df: DataFrame, p: Params = Params(), id_col: str = "doc_id",
     docs = id_text(df, id_col, text_col)
     signed = Written(signatures(docs, p), "signed")
     #: one document stands for all that have the same words; it is the one with the smallest id
-    same = Window.partitionBy("norm")
-    exact = Written(signed.df.select("doc_id", "norm").distinct().select("doc_id", "norm", F.min("doc_id").over(same).alias("rep")).where("doc_id <> rep"), "exact")
-    standing = signed.df.join(exact.df.select("doc_id", "norm"), ["doc_id", "norm"], "left_anti").select("doc_id", F.explode("keys").alias("key"))
-    bucket = Window.partitionBy("key")
-    shared = Written(
-        standing.select("key", "doc_id", F.min("doc_id").over(bucket).alias("centre"), F.max("doc_id").over(bucket).alias("most"))
-        .where("centre <> most")
-        .drop("most"),
-        "shared",
-    )
-
-    stars = Written(shared.df.where("centre <> doc_id").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
+    reps = signed.df.groupBy("norm").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("most")).where("rep <> most").select("norm", "rep")
+    exact = Written(signed.df.select("doc_id", "norm").distinct().join(reps, "norm").where("doc_id <> rep"), "exact")
+    standing = signed.df.join(exact.df.select("doc_id", "norm"), ["doc_id", "norm"], "left_anti")
+    cells = standing.select("doc_id", F.explode("keys").alias("key"))
+    centres = cells.groupBy("key").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("most")).where("centre <> most").select("key", "centre")
+    shared = Written(cells.join(centres, "key"), "shared")
+    #: rows that repeat an id have one sketch each, the largest is taken; such ids are rare
+    sketches = Written(standing.join(shared.df.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("sketch").alias("sketch")), "sketches")
+    of = lambda x, y: sketches.df.select(F.col("doc_id").alias(x), F.col("sketch").alias(y))
+
+    stars = shared.df.where("centre <> doc_id").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
+    stars = Written(stars.join(of("b", "of_b"), "b").join(of("a", "of_a"), "a").where(alike(p, "of_a", "of_b")).select("a", "b"), "stars")
     first = verified(stars.df, docs, p)
     groups = connected(first.df, "first-groups")
     label = groups.df.select(F.col("node").alias("doc_id"), "label")
     placed = shared.df.select("key", "doc_id").join(label, "doc_id", "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label"))
     #: what a bucket still holds apart: all pairs across groups, from the smaller groups' members to all others
     by_key = placed.groupBy("key", "label").agg(F.count("*").alias("size"))
-    main = by_key.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
-    apart = Written(placed.join(main, "key"), "apart")
-    few = apart.df.where("label <> main").select("key", F.col("doc_id").alias("x"), F.col("label").alias("x_label"))
+    main = by_key.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.sum("size").alias("size"), F.count("*").alias("parts")).where("parts > 1").select("key", "main", F.ceil(F.col("size") / p.block).cast("int").alias("blocks"))
+    apart = Written(placed.join(main, "key").join(sketches.df, "doc_id"), "apart")
+    #: each of the few is in one block of its bucket, and all members come to each block
+    few = apart.df.where("label <> main").select("key", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"), F.col("doc_id").alias("x"), F.col("label").alias("x_label"), F.col("sketch").alias("x_sketch"))
+    every = apart.df.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "doc_id", "label", "sketch")
     rest = (
-        few.join(apart.df, "key")
-        .where("x_label <> label")
+        few.join(every, (few["key"] == every["key"]) & (few["block"] == every["block"]) & (F.col("x_label") != F.col("label")) & alike(p, "x_sketch", "sketch"))
         .select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b"))
         .distinct()
         .join(stars.df, ["a", "b"], "left_anti")
@@ -192,7 +227,7 @@ def near_duplicates(df: DataFrame, p: Params = Params(), id_col: str = "doc_id",
         .select("doc_id", "group_id", (F.col("doc_id") == F.col("group_id")).alias("kept"), F.coalesce("exact", F.lit(False)).alias("exact")),
         "near",
     )
-    for t in (signed, exact, shared, stars, first, groups, apart, rest, second, whole):
+    for t in (signed, exact, shared, sketches, stars, first, groups, apart, rest, second, whole):
         t.drop()
     return out.df
 
@@ -203,14 +238,14 @@ def one_of_each(df: DataFrame, p: Params = Params(), id_col: str = "doc_id", tex
     Rows without an id go. Of rows that repeat an id one stays, the one with the smallest text.
     """
     near = near_duplicates(df, p, id_col, text_col)
-    gone = sized(near.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")))
-    left = df.where(F.col(id_col).isNotNull()).join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
-    repeated = left.groupBy(F.col(id_col).alias("__id")).count().where("count > 1").select("__id")
-    repeated = Written(repeated, "repeated")
+    gone = sized(near.where(~F.col("kept")).select(F.col("doc_id")))
+    some = df.where(F.col(id_col).isNotNull())
+    left = some.join(gone, some[id_col].cast("long") == gone["doc_id"], "left_anti")
+    repeated = Written(left.groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("id")), "repeated")
     if not repeated.df.limit(1).count():
         repeated.drop()
         return left
-    of = df.columns
-    once = left.join(repeated.df, F.col(id_col) == F.col("__id"), "left_semi")
-    least = once.groupBy(F.col(id_col).alias("__id")).agg(F.min_by(F.struct(*of), F.struct(text_col, F.to_json(F.struct(*of)))).alias("__row")).select("__row.*")
-    return left.join(repeated.df, F.col(id_col) == F.col("__id"), "left_anti").unionByName(least)
+    once = left.join(repeated.df, left[id_col] == repeated.df["id"], "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    row = F.col("row")
+    least = once.groupBy(row[id_col]).agg(F.min_by(row, F.struct(row[text_col], F.to_json(row))).alias("row")).select("row.*")
+    return left.join(repeated.df, left[id_col] == repeated.df["id"], "left_anti").unionByName(least)
