@@ -86,13 +86,29 @@ def thresholds(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Data
     only counts by stratum, rule and cutoff come to the driver. A document with labels that disagree
     is not good; repeated rows of one document count once.
     """
-    good = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
-    good = Written(good, "good")
+    good = _good(labels)
+    if good.df.count() <= 2_000_000:
+        held = _measured(_prepared(docs).join(F.broadcast(good.df), "doc_id", "left_semi"))
+    else:  # texts are measured where they are, and only numbers shuffled
+        held = Written(_measured(_prepared(docs)), "measured").df.join(good.df, "doc_id", "left_semi")
+    out = _proven(held, p)
+    good.drop()
+    return out
+
+
+def _good(labels: DataFrame) -> Written:
+    own = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"))
+    return Written(own.where("q = 1").select("doc_id"), "good")
+
+
+def _measured(prepared: DataFrame) -> DataFrame:
     of = measures(F.col("text"))
-    held = _prepared(docs).join(sized(good.df), "doc_id", "left_semi").select("doc_id", "stratum", *[of[r].alias(r) for r in RULES])
+    return prepared.select("doc_id", "stratum", (F.trim("text") == "").alias("__empty"), *[of[r].alias(r) for r in RULES])
+
+
+def _proven(held: DataFrame, p: Params) -> DataFrame:
     held = held.groupBy("doc_id", "stratum").agg(*[F.max(r).alias(r) for r in RULES])
     counts = held.groupBy("stratum").agg(F.count("*").alias("n"), *[F.count_if(F.col(r) > c).alias(f"{r}_{c}") for r in RULES for c in p.grid]).collect()
-    good.drop()
     tests = max(1, len(counts)) * len(RULES) * len(p.grid)
     rows = []
     for row in sorted(counts, key=lambda r: r["stratum"]):
@@ -101,7 +117,7 @@ def thresholds(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Data
             proven = [c for c in p.grid if row[f"{r}_{c}"] <= most]
             if proven:
                 rows.append((row["stratum"], r, proven[0], row["n"], row[f"{r}_{proven[0]}"]))
-    return docs.sparkSession.createDataFrame(rows, "stratum string, rule string, cutoff int, n_good long, n_false long")
+    return held.sparkSession.createDataFrame(rows, "stratum string, rule string, cutoff int, n_good long, n_false long")
 
 
 def _verdict(cutoffs: DataFrame, of: dict[str, Column], stratum: Column) -> Column:
@@ -118,16 +134,20 @@ def judged(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFram
     an id are left out; repeated rows are judged each. With no labels no cutoff is proven, and only
     empty texts are rejected. An empty table gives no rows.
     """
-    cutoffs = thresholds(docs, labels, p)
-    own = _prepared(docs).where(F.col("doc_id").isNotNull())
-    of = measures(F.col("text"))
-    measured = own.select("doc_id", "stratum", (F.trim("text") == "").alias("__empty"), *[of[r].alias(r) for r in RULES])
+    #: texts are read once; cutoffs and verdicts need the numbers only
+    measured = Written(_measured(_prepared(docs).where(F.col("doc_id").isNotNull())), "measured").df
+    good = _good(labels)
+    cutoffs = _proven(measured.join(sized(good.df), "doc_id", "left_semi"), p)
+    good.drop()
     by = _verdict(cutoffs, {r: F.col(r) for r in RULES}, F.col("stratum"))
     return measured.select("doc_id", "stratum", *RULES, F.array_join(by, ",").alias("rejected_by"), (F.size(by) == 0).alias("kept"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
-    """The rows of docs that no rule rejects, columns as they were; rows without an id go."""
+    """The rows of docs that no rule rejects, columns as they were; rows without an id go.
+
+    Nulls, blank texts, repeats and empty tables as in judged().
+    """
     cutoffs = thresholds(docs, labels, p).collect()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     of, stratum = measures(text), F.coalesce(F.col("lang").cast("string"), F.lit(""))
