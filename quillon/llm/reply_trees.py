@@ -38,35 +38,40 @@ def branches(nodes: DataFrame, p: Params = Params()) -> DataFrame:
 
     nodes: (tree, node, parent, role, text), a node once. A node without a parent, or whose parent
     isn't there, is a root; nodes that only a cycle leads to are on no path. A branch's score is the
-    number of characters of its assistant messages; ties go to the smaller leaf. An empty table
+    sum of its nodes' points, a column that nodes may have (null counts 0), else the number of
+    characters of assistant messages; ties go to the smaller leaf. An empty table
     gives no rows. All paths are scored; only p.best of each tree are written out.
 
     The self-joins double: round k joins every node's ancestor at a distance of 2^k with that one's
-    own, adding up scores, so a tree of depth d takes log d rounds. The chosen leaves' paths are
+    own, adding up scores, so a tree of depth d takes log d rounds; a node that has reached its root
+    asks no more. The chosen leaves' paths are
     laid out by the same tables of ancestors, again in log d rounds; only then are texts joined.
     """
-    own = Written(nodes.select("tree", "node", "parent", "role", "text"), "nodes")
+    points = F.coalesce(F.col("points").cast("long"), F.lit(0)) if "points" in nodes.columns else F.when(F.col("role") == "assistant", F.length("text")).otherwise(0)
+    own = Written(nodes.select("tree", "node", "parent", "role", "text", points.cast("long").alias("score")), "nodes")
     there = own.df.select("tree", F.col("node").alias("parent"), F.lit(True).alias("__there"))
-    points = F.when(F.col("role") == "assistant", F.length("text")).otherwise(0).cast("long")
-    now = Written(own.df.join(there, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("__there"), F.col("parent")).alias("above"), points.alias("score"), F.lit(1).alias("turns")), "ancestors")
+    now = Written(own.df.select("tree", "node", "parent", "score").join(there, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("__there"), F.col("parent")).alias("above"), "score", F.lit(1).alias("turns")), "ancestors")
     largest = own.df.groupBy("tree").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     ancestors = []
+    inner = Written(now.df.where("above IS NOT NULL").select("tree", F.col("above").alias("node")).distinct(), "inner")
     #: after as many doublings as that, what still has an ancestor goes round in a cycle
     for _ in range(max(0, largest - 1).bit_length()):
-        if not now.df.where("above IS NOT NULL").limit(1).count():
+        asking = Written(now.df.where("above IS NOT NULL"), "asking")
+        if not asking.df.limit(1).count():
+            asking.drop()
             break
-        ancestors.append(now)
+        ancestors.append(asking)
         far = now.df.select("tree", F.col("node").alias("above"), F.col("above").alias("__above"), F.col("score").alias("__score"), F.col("turns").alias("__turns"))
-        step = now.df.join(far, ["tree", "above"], "left")
-        now = Written(step.select("tree", "node", F.col("__above").alias("above"), (F.col("score") + F.coalesce("__score", F.lit(0))).alias("score"), (F.col("turns") + F.coalesce("__turns", F.lit(0))).alias("turns")), "ancestors")
-    first = ancestors[0].df if ancestors else now.df
-    inner = first.where("above IS NOT NULL").select("tree", F.col("above").alias("node")).distinct()
+        step = asking.df.join(far, ["tree", "above"]).select("tree", "node", F.col("__above").alias("above"), (F.col("score") + F.col("__score")).alias("score"), (F.col("turns") + F.col("__turns")).alias("turns"))
+        after = Written(now.df.where("above IS NULL").unionByName(step), "ancestors")
+        now.drop()
+        now = after
     order = Window.partitionBy("tree").orderBy(F.desc("score"), "node")
-    ends = now.df.where("above IS NULL").join(inner, ["tree", "node"], "left_anti").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= p.best)
+    ends = now.df.where("above IS NULL").join(inner.df, ["tree", "node"], "left_anti").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= p.best)
     chosen = Written(ends.select("tree", F.col("node").alias("leaf"), "rank", "score", "turns"), "chosen")
     on = Written(chosen.df.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("back")), "on-paths")
     for k, a in enumerate(ancestors):
-        more = on.df.join(a.df.where("above IS NOT NULL").select("tree", "node", "above"), ["tree", "node"]).select("tree", "leaf", F.col("above").alias("node"), F.col("back") + (1 << k))
+        more = on.df.join(a.df.select("tree", "node", "above"), ["tree", "node"]).select("tree", "leaf", F.col("above").alias("node"), F.col("back") + (1 << k))
         longer = Written(on.df.union(more), "on-paths")
         on.drop()
         on = longer
@@ -75,7 +80,7 @@ def branches(nodes: DataFrame, p: Params = Params()) -> DataFrame:
     laid = spoken.groupBy("tree", "leaf").agg(F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("at"), "node", "said"))).alias("m"))
     out = laid.join(chosen.df, ["tree", "leaf"]).select("tree", "leaf", "rank", "score", "turns", F.array_join(F.col("m.node").cast("array<string>"), ">").alias("path"), F.array_join("m.said", "").alias("conversation"))
     out = Written(out, "branches")
-    for t in (own, now, chosen, on, *ancestors):
+    for t in (own, now, inner, chosen, on, *ancestors):
         t.drop()
     return out.df
 

@@ -62,3 +62,9 @@ def test_odd_rows(spark):
     out = {r.tree: r for r in rt.branches(rt.replies(df)).collect()}
     assert out[1].conversation == "<||>\n<|end|>\n<|assistant|>\n<|end|>\n" and out[2].score == 300_000
     assert rt.branches(rt.replies(df.limit(0))).count() == 0
+
+
+def test_nodes_may_bring_their_own_points(spark):
+    rows = [(1, 0, None, "user", "q", 1), (1, 1, 0, "assistant", "a long answer", None), (1, 2, 0, "assistant", "b", 7), (1, 3, 2, "user", "c", -2)]
+    df = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, points int")
+    assert [(r.path, r.score) for r in rt.branches(df).orderBy("rank").collect()] == [("0>2>3", 6), ("0>1", 1)]
