@@ -32,7 +32,6 @@ SURFACE = _CLASSES + 3
 class Params:
     passage: int = 48  #: words a passage
     max_labelled: int = 8000  #: labelled documents to learn from at most: those of least id hash
-    vocabulary: int = 192  #: telling words a head at most
     hidden: int = 16
     gate: int = 8
     epochs: int = 24
@@ -80,8 +79,11 @@ class Encoder:
         return out
 
 
-def telling_words(texts: list[str], labels: np.ndarray, most: int, least_chi2: float = 32.0) -> list[str]:
-    """Words whose presence parts the labels most by chi-square, at least 32 (chance, over any number of words, seldom reaches it); ties by the word."""
+def telling_words(texts: list[str], labels: np.ndarray, least_chi2: float = 32.0) -> list[str]:
+    """All words whose presence parts the labels by a chi-square of at least 32 (chance, over any number of words, seldom reaches it).
+
+    Their number isn't capped; the sample that they come from is bounded.
+    """
     total, ones = Counter(), Counter()
     for text, y in zip(texts, labels):
         seen = set(Encoder.tokens(text))
@@ -99,7 +101,7 @@ def telling_words(texts: list[str], labels: np.ndarray, most: int, least_chi2: f
         score = (ones[w] - want) ** 2 * (1 / want + 1 / (t - want)) * n / (n - t)
         if score > least_chi2:
             scored.append((-score, w))
-    return [w for _, w in sorted(scored)[:most]]
+    return [w for _, w in sorted(scored)]
 
 
 def _sums(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -173,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> dict:
 
 
 def fit_sample(texts: list[str], labels: dict[str, np.ndarray], p: Params = Params()) -> dict:
-    words = sorted({w for h in HEADS for w in telling_words(texts, labels[h], p.vocabulary)})
+    words = sorted({w for h in HEADS for w in telling_words(texts, labels[h])})
     encoder = Encoder({w: k for k, w in enumerate(words)}, p.passage)
     bags = [encoder.features(t) for t in texts]
     heads = {}
@@ -223,9 +225,10 @@ def scored(df: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
     """Every document's scores: (doc_id, n_passages, quality, toxic, attended, kept).
 
     quality and toxic are probabilities to four places; attended is the passage (from 0) that the
-    toxicity head weighs most; kept: quality at least, and toxic under, the cutoff. Null, empty and
+    toxicity head weighs most, of equal ones the first; kept: quality at least, and toxic under, the
+    cutoff (a score equal to it is good for quality, and too much for toxicity). Null, empty and
     blank texts have one empty passage. Rows without an id are left out; repeated rows are scored
-    each. Without labels quality is 1 and toxic 0. All passages of a text count, whatever its length.
+    each. Without labels quality is 1 and toxic 0. An empty table gives no rows. All passages of a text count, whatever its length.
     """
     learned = df.sparkSession.sparkContext.broadcast(fit(df, labels, p))
 

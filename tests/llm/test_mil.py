@@ -29,10 +29,49 @@ def test_gradients_match_differences():
             assert abs((up - down) / 2e-5 - grads[n][at]) < 1e-6
 
 
+def test_forward_pass_against_loops():
+    """Passage by passage and bag by bag, with the formulas written out."""
+    import math
+
+    rng = np.random.default_rng(3)
+    m = mil.Model(6, mil.Params(hidden=4, gate=3), 2)
+    bags = [rng.standard_normal((n, 6)).astype(np.float32) for n in (1, 5, 2)]
+    sizes = np.array([len(b) for b in bags])
+    *_, a, z, y = m.forward(np.concatenate(bags), np.cumsum(sizes) - sizes, sizes)
+    at = 0
+    for k, bag in enumerate(bags):
+        hs, ss = [], []
+        for x in bag:
+            h = [math.tanh(sum(float(x[i]) * float(m.W[i, j]) for i in range(6)) + float(m.b[j])) for j in range(4)]
+            gate = [math.tanh(sum(h[i] * float(m.V[i, j]) for i in range(4))) / (1 + math.exp(-sum(h[i] * float(m.U[i, j]) for i in range(4)))) for j in range(3)]
+            hs.append(h)
+            ss.append(math.exp(sum(g * float(w) for g, w in zip(gate, m.w))))
+        weights = [s / sum(ss) for s in ss]
+        whole = [sum(w * h[j] for w, h in zip(weights, hs)) for j in range(4)]
+        assert np.allclose(a[at : at + len(bag)], weights, atol=1e-5) and np.allclose(z[k], whole, atol=1e-5)
+        assert abs(y[k] - 1 / (1 + math.exp(-sum(c * float(v) for c, v in zip(whole, m.c)) - float(m.d[0])))) < 1e-5
+        at += len(bag)
+
+
+def test_equal_passages_attend_to_the_first():
+    m = mil.Model(mil.SURFACE, mil.Params(), 1)
+    m.w = m.w * 0  # all passages weigh the same
+    learned = {"words": {}, "heads": {"quality": 1.0, "toxic": {n: getattr(m, n) for n in m.NAMES}}}
+    _, _, at = mil.Scorer(learned, mil.Params()).score(["same words here now " * 12 * 4, "x"])
+    assert at.tolist() == [0, 0]
+
+
 def test_held_out_accuracy(spark):
+    """Groups of near copies are held out whole."""
+    from pyspark.sql import functions as F
+
+    from quillon.llm import neardup
+
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
-    out = mil.scored(docs, labels.where("doc_id % 5 <> 0")).join(labels.where("doc_id % 5 = 0").withColumnRenamed("quality", "q").withColumnRenamed("toxic", "t"), "doc_id").toPandas()
+    groups = neardup.near_duplicates(docs.join(labels, "doc_id", "left_semi")).select("doc_id", "group_id")
+    labels = labels.join(groups, "doc_id", "left").withColumn("fold", F.coalesce("group_id", "doc_id") % 5).drop("group_id")
+    out = mil.scored(docs, labels.where("fold <> 0")).join(labels.where("fold = 0").withColumnRenamed("quality", "q").withColumnRenamed("toxic", "t"), "doc_id").toPandas()
     assert len(out) > 500
     assert ((out.quality >= 0.5) == (out.q == 1)).mean() > 0.97
     assert ((out.toxic >= 0.5) == (out.t == 1)).mean() > 0.95
