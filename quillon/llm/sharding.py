@@ -5,7 +5,8 @@ of them with weight 1/(c - 1), so a line pulls every document with the same tota
 is; the pairs are never made: counts of a line's documents by shard hold all that is needed.
 In each round a document finds the shard that pulls it most. Who moves is decided from a histogram
 of the wishes by (from, to, gain), whose size depends on the number of shards alone: the greatest
-gains first, as long as the target keeps within its capacity.
+gains first, as long as the target keeps within its capacity. The rounds end when they have settled, and
+the best state that they went through is the result.
 """
 
 from __future__ import annotations
@@ -24,15 +25,14 @@ UNIT = 1_000_000_000  #: weight 1 as an integer: sums don't depend on their orde
 class Params:
     shards: int = 8
     slack: float = 0.05  #: a shard holds at most (1 + slack) of an even share of the characters
-    rounds: int = 10
-    line_chars: int = 30  #: shorter lines don't link
+    settled: float = 0.002  #: rounds go on until two in a row add less than this share of all links to those within shards
     parts: int = 16  #: of the wishes of one (from, to, gain)
 
 
 def linked(df: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> tuple[Written, Written]:
     """Written tables (doc_id, size) of all documents and (doc_id, link, weight, members) of their shared lines."""
     lines = F.transform(F.split("text", "\n"), lambda x: F.lower(F.trim(x)))
-    links = F.transform(F.filter(lines, lambda x: F.length(x) >= p.line_chars), lambda x: F.xxhash64(x))
+    links = F.transform(F.filter(lines, lambda x: x != ""), lambda x: F.xxhash64(x))
     made = Written(id_text(df, id_col, text_col).select("doc_id", F.greatest(F.length("text"), F.lit(1)).cast("long").alias("size"), F.array_distinct(links).alias("links")), "lines")
     docs = Written(made.df.groupBy("doc_id").agg(F.max("size").alias("size")), "sizes")
     each = made.df.select("doc_id", F.explode("links").alias("link")).distinct()
@@ -72,48 +72,60 @@ def cut(edges: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def propagated(docs: DataFrame, edges: DataFrame, p: Params = Params()) -> Written:
-    """A written table (doc_id, size, shard): shards after at most p.rounds rounds; it begins with the hash of the id.
+    """A written table (doc_id, size, shard); it begins with the hash of the id.
 
     The capacity is (1 + p.slack) of an even share, or the largest shard of the beginning if a
-    table is so small or its texts so uneven that this is larger.
+    table is so small or its texts so uneven that this is larger. Each round knows from its pulls
+    how much of the links lies within shards; a round counts as progress if that exceeds the best so
+    far by p.settled of all links, so the rounds come to an end.
     """
     state = Written(docs.select("doc_id", "size", F.pmod(F.xxhash64("doc_id"), F.lit(p.shards)).cast("int").alias("shard")), "state")
     sizes = [0] * p.shards
     for r in state.df.groupBy("shard").agg(F.sum("size").alias("n")).collect():
         sizes[r["shard"]] = r["n"]
     capacity = max(int((1 + p.slack) * sum(sizes) / p.shards) + 1, max(sizes))
-    for k in range(p.rounds):
+    total = edges.agg(F.sum((F.col("members") - 1) * F.col("weight"))).first()[0] or 0
+    best_of, top, stale, k = state, -1, 0, 0
+    while total and stale < 2:
         placed = edges.join(state.df.select("doc_id", "shard"), "doc_id")
         counts = placed.groupBy("link", "shard").agg(F.count("*").alias("n"))
         pull = edges.join(counts, "link").groupBy("doc_id", "shard").agg(F.sum(F.col("weight") * F.col("n")).alias("pull"), F.sum("weight").alias("itself"))
         #: every shared line counts the document itself at home
         pulls = pull.withColumnRenamed("shard", "to").join(state.df, "doc_id").withColumn("pull", F.col("pull") - F.when(F.col("to") == F.col("shard"), F.col("itself")).otherwise(0))
         best = pulls.groupBy("doc_id", "size", "shard").agg(
-            F.max(F.when(F.col("to") == F.col("shard"), F.col("pull"))).alias("home"), F.max_by("to", F.struct("pull", -F.col("to"))).alias("to"), F.max("pull").alias("away")
+            F.coalesce(F.max(F.when(F.col("to") == F.col("shard"), F.col("pull"))), F.lit(0)).alias("home"), F.max_by("to", F.struct("pull", -F.col("to"))).alias("to"), F.max("pull").alias("away")
         )
         #: half of the documents, another half each round, so that two that want to meet don't swap
-        wish = best.where((F.col("to") != F.col("shard")) & (F.col("away") > F.coalesce("home", F.lit(0))) & (F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(2)) == 0))
-        wish = Written(
-            wish.select("doc_id", "size", F.col("shard").alias("from"), "to", F.floor(F.log2(F.col("away") - F.coalesce("home", F.lit(0)))).cast("int").alias("gain"), F.pmod(F.xxhash64("doc_id", F.lit(-k - 1)), F.lit(p.parts)).cast("int").alias("part")),
-            "wishes",
-        )
-        table = [tuple(r) for r in wish.df.groupBy("from", "to", "gain", "part").agg(F.sum("size")).collect()]
-        moves = accepted(table, sizes, capacity)
-        if not moves:
-            wish.drop()
-            break
-        moving = wish.df.join(F.broadcast(docs.sparkSession.createDataFrame(moves, "from int, to int, gain int, part int")), ["from", "to", "gain", "part"]).select("doc_id", "to")
-        after = Written(state.df.join(moving, "doc_id", "left").select("doc_id", "size", F.coalesce("to", "shard").alias("shard")), "state")
-        wish.drop()
+        wants = (F.col("to") != F.col("shard")) & (F.col("away") > F.col("home")) & (F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(2)) == 0)
+        best = Written(best.select("doc_id", "size", F.col("shard").alias("from"), "to", "home", F.when(wants, F.floor(F.log2(F.col("away") - F.col("home"))).cast("int")).alias("gain"), F.pmod(F.xxhash64("doc_id", F.lit(-k - 1)), F.lit(p.parts)).cast("int").alias("part")), "pulls")
+        within = best.df.agg(F.sum("home")).first()[0] or 0
+        if within > top + (p.settled * total if top >= 0 else 0):
+            stale = 0
+        else:
+            stale += 1
+        if within > top:
+            if best_of is not state:
+                best_of.drop()
+            best_of, top = state, within
+        wish = best.df.where("gain IS NOT NULL")
+        moves = accepted([tuple(r) for r in wish.groupBy("from", "to", "gain", "part").agg(F.sum("size")).collect()], sizes, capacity) if stale < 2 else []
+        if moves:
+            moving = wish.join(F.broadcast(docs.sparkSession.createDataFrame(moves, "from int, to int, gain int, part int")), ["from", "to", "gain", "part"]).select("doc_id", "to")
+            after = Written(state.df.join(moving, "doc_id", "left").select("doc_id", "size", F.coalesce("to", "shard").alias("shard")), "state")
+            if state is not best_of:
+                state.drop()
+            state = after
+        best.drop()
+        k += 1
+    if state is not best_of:
         state.drop()
-        state = after
-    return state
+    return best_of
 
 
 def shards(df: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's shard: (doc_id, size, shard), size its number of characters, 1 at least.
 
-    Null and empty texts link to nothing and stay where the hash of the id puts them; rows without
+    Every line that isn't blank links, whatever its length. Null and empty texts link to nothing and stay where the hash of the id puts them; rows without
     an id are left out; rows that repeat an id are one document, with the lines of all and the size
     of the longest. Equal pulls go to the smaller shard number. An empty table gives no rows.
     """
