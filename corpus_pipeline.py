@@ -25,22 +25,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays; null and empty texts, which have no copies, too.
+
+    Of rows that repeat an id one stays, so that an id names one document from here on.
+    """
     return _documents(neardup.one_of_each(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a benchmark item is found go."""
+    """Documents in which a benchmark item is found go; null and empty texts stay."""
     return _documents(latent.without_leaks(docs, load(spark, sf_dir, "benchmark")))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the texts are replaced by the name of their kind."""
+    """Secrets in the texts, whatever their length, are replaced by the name of their kind; a null text stays null."""
     return _documents(secrets.redacted(docs))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, decoded again and compared."""
+    """Token ids of every whole text, decoded again and compared; a null or empty text has none."""
     return bpe.encoded_and_decoded(docs)
 
 
@@ -50,8 +53,14 @@ ORACLE_SQL = None  #: near copies and latent retrieval aren't expressible in SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each one's rows written and read again as the next one's."""
-    docs = load(spark, sf_dir, "documents")
+    """The stages applied to documents, each one's rows written and read again as the next one's.
+
+    A stage's table goes when the next one's is written; the last stage reads the only one that stays.
+    """
+    docs, before = load(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = Written(stage(spark, docs, sf_dir), name.replace(" ", "-")).df
+        written = Written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before:
+            before.drop()
+        docs, before = written.df, written
     return STAGES[-1][1](spark, docs, sf_dir)
