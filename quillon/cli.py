@@ -22,19 +22,18 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         from pyspark.sql import SparkSession
         from pyspark.sql import functions as F
 
-        from quillon.operators.search import Corpus
+        from quillon.operators.search import Corpus, printed
+        from quillon.sources import shared
 
         spark = spark or SparkSession.builder.appName("quillon").getOrCreate()
         corpus = Corpus(spark, given.corpus, given.manifest)
         if not given.grep:
             print(corpus.quote(given.ref))
             return 0
-        hits = corpus.grep(given.grep, given.in_force_only).cache()
-        for h in hits.toLocalIterator():
-            flag = "" if h["validity"] == "in-force" else " " + h["banner"]
-            print(f"{h['item_id']}:{h['line_no']}:{flag} {h['line']}")
+        hits = shared.written(printed(corpus.grep(given.grep, given.in_force_only)).select("authority_rank", "item_id", "line_no", "printed"), "hits")
+        for h in hits.orderBy("authority_rank", "item_id", "line_no").toLocalIterator():
+            print(h["printed"])
         n, items = hits.agg(F.count("*"), F.countDistinct("item_id")).first()
-        hits.unpersist()
         print(f"\n{n} line(s) in {items} item(s).\nA count says where to read; read before concluding from it.")
         return 0 if n else 1
     except QuillonError as e:

@@ -5,6 +5,8 @@ Spark's trim knows the blank only and Java's \\s is ASCII, so both sets are writ
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,8 +40,8 @@ def typography(c: Column) -> Column:
 
 def split_lines(c: Column) -> Column:
     """Lines without their ends; a line end at the end of the text opens no further line."""
-    parts = F.split(c, LINES, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    body = F.regexp_replace(c, f"(?:{LINES})\\z", "")
+    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(body, LINES, -1))
 
 
 def collapse(c: Column) -> Column:
@@ -67,8 +69,90 @@ def utf8_size(c: Column) -> Column:
     return F.octet_length(c).cast("long")
 
 
-def java_regex(pattern: str) -> str:
-    """A Python pattern for rlike: without case, Unicode classes, Python's group names in Java's way."""
-    import re
-
-    return "(?iuU)" + re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{m[1].replace('_', '')}>", pattern)
+#: Python's \w, \d and \s as members of a Java class
+_WORD, _DIGIT, _SPACE = r"\p{L}\p{N}_", r"\p{Nd}", PYWS[1:-1]
+_CLASS = {"w": _WORD, "d": _DIGIT, "s": _SPACE}
+_PLAIN = {"a": r"\x07", "v": r"\x0b", "f": r"\f", "n": r"\n", "r": r"\r", "t": r"\t"}
+
+
+def java_regex(pattern: str) -> str | None:
+    """A valid Python pattern in Java's dialect, for rlike, without regard to case; None where Java has nothing like it.
+
+    Classes and word boundaries are written out, because Java's own hold other characters; braces
+    that open no quantifier, and brackets and ampersands in classes, are quoted.
+    """
+    out, k, n = ["(?iu)"], 0, len(pattern)
+    inside = opened = False
+    while k < n:
+        c = pattern[k]
+        if c == "\\":
+            e = pattern[k + 1]
+            hexes = {"x": 2, "u": 4, "U": 8}.get(e)
+            k += 2
+            if hexes:
+                out.append(f"\\x{{{int(pattern[k : k + hexes], 16):x}}}")
+                k += hexes
+            elif e in "wds":
+                out.append(_CLASS[e] if inside else f"[{_CLASS[e]}]")
+            elif e in "WDS" and not inside:
+                out.append(f"[^{_CLASS[e.lower()]}]")
+            elif e == "b" and inside:
+                out.append(r"\x08")
+            elif e in "bB" and not inside:
+                before, at = f"(?<=[{_WORD}])", f"(?=[{_WORD}])"
+                edge, non = (f"{before}(?![{_WORD}])|(?<![{_WORD}]){at}", f"{before}{at}|(?<![{_WORD}])(?![{_WORD}])")
+                out.append(f"(?:{edge if e == 'b' else non})")
+            elif e in "AZ" and not inside:
+                out.append(r"\A" if e == "A" else r"\z")
+            elif e in _PLAIN:
+                out.append(_PLAIN[e])
+            elif e == "0" or (e.isdigit() and (inside or re.match(r"[0-3][0-7][0-7]", pattern[k - 1 : k + 2]))):
+                m = re.match(r"[0-7]{1,3}", pattern[k - 1 :])
+                if not m:
+                    return None
+                out.append(f"\\x{{{int(m[0], 8):x}}}")
+                k += len(m[0]) - 1
+            elif e.isdigit():
+                if pattern[k : k + 1].isdigit():
+                    return None
+                out.append("\\" + e)
+            elif e.isalnum():
+                return None
+            else:
+                out.append("\\" + e if ord(e) < 128 else e)
+            opened = False
+            continue
+        if inside:
+            if c == "]" and not opened:
+                inside = False
+                out.append("]")
+            elif c == "^" and opened and pattern[k - 1] == "[":
+                out.append("^")
+                k += 1
+                continue  # a bracket is still an ordinary first member
+            else:
+                out.append("\\" + c if c in "[]&^" else c)
+            opened = False
+        elif c == "[":
+            inside = opened = True
+            out.append("[")
+        elif c == "(" and pattern[k + 1 : k + 2] == "?":
+            head = re.match(r"\(\?(?:[:=!>]|<[=!]|P<\w+>|#[^)]*\)|[imsu]*(?:-[ims]+)?[:)])", pattern[k:])
+            if not head:
+                return None
+            out.append("(" if head[0].startswith("(?P<") else "" if head[0].startswith("(?#") else head[0])
+            k += len(head[0])
+            continue
+        elif c == "{":
+            m = re.match(r"\{(\d*)(,\d*)?\}", pattern[k:])
+            if m and (m[1] or (m[2] or "") not in ("", ",")):
+                out.append("{" + (m[1] or "0") + (m[2] or "") + "}")
+                k += len(m[0])
+                continue
+            if m and m[2]:
+                return None
+            out.append(r"\{")
+        else:
+            out.append(r"\}" if c == "}" else c)
+        k += 1
+    return "".join(out)

@@ -85,6 +85,11 @@ def token(c: Column) -> Column:
     return F.lower(strip(text(c)))
 
 
+def member(c: Column, legal: tuple[str, ...]) -> Column:
+    """The token in its normal form; null where the vocabulary hasn't it."""
+    return F.when(token(c).isin(*legal), token(c))
+
+
 def quotable(validity: Column) -> Column:
     return token(validity) == Validity.IN_FORCE.value
 

@@ -11,16 +11,17 @@ import subprocess
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillon.errors import PdfError
 from quillon.functions.textexpr import PYWS, collapse, finished, rstrip, split_lines, strip, text, typography
+from quillon.sources import shared
 
 EDGE = 3  #: lines at each end of a page that can be furniture
 SHARE = 0.6  #: of the pages, rounded down, but two at least
 PAGE_NUMBER = r"(?iu)^(-\s*[\p{Nd}]+\s*-|(page\s+)?[\p{Nd}]+\s*(of\s+[\p{Nd}]+)?)$"
 _HEADING = "[A-Z][-A-Z '’]{6,}" + PYWS + "*"
 STRUCTURAL = "^" + PYWS + "*(§|\\([0-9A-Za-z]{1,4}\\)|\\d+\\.|(?:TITLE|DIVISION|CHAPTER|ARTICLE)\\b|Note:|" + _HEADING + "$)"
+_INK = "[^" + PYWS[1:]
 UNTERMINATED = "[^.:;?!)\\]’\"]" + PYWS + "*\\z"
 
 
@@ -38,11 +39,11 @@ def unterminated(line: Column) -> Column:
 
 def edge_votes(pages: DataFrame) -> DataFrame:
     """(doc_id, line, votes): pages on which a line stands among the first or last non-blank ones."""
-    full = pages.select("doc_id", F.filter(F.transform(split_lines(F.col("text")), strip), lambda x: x != "").alias("__full")).select("doc_id", "__full", F.size("__full").alias("__n"))
+    full = pages.select("doc_id", F.filter(split_lines(F.col("text")), lambda x: x.rlike(_INK)).alias("__full")).select("doc_id", "__full", F.size("__full").alias("__n"))
     head = F.slice("__full", F.lit(1), F.least("__n", F.lit(EDGE)))
     rest = F.greatest(F.lit(0), F.least(F.col("__n") - EDGE, F.lit(EDGE)))
     tail = F.slice("__full", F.greatest(F.lit(1), F.col("__n") - rest + 1), rest)
-    edges = F.array_distinct(F.concat(head, tail))
+    edges = F.array_distinct(F.transform(F.concat(head, tail), strip))
     return full.select("doc_id", F.explode(edges).alias("line")).groupBy("doc_id", "line").agg(F.count("*").alias("votes"))
 
 
@@ -56,10 +57,11 @@ def furniture(pages: DataFrame, share: float = SHARE) -> DataFrame:
 def without_furniture(pages: DataFrame, share: float = SHARE) -> DataFrame:
     """Pages without furniture and page numbers at their edges; a document of one page stays as it is."""
     found = furniture(pages, share).groupBy("doc_id").agg(F.collect_set("line").alias("__f"))
-    sizes = pages.groupBy("doc_id").agg((F.count("*") > 1).alias("__many"))
+    known = pages.groupBy("doc_id").agg((F.count("*") > 1).alias("__many")).join(found, "doc_id", "left")
     empty = F.array().cast("array<string>")
+    #: one short row a document, so that texts are shuffled once, or not at all if there are few documents;
     #: only the lines at the edges are looked at; the middle is one slice
-    cut = pages.join(found, "doc_id", "left").join(sizes, "doc_id").withColumn("__l", split_lines(F.col("text"))).withColumn("__n", F.size("__l"))
+    cut = pages.join(shared.sized(shared.written(known, "furniture")), "doc_id").withColumn("__l", split_lines(F.col("text"))).withColumn("__n", F.size("__l"))
     first, last = F.least("__n", F.lit(EDGE)), F.greatest(F.least("__n", F.lit(EDGE)), F.col("__n") - EDGE)
     stays = lambda line: ~(F.array_contains(F.coalesce("__f", empty), strip(line)) | page_number(line))
     head, tail = F.filter(F.slice("__l", F.lit(1), first), stays), F.filter(F.slice("__l", last + 1, F.col("__n") - last), stays)
@@ -67,35 +69,28 @@ def without_furniture(pages: DataFrame, share: float = SHARE) -> DataFrame:
     return cut.select("doc_id", "page_no", F.when(F.col("__many"), kept).otherwise(F.col("text")).alias("text"))
 
 
-def rejoined_blocks(lines: DataFrame) -> DataFrame:
-    """Hard wraps undone: lines (doc_id, line_no, line), without whitespace at their ends, to blocks (doc_id, block, text).
+def rejoined(docs: DataFrame, lines: Column, name: str = "text") -> DataFrame:
+    """Hard wraps undone in each row's array of lines, which have no whitespace at their ends: the other columns, and the lines' text under that name, a block a line.
 
-    Whether a line continues the one before depends on these two alone, so a running count of the
-    lines that don't numbers the blocks.
+    Whether a line continues the one before depends on these two alone, so each row is done where it
+    is. A line that is continued loses its end, one that continues both ends. The arrays are columns
+    of their own in between, so that nothing is computed once for each line of a text.
     """
-    order = Window.partitionBy("doc_id").orderBy("line_no")
-    before = F.lag("line").over(order)
-    joins = (strip(F.col("line")) != "") & before.isNotNull() & (strip(before) != "") & ~structural(F.col("line")) & unterminated(before)
-    flagged = lines.select("doc_id", "line_no", "line", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1).alias("__new"))
-    numbered = flagged.withColumn("block", F.sum("__new").over(order))
-    last = Window.partitionBy("doc_id", "block").orderBy("line_no")
-    #: a line that is continued loses its end, one that continues both ends
-    place = numbered.withColumn("__more", F.lead("line").over(last).isNotNull())
-    part = F.when(F.col("__new") == 0, strip(F.col("line"))).when(F.col("__more"), rstrip(F.col("line"))).otherwise(F.col("line"))
-    return place.select("doc_id", "block", F.struct("line_no", part.alias("s")).alias("p")).groupBy("doc_id", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["s"]), " ").alias("text"))
+    others = [c for c in docs.columns if c != name]
+    split = docs.select(*others, lines.alias("__l")).select(*others, "__l", F.greatest(F.size("__l") - 1, F.lit(0)).alias("__n"))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("__l", F.lit(1), F.col("__n")))
+    joins = lambda x, b: F.coalesce((strip(x) != "") & (strip(b) != "") & ~structural(x) & unterminated(b), F.lit(False))
+    flagged = split.select(*others, "__l", "__n", F.zip_with("__l", before, joins).alias("__j"))
+    more = F.concat(F.slice("__j", F.lit(2), F.col("__n")), F.array(F.lit(False)))
+    part = lambda s: F.when(s["j"], F.concat(F.lit(" "), strip(s["x"]))).otherwise(F.concat(F.lit("\n"), F.when(s["m"], rstrip(s["x"])).otherwise(s["x"])))
+    zipped = F.arrays_zip(F.col("__l").alias("x"), F.col("__j").alias("j"), more.alias("m"))
+    whole = F.when(F.size("__l") > 0, F.substring(F.array_join(F.transform(zipped, part), ""), F.lit(2), F.lit(2**31 - 1)))
+    return flagged.select(*others, whole.alias(name))
 
 
-def rejoined(c: Column) -> Column:
-    """The same within one text, as an expression: no shuffle, a document stays one row."""
-    lines = split_lines(c)
-
-    def step(acc: Column, line: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joins = (strip(line) != "") & (F.size(acc) > 0) & (strip(F.coalesce(last, F.lit(""))) != "") & ~structural(line) & unterminated(F.coalesce(last, F.lit("")))
-        head = F.slice(acc, F.lit(1), F.size(acc) - 1)
-        return F.when(joins, F.array_append(head, F.concat(rstrip(last), F.lit(" "), strip(line)))).otherwise(F.array_append(acc, line))
-
-    return F.array_join(F.aggregate(lines, F.array().cast("array<string>"), step), "\n")
+def rejoined_blocks(docs: DataFrame, lines: Column) -> DataFrame:
+    """(doc_id, block from 1, text): the same, a block a row; a text without lines has none."""
+    return rejoined(docs, lines).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("__at", "text")).select("doc_id", (F.col("__at") + 1).cast("long").alias("block"), "text")
 
 
 def clean_pages(pages: DataFrame) -> DataFrame:
@@ -104,15 +99,13 @@ def clean_pages(pages: DataFrame) -> DataFrame:
     A document whose pages are all blank has no text layer. Null page texts are blank pages.
     """
     own = pages.select("doc_id", "page_no", text(F.col("text")).alias("text"))
-    bare = without_furniture(own)
-    blank = own.groupBy("doc_id").agg(F.max((strip(F.col("text")) != "").cast("int")).alias("__any"))
-    one = bare.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    prepared = typography(F.replace(F.col("text"), F.lit("\f"), F.lit("\n")))
-    lines = one.select("doc_id", F.posexplode(F.transform(split_lines(prepared), rstrip)).alias("line_no", "line"))
-    blocks = rejoined_blocks(lines).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    done = blocks.select("doc_id", finished(collapse(F.col("text"))).alias("text"))
-    error = F.when(F.col("__any") == 0, F.struct(F.lit(PdfError.code).alias("code"), F.lit("every page is blank: the file has no text layer and needs OCR").alias("message")))
-    return blank.join(done, "doc_id", "left").select("doc_id", F.when(F.col("__any") == 1, F.coalesce("text", F.lit("\n"))).alias("text"), error.alias("error"))
+    inked = F.max(F.col("text").rlike(_INK)).alias("any")
+    blank = own.groupBy("doc_id").agg(inked)
+    one = without_furniture(own).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    lines = F.transform(split_lines(typography(F.replace(F.col("text"), F.lit("\f"), F.lit("\n")))), rstrip)
+    done = rejoined(one, lines).select("doc_id", finished(collapse(F.coalesce("text", F.lit("")))).alias("text"))
+    error = F.when(~F.col("any"), F.struct(F.lit(PdfError.code).alias("code"), F.lit("every page is blank: the file has no text layer and needs OCR").alias("message")))
+    return done.join(shared.sized(shared.written(blank, "inked")), "doc_id").select("doc_id", F.when(F.col("any"), F.col("text")).alias("text"), error.alias("error"))
 
 
 def clean(spark: SparkSession, pages: list[str]) -> str:

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
 from pathlib import Path
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,11 +15,9 @@ from quillon.functions import vocab
 from quillon.functions.textexpr import java_regex, split_lines, strip, text
 from quillon.operators.validate import COLUMNS
 from quillon.sources import manifest as manifests
+from quillon.sources import shared
 from quillon.sources import store as stores
 
-#: what Java's expressions don't have, or have otherwise: those patterns run in Python, by Arrow batches
-_ELSEWHERE = re.compile(r"\(\?P=|\(\?\(|\\[NZ]|\(\?[aLx]|\[[^\]]*(?:\[|&&)")
-
 
 def checked_pattern(pattern: str) -> re.Pattern:
     try:
@@ -28,11 +26,22 @@ def checked_pattern(pattern: str) -> re.Pattern:
         raise CorpusError(f"'{str(pattern)[:40]}' is not a valid regular expression: {e}.") from e
 
 
+def java_form(pattern: str) -> str | None:
+    """The pattern as rlike takes it; None where Java's expressions have nothing like it, or refuse it."""
+    form, spark = java_regex(pattern), SparkSession.getActiveSession()
+    if form is not None and spark is not None:
+        try:
+            spark.sparkContext._jvm.java.util.regex.Pattern.compile(form)
+        except Py4JJavaError:
+            return None
+    return form
+
+
 def matches(line: Column, pattern: str) -> Column:
-    """Whether a line holds the pattern, in Python's dialect, without regard to case."""
-    compiled = checked_pattern(pattern)
-    if not _ELSEWHERE.search(pattern):
-        return line.rlike(java_regex(pattern))
+    """Whether a line holds the pattern, in Python's dialect, without regard to case; what Java lacks runs in Python, by Arrow batches."""
+    compiled, form = checked_pattern(pattern), java_form(pattern)
+    if form is not None:
+        return line.rlike(form)
 
     @F.pandas_udf("boolean")
     def found(lines: pd.Series) -> pd.Series:
@@ -41,6 +50,26 @@ def matches(line: Column, pattern: str) -> Column:
     return found(line)
 
 
+def matching_lines(texts: DataFrame, patterns: dict[str, str], *keep: str) -> DataFrame:
+    """(keep..., line_no from 1, raw, found): the lines that hold any of the named patterns, and which.
+
+    Lines are tried inside their array, and only hits become rows; if a pattern has to run in
+    Python, all lines become rows first.
+    """
+    for p in patterns.values():
+        checked_pattern(p)
+    forms = {name: java_form(p) for name, p in patterns.items()}
+    if None in forms.values():
+        lines = lines_of(texts, *keep)
+        found = F.array_compact(F.array(*[F.when(matches(F.col("raw"), p), F.lit(name)) for name, p in patterns.items()]))
+        return lines.select(*keep, "line_no", "raw", found.alias("found")).where(F.size("found") > 0)
+    split = texts.select(*keep, split_lines(F.col("text")).alias("__lines"))
+    names = lambda x: F.array_compact(F.array(*[F.when(x.rlike(f), F.lit(name)) for name, f in forms.items()]))
+    tried = F.transform("__lines", lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("raw"), names(x).alias("found")))
+    hits = split.select(*keep, F.filter(tried, lambda s: F.size(s["found"]) > 0).alias("__hits"))
+    return hits.select(*keep, F.explode("__hits").alias("__hit")).select(*keep, "__hit.*")
+
+
 def lines_of(texts: DataFrame, *keep: str) -> DataFrame:
     """(keep..., line_no from 1, raw): the lines of each text."""
     return texts.select(*keep, F.posexplode(split_lines(F.col("text"))).alias("__at", "raw")).select(*keep, (F.col("__at") + 1).alias("line_no"), "raw")
@@ -49,23 +78,34 @@ def lines_of(texts: DataFrame, *keep: str) -> DataFrame:
 def grep(manifest: DataFrame, texts: DataFrame, pattern: str, in_force_only: bool = False, verify: bool = False, ordered: bool = True) -> DataFrame:
     """Lines that hold the pattern: the item's columns, line_no, line (stripped) and the banner.
 
-    The validity filter is on the manifest before the join, so only those items' texts are split;
-    items without a text are skipped. With verify, so are texts whose hash isn't the manifest's.
-    Ordered by authority, item and line, which is the only shuffle besides the join's.
+    Texts are split and searched where they are read; only hits meet the manifest, which the validity
+    filter has thinned before. Items without a text are skipped; with verify, so are texts whose hash
+    isn't the manifest's. Hits go round by item once, so that ordering them, by authority, item and
+    line, samples them and not the texts.
     """
     items = manifest.where(F.col("validity") == "in-force") if in_force_only else manifest
-    body = texts.select("item_id", "text", *(["sha256"] if verify else []))
+    found = matching_lines(texts, {"": pattern}, "item_id", *(["sha256"] if verify else [])).drop("found").repartition("item_id")
     if verify:
-        body = body.withColumnRenamed("sha256", "__is")
-    joined = items.join(body, "item_id")
+        found = found.withColumnRenamed("sha256", "__is")
+    hits = items.join(found, "item_id")
     if verify:
-        joined = joined.where(F.col("__is") == F.col("sha256"))
+        hits = hits.where(F.col("__is") == F.col("sha256"))
     keep = [c for c in (*COLUMNS, "authority_rank") if c in items.columns]
-    hits = lines_of(joined, *keep).where(matches(F.col("raw"), pattern))
     hits = hits.select(*keep, "line_no", strip(F.col("raw")).alias("line"), vocab.banner(F.col("validity"), F.col("validity_note")).alias("banner"))
     return hits.orderBy("authority_rank", "item_id", "line_no") if ordered else hits
 
 
+def printed(hits: DataFrame) -> DataFrame:
+    """The column printed: a hit as the command line shows it, the banner only where the text isn't in force."""
+    flag = F.when(F.col("validity") == "in-force", F.lit("")).otherwise(F.concat(F.lit(" "), "banner"))
+    return hits.withColumn("printed", F.concat("item_id", F.lit(":"), "line_no", F.lit(":"), flag, F.lit(" "), "line"))
+
+
+def known_ids(manifest: DataFrame, n: int = 8) -> DataFrame:
+    """The first ids in order: what an error names to show what there is."""
+    return manifest.select("item_id").orderBy("item_id").limit(n)
+
+
 def resolved(manifest: DataFrame, ref: str) -> DataFrame:
     """At most one row: the exact item_id, else the citation without regard to case; the first in file order."""
     wanted = strip(F.lit(ref or ""))
@@ -105,23 +145,32 @@ def quotes(manifest: DataFrame, texts: DataFrame) -> DataFrame:
     return manifest.join(body, "item_id", "left").select("item_id", status.alias("status"), F.when(status == "ok", F.concat(header(), F.col("text"))).alias("quote"))
 
 
-@dataclass
-class Hit:
-    item: dict
-    line_no: int
-    line: str
-
-
 class Corpus:
-    """A directory with a manifest and a store, opened on a session."""
+    """A directory with a manifest and a store, opened on a session; the manifest is read, checked and kept distributed.
+
+    The first row that breaks a rule is an error; its line counts rows, the header being line 1.
+    """
 
     def __init__(self, spark: SparkSession, root, manifest: str = "MANIFEST.tsv"):
         self.spark, self.root, self.store = spark, Path(root), stores.Store(root)
+        path = self.root / manifest
+        if not path.exists():
+            raise CorpusError(f"there is no manifest at {path}.")
         try:
-            self.items = manifests.read_items(self.root / manifest)
+            rows = shared.written(manifests.read(spark, str(path)).withColumn("file_pos", F.monotonically_increasing_id()), "corpus")
         except ManifestError as e:
             raise CorpusError(e.message) from e
-        self.manifest = manifests.frame(spark, self.items)
+        bad = rows.where(F.size("errors") > 0).orderBy("file_pos").limit(1).collect()
+        if bad:
+            raise CorpusError(f"{path} line {bad[0]['file_pos'] + 2}: {bad[0]['errors'][0]['message']}")
+        self.manifest = rows.drop("errors", "retrieved_date")
+
+    def __len__(self) -> int:
+        return self.manifest.count()
+
+    def __iter__(self):
+        """The items in file order, a few at a time."""
+        return iter(self.manifest.orderBy("file_pos").toLocalIterator())
 
     @property
     def texts(self) -> DataFrame:
@@ -136,7 +185,7 @@ class Corpus:
     def resolve(self, ref):
         found = resolved(self.manifest, "" if ref is None else str(ref)).collect()
         if not found:
-            known = ", ".join(r[0] for r in self.manifest.select("item_id").orderBy("item_id").limit(8).collect()) or "(the corpus is empty)"
+            known = ", ".join(r[0] for r in known_ids(self.manifest).collect()) or "(the corpus is empty)"
             raise CorpusError(f"nothing matches '{str(ref).strip()[:60]}'; known item_ids include: {known}.")
         return found[0]
 

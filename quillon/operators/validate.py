@@ -94,6 +94,20 @@ def check_columns(names: list[str]) -> None:
         raise ManifestError(f"missing column(s): {', '.join(missing)}.")
 
 
+def header_error(names: Column) -> Column:
+    """check_columns() for many headers at once: what is wrong with an array of names, null if nothing is."""
+    legal = F.array(*map(F.lit, COLUMNS))
+    unknown, missing = F.array_sort(F.array_except(names, legal)), F.array_except(legal, names)
+    said = lambda what, which: F.concat(F.lit(what + " column(s): "), F.array_join(which, ", "))
+    return F.when(F.size(unknown) > 0, said("unknown", unknown)).when(F.size(missing) > 0, said("missing", missing))
+
+
+def error_text(e: Column) -> Column:
+    """An error as the exceptions say it: its code, what is wrong, and whether trying again can help."""
+    advice = F.when(e["transient"], "Retrying may succeed.").otherwise("Retrying will not change this; change the input instead.")
+    return F.concat(F.lit("["), e["code"], F.lit("] "), e["message"], F.lit(" "), advice)
+
+
 def _bytes(c: Column) -> tuple[Column, Column]:
     """(value or null, is it shaped like a whole number): signs and single underscores between digits are allowed."""
     raw = strip(text(c))

@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
+from itertools import chain
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
-from quillon.operators.search import lines_of, matches
+from quillon.operators.search import matching_lines
 
 
 def sweep(manifest: DataFrame, texts: DataFrame, families: dict[str, str], in_force_only: bool = False) -> DataFrame:
     """(family, item's keys, line_no, line) for each line and each of the named patterns it holds, in one scan of the texts.
 
-    The patterns are literals of the plan, compiled once a task; no cross join is made.
+    The patterns are literals of the plan, compiled once a task; only hits meet the manifest.
     """
     items = manifest.where(F.col("validity") == "in-force") if in_force_only else manifest
-    lines = lines_of(items.join(texts.select("item_id", "text"), "item_id"), "item_id", "authority_tier", "authority_rank", "validity")
-    found = F.array_compact(F.array(*[F.when(matches(F.col("raw"), p), F.lit(name)) for name, p in families.items()]))
-    return lines.select("item_id", "authority_tier", "authority_rank", "validity", "line_no", F.col("raw").alias("line"), F.explode(found).alias("family"))
+    hits = matching_lines(texts, families, "item_id").join(items.select("item_id", "authority_tier", "authority_rank", "validity"), "item_id")
+    return hits.select("item_id", "authority_tier", "authority_rank", "validity", "line_no", F.col("raw").alias("line"), F.explode("found").alias("family"))
 
 
 def counted(hits: DataFrame, families: dict[str, str], *by: str) -> DataFrame:
@@ -81,6 +85,42 @@ def labelled(provisions: DataFrame, labels: DataFrame) -> DataFrame:
     return provisions.join(labels.select("item_id", "duty", "direction"), "item_id", "left")
 
 
-def contained(texts: DataFrame, phrases: DataFrame, text: Column, phrase: Column) -> DataFrame:
-    """Pairs whose text holds the phrase, letter for letter."""
-    return texts.join(F.broadcast(phrases), F.contains(text, phrase))
+def contained(texts: DataFrame, phrases: DataFrame, text_id: str, phrase_id: str, text: str = "text", phrase: str = "phrase", block_chars: int = 8_000_000) -> DataFrame:
+    """Pairs (text_id, phrase_id) whose text holds the phrase, letter for letter; a phrase that is null is in none, an empty one in all.
+
+    A phrase's inner words, those with something on either side, are whole words of any text that
+    holds it: its longest one is its key, and a text tries only the phrases whose key it has. Phrases
+    without such a word are tried everywhere. Phrases are sent out in blocks of bounded size.
+    """
+    own = phrases.select(F.col(phrase_id).alias("__id"), F.col(phrase).cast("string").alias("__phrase")).where("__phrase IS NOT NULL")
+    blocks = max(1, -(-(own.agg(F.sum(F.length("__phrase"))).first()[0] or 0) // block_chars))
+    kinds = T.StructType([T.StructField(text_id, texts.schema[text_id].dataType), T.StructField(phrase_id, phrases.schema[phrase_id].dataType)])
+    out = []
+    for k in range(blocks):
+        rows = [tuple(r) for r in own.where(F.pmod(F.xxhash64("__phrase"), F.lit(blocks)) == k).collect()]
+        out.append(texts.select(F.col(text_id), F.col(text).cast("string").alias("text")).where("text IS NOT NULL").mapInArrow(_containing(rows, kinds), kinds))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _containing(phrases: list[tuple], kinds: T.StructType):
+    def batches(it):
+        keyed: dict[str, list[int]] = {}
+        everywhere = []
+        for k, (_, p) in enumerate(phrases):
+            inner = [m.group() for m in re.finditer(r"\w+", p) if m.start() and m.end() < len(p)]
+            if inner:
+                keyed.setdefault(max(inner, key=len), []).append(k)
+            else:
+                everywhere.append(k)
+        ids, schema = pa.array([i for i, _ in phrases], to_arrow_type(kinds[1].dataType)), to_arrow_schema(kinds)
+        for batch in it:
+            at, which = [], []
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                for k in chain(everywhere, *map(keyed.__getitem__, keyed.keys() & set(re.findall(r"\w+", text)))):
+                    if phrases[k][1] in text:
+                        at.append(row)
+                        which.append(k)
+            if at:
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)).cast(schema.field(0).type), ids.take(pa.array(which))], schema=schema)
+
+    return batches

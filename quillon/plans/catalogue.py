@@ -262,46 +262,61 @@ m AS (SELECT *, lead(line) OVER (PARTITION BY doc_id, block ORDER BY line_no) AS
 SELECT doc_id, CAST(block AS BIGINT) AS block, string_agg(CASE WHEN new = 0 THEN trim(line) WHEN more IS NOT NULL THEN rtrim(line) ELSE line END, ' ' ORDER BY line_no) AS text FROM m GROUP BY doc_id, block"""
 )
 def rejoined_lines(spark, d):
-    lines = table(spark, d, "documents").select("doc_id", F.posexplode(split_lines(F.col("text"))).alias("line_no", "line"))
-    return pdfclean.rejoined_blocks(lines)
+    return pdfclean.rejoined_blocks(table(spark, d, "documents").select("doc_id", "text"), split_lines(F.col("text")))
 
 
 def _escaped(c):
     return F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
 
 
-def _first_line():
-    return F.element_at(split_lines(F.col("text")), 1)
-
-
 def _formex_docs(spark, d) -> DataFrame:
-    line = _escaped(_first_line())
-    art = lambda k, title: F.concat(F.lit(f'<ARTICLE IDENTIFIER="00{k}">{title}<STI.ART>Of  '), "source", F.lit("</STI.ART><ALINEA>"), line, F.lit("</ALINEA></ARTICLE>"))
-    xml = F.concat(F.lit("<ACT><CONSID><NP><NO.P>(7)</NO.P><TXT>Whereas.</TXT></NP></CONSID>"), art(1, "<TI.ART>Article 12a</TI.ART>"), art(2, ""), F.lit("</ACT>"))
+    """Two articles and a recital of the whole text of each document."""
+    body = _escaped(F.col("text"))
+    art = lambda k, title: F.concat(F.lit(f'<ARTICLE IDENTIFIER="00{k}">{title}<STI.ART>Of  '), "source", F.lit("</STI.ART><ALINEA>"), body, F.lit("</ALINEA></ARTICLE>"))
+    xml = F.concat(F.lit("<ACT><CONSID><NP><NO.P>(7)</NO.P><TXT>"), body, F.lit("</TXT></NP></CONSID>"), art(1, "<TI.ART>Article 12a</TI.ART>"), art(2, ""), F.lit("</ACT>"))
     return table(spark, d, "documents").select("doc_id", xml.alias("source"), F.col("text"))
 
 
+def _cleaned(sql: str) -> str:
+    """clean_markup() in SQL; a line end within a sentence is looked for twice, since a match takes the letter before it."""
+    for pattern, by in (("[ \\t]*\\n[ \\t]*", "chr(10)"), ("([^.:;)\\]])\\n([a-z(])", "'\\1 \\2'"), ("([^.:;)\\]])\\n([a-z(])", "'\\1 \\2'"), ("[ \\t]{2,}", "' '"), ("\\n{3,}", "repeat(chr(10), 2)"), ("^\\s+|\\s+$", "''")):
+        sql = f"regexp_replace({sql}, '{pattern}', {by}, 'g')"
+    return f"{sql} || chr(10)"
+
+
+_ARTICLE = "'Of ' || source || repeat(chr(10), 2) || text"
+
+
 @query(
-    """WITH f AS (SELECT doc_id, source, trim(regexp_replace(string_split(text, chr(10))[1], '[ \\t]{2,}', ' ', 'g')) AS line FROM documents),
-l AS (SELECT *, CASE WHEN regexp_matches(line, '^[a-z(]') THEN chr(10) || ' ' ELSE chr(10) || chr(10) END AS gap FROM f)
-SELECT doc_id, 0 AS ordinal, '001' AS identifier, '12a' AS number, 'Of ' || source AS heading, 'Article 12a' || chr(10) || chr(10) || 'Of ' || source || gap || line || chr(10) AS text FROM l
-UNION ALL SELECT doc_id, 1, '002', '2', 'Of ' || source, 'Of ' || source || gap || line || chr(10) FROM l"""
+    f"""SELECT doc_id, 0 AS ordinal, '001' AS identifier, '12a' AS number, 'Of ' || source AS heading, {_cleaned(f"'Article 12a' || repeat(chr(10), 2) || {_ARTICLE}")} AS text FROM documents
+UNION ALL SELECT doc_id, 1, '002', '2', 'Of ' || source, {_cleaned(_ARTICLE)} FROM documents"""
 )
 def formex_articles(spark, d):
     return markup.formex_articles(_formex_docs(spark, d))
 
 
-@query("SELECT doc_id, '7' AS number, '(7) Whereas.' || chr(10) AS text FROM documents")
+@query(f"SELECT doc_id, {_cleaned(_ARTICLE)} AS text, CAST(NULL AS VARCHAR) AS available FROM documents")
+def article_texts(spark, d):
+    return markup.article_text(_formex_docs(spark, d), " 2 ")
+
+
+@query("SELECT doc_id, CAST(NULL AS VARCHAR) AS text, '12a, 2' AS available FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, NULL, '(none)' FROM documents WHERE doc_id % 2 = 1")
+def articles_not_found(spark, d):
+    docs = _formex_docs(spark, d)
+    return markup.article_text(docs.withColumn("source", F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise(F.concat(F.lit("<ACT><P>"), _escaped(F.col("text")), F.lit("</P></ACT>")))), "99")
+
+
+@query(f"SELECT doc_id, '7' AS number, {_cleaned("'(7) ' || text")} AS text FROM documents")
 def formex_recitals(spark, d):
     return markup.formex_recitals(_formex_docs(spark, d)).drop("ordinal")
 
 
 @query(
-    """WITH l AS (SELECT doc_id, source, trim(regexp_replace(string_split(text, chr(10))[1], '\\s+', ' ', 'g')) AS line FROM documents)
+    """WITH l AS (SELECT doc_id, source, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS line FROM documents)
 SELECT doc_id, 'Title of ' || source AS heading, 'Title of ' || source || chr(10) || chr(10) || '(a) ' || line || chr(10) AS text, CAST(NULL AS VARCHAR) AS error FROM l"""
 )
 def caml_sections(spark, d):
-    xml = F.concat(F.lit('<caml:Content xmlns:caml="http://caml.example"><p>Title of '), "source", F.lit('</p><p/><p>(a)<span class="EnSpace"/>'), _escaped(_first_line()), F.lit("</p></caml:Content>"))
+    xml = F.concat(F.lit('<caml:Content xmlns:caml="http://caml.example"><p>Title of '), "source", F.lit('</p><p/><p>(a)<span class="EnSpace"/>'), _escaped(F.col("text")), F.lit("</p></caml:Content>"))
     return markup.caml_texts(table(spark, d, "documents").select("doc_id", xml.alias("source")))
 
 
@@ -312,7 +327,7 @@ def pages_not_wellformed(spark, d):
 
 @query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def benchmark_containment(spark, d):
-    return analysis.contained(table(spark, d, "documents"), table(spark, d, "benchmark").withColumnRenamed("text", "phrase"), F.col("text"), F.col("phrase")).select("doc_id", "item_id")
+    return analysis.contained(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "item_id", phrase="text")
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS item_id, CAST(2 AS BIGINT) AS n, CAST(2 + doc_id % 2 AS BIGINT) AS expected, doc_id % 2 = 0 AS ok FROM documents")
@@ -381,7 +396,7 @@ def _answering(url: str, headers: dict, timeout: float) -> tuple[int, bytes, str
     return 200, out.getvalue(), "application/zip"
 
 
-_NUMBER = "'32016R' || lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '0')"
+_NUMBER = "lpad(CAST(32016 + doc_id // 10000 AS VARCHAR), 5, '0') || 'R' || lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '0')"
 
 
 @query(
@@ -391,7 +406,7 @@ SELECT celex, CASE WHEN right(celex, 1) NOT IN ('3', '7') THEN 'Act ' || celex |
 )
 def fetched_texts(spark, d):
     """A work-list fetched by the executors from a stand-in, unzipped, ordered and rendered."""
-    work = table(spark, d, "documents").select(F.expr(_NUMBER.replace("VARCHAR", "STRING")).alias("celex")).distinct()
+    work = table(spark, d, "documents").select(F.expr(_NUMBER.replace("VARCHAR", "STRING").replace("//", "DIV")).alias("celex")).distinct()
     at = shared.scratch_path(spark, "fetched")
     fetch.fetched(work, _answering).write.parquet(at)
     got = spark.read.parquet(at)
@@ -407,24 +422,111 @@ def sparql_bindings(spark, d):
 
 
 @query(
-    "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN NULL ELSE '§ ' || doc_id || '. Of ' || source || ' and of more.' || chr(10) || chr(10) || '(a) first part' || chr(10) || chr(10) || 'Ends here. ' || chr(10) END AS text, doc_id % 10 = 0 AS failed FROM documents".replace("here. '", "here.'")
+    f"""WITH w AS (SELECT doc_id, chr(10) || '§ ' || doc_id || '. Of  ' || source || chr(10) || 'and of more.' || repeat(chr(10), 2) || text || repeat(chr(10), 2) || 'Ends here.' AS t FROM documents WHERE doc_id % 10 <> 0),
+o AS (SELECT doc_id, string_split(t, chr(10)) AS own FROM w), l AS (SELECT doc_id, unnest(range(0, len(own))) AS line_no, rtrim(unnest(own)) AS line FROM o), p AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS before FROM l),
+f AS (SELECT *, CASE WHEN trim(line) <> '' AND before IS NOT NULL AND trim(before) <> '' AND NOT regexp_matches(line, '{_SQL_STRUCT}') AND regexp_matches(before, '[^.:;?!)\\]’"]\\s*$') THEN 0 ELSE 1 END AS new FROM p),
+g AS (SELECT doc_id, string_agg(CASE WHEN new = 0 THEN ' ' || trim(line) ELSE chr(10) || line END, '' ORDER BY line_no) AS t FROM f GROUP BY doc_id)
+SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '[ \\t]{{2,}}', ' ', 'g'), '\\n{{3,}}', repeat(chr(10), 2), 'g'), '^\\s+|\\s+$', '', 'g') || chr(10) AS text, false AS failed FROM g
+UNION ALL SELECT doc_id, NULL, true FROM documents WHERE doc_id % 10 = 0"""
 )
 def cleaned_pages(spark, d):
-    """Three pages a document with a running head, page numbers and a wrapped line; every tenth has no text layer."""
+    """Three pages a document with a running head and page numbers, the second with its whole text; every tenth has no text layer."""
     page = lambda k, body: F.concat(F.lit("Running Head\n\n"), body, F.lit(f"\nFoot\nPage {k} of 3"))
     n, s = F.col("doc_id"), F.col("source")
-    bodies = [F.concat(F.lit("§ "), n, F.lit(". Of  "), s, F.lit("\nand of more.\n")), F.lit("(a) first part\n"), F.lit("Ends\u00a0here.")]
+    bodies = [F.concat(F.lit("§ "), n, F.lit(". Of  "), s, F.lit("\nand of more.")), F.col("text"), F.lit("Ends\u00a0here.")]
     pages = F.array(*[F.when(n % 10 == 0, F.lit(" \n")).otherwise(page(k + 1, b)) for k, b in enumerate(bodies)])
     out = pdfclean.clean_pages(table(spark, d, "documents").select("doc_id", F.posexplode(pages).alias("page_no", "text")))
     return out.select("doc_id", "text", F.col("error").isNotNull().alias("failed"))
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS item_id, CASE WHEN doc_id % 6 = 1 THEN 'the text is blank' ELSE 'validity is empty and has no default' END AS reason FROM documents WHERE doc_id % 6 = 1 OR doc_id % 6 = 2")
+_REFUSED = "CASE doc_id % 7 WHEN 1 THEN 'the text is blank' WHEN 2 THEN 'validity is empty and has no default' WHEN 3 THEN 'nobody stated facts of this text' WHEN 4 THEN 'there is no text' WHEN 5 THEN 'the item_id is not unique' END"
+
+
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS item_id, {_REFUSED} AS reason FROM documents WHERE doc_id % 7 IN (1, 2, 3, 4, 5) UNION ALL SELECT CAST(doc_id AS VARCHAR), 'the item_id is not unique' FROM documents WHERE doc_id % 7 = 5")
 def ingest_refused(spark, d):
-    """What ingest gives back: blank texts, and items whose validity nobody stated."""
+    """What ingest gives back: blank texts, unstated validity, texts without facts, facts without texts, ids that stand twice."""
     m, texts = corpus(spark, d)
-    n = F.col("item_id").cast("long")
-    blank = texts.withColumn("text", F.when(n % 6 == 1, F.lit(" ")).otherwise(F.col("text")))
-    facts = m.drop("authority_rank").withColumn("validity", F.when(n % 6 == 2, F.lit("")).otherwise(F.col("validity")))
-    _, refused, _ = ingest.ingest(blank, facts, shared.scratch_path(spark, "refused"))
+    n = F.col("item_id").cast("long") % 7
+    mine = texts.where(n != 4).withColumn("text", F.when(n == 1, F.lit(" ")).otherwise(F.col("text")))
+    facts = m.drop("authority_rank").where(n != 3).withColumn("validity", F.when(n == 2, F.lit("")).otherwise(F.col("validity")))
+    _, refused, _ = ingest.ingest(mine, facts.unionByName(facts.where(n == 5)), shared.scratch_path(spark, "refused"))
     return refused.select("item_id", F.explode("reasons").alias("reason"))
+
+
+_PATTERNS = {"brace": r"{|version", "few": r"th{,2}at", "literal": r"\w{x}|licen[cs]e", "wide": r"\U00000074hat"}
+_AS_SQL = {"brace": r"\{|version", "few": r"th{0,2}at", "literal": r"\w\{x\}|licen[cs]e", "wide": "that"}
+
+
+@query(f"WITH {LINES} " + " UNION ALL ".join(f"SELECT '{f}' AS family, item_id, line_no FROM lines WHERE regexp_matches(raw, '(?i){p}')" for f, p in _AS_SQL.items()))
+def any_pattern(spark, d):
+    """Braces that open no quantifier, a quantifier without a lower bound, long escapes: Python's dialect, not Java's."""
+    return analysis.sweep(*corpus(spark, d), _PATTERNS).select("family", "item_id", "line_no")
+
+
+@query(f"WITH {LINES}, hits AS ({_HITS}) SELECT item_id || ':' || line_no || ':' || CASE WHEN validity = 'in-force' THEN '' ELSE ' ' || banner END || ' ' || line AS printed FROM hits")
+def printed_hits(spark, d):
+    return search.printed(search.grep(*corpus(spark, d), FAMILIES["licence"])).select("printed")
+
+
+@query(f"WITH {MANIFEST} SELECT item_id FROM manifest ORDER BY item_id LIMIT 8")
+def known_ids(spark, d):
+    return search.known_ids(corpus(spark, d)[0])
+
+
+@query(f"WITH {MANIFEST} SELECT item_id, title, validity_note, CAST(row_number() OVER (ORDER BY item_id) + 1 AS BIGINT) AS line, count(*) OVER () AS items FROM manifest")
+def sorted_manifest(spark, d):
+    """Written as one file in order, opened again as a corpus's manifest is: rows by their place in the file, and their number."""
+    at = shared.scratch_path(spark, "sorted")
+    n = manifests.write(corpus(spark, d)[0], f"{at}/MANIFEST.tsv")
+    back = manifests.read(spark, f"{at}/MANIFEST.tsv").withColumn("file_pos", F.monotonically_increasing_id())
+    return back.select("item_id", "title", "validity_note", (F.col("file_pos") + 2).alias("line"), F.lit(n).cast("long").alias("items"))
+
+
+@query(f"WITH {MANIFEST}, w AS (SELECT item_id AS wanted, item_id FROM manifest UNION ALL SELECT 'no-' || item_id, NULL FROM manifest) SELECT wanted, title, m.item_id IS NOT NULL AS known FROM w LEFT JOIN manifest m ON m.item_id = w.item_id")
+def items_by_id(spark, d):
+    m = corpus(spark, d)[0]
+    wanted = m.select(F.explode(F.array("item_id", F.concat(F.lit("no-"), "item_id"))).alias("item_id"))
+    return manifests.get_all(m, wanted).select(F.col("item_id").alias("wanted"), "title", "known")
+
+
+_STORED = "SELECT CAST(doc_id AS VARCHAR) AS id, doc_id % 3 <> 0 AS txt, doc_id % 4 = 0 AS md, text FROM documents"
+
+
+@query(f"WITH s AS ({_STORED}) SELECT id AS item_id, true AS safe, txt OR md AS found, CASE WHEN md THEN '.md' WHEN txt THEN '.txt' END AS suffix FROM s UNION ALL SELECT '../' || id, false, false, NULL FROM s")
+def store_located(spark, d):
+    """Texts stored under two suffixes, then all ids looked up at once, and as many that can't be file names."""
+    at, docs = shared.scratch_path(spark, "lookup"), table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("item_id"), "text")
+    for kept, suffix in (("doc_id % 3 <> 0", ".txt"), ("doc_id % 4 = 0", ".md")):
+        shared.written(store.write_texts(docs.where(kept), at, suffix), "receipts")
+    asked = docs.select(F.explode(F.array("item_id", F.concat(F.lit("../"), "item_id"))).alias("item_id"))
+    return store.located(store.listing(spark, at), asked)
+
+
+_RAW_VALIDITY = "CASE WHEN doc_id % 7 = 0 THEN 'valid' WHEN doc_id % 7 = 1 THEN ' ' ELSE '  ' || upper(validity) || ' ' END"
+
+
+@query(f"WITH {MANIFEST} SELECT item_id, CASE WHEN CAST(item_id AS BIGINT) % 7 > 1 THEN validity END AS member FROM manifest")
+def vocabulary_members(spark, d):
+    m = corpus(spark, d)[0].withColumn("doc_id", F.col("item_id").cast("long"))
+    return m.select("item_id", vocab.member(F.expr(_RAW_VALIDITY), vocab.VALIDITIES).alias("member"))
+
+
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'unknown column(s): Doc. ' || doc_id || ', lanG' WHEN 1 THEN 'missing column(s): title, lang' END AS error FROM documents")
+def header_errors(spark, d):
+    names = F.array(*map(F.lit, validate.COLUMNS))
+    n = F.col("doc_id")
+    odd = F.when(n % 3 == 0, F.concat(F.array(F.lit("lanG"), F.concat(F.lit("Doc. "), n)), names)).when(n % 3 == 1, F.array_except(names, F.array(F.lit("lang"), F.lit("title")))).otherwise(F.reverse(names))
+    return table(spark, d, "documents").select("doc_id", validate.header_error(odd).alias("error"))
+
+
+@query(f"WITH {MANIFEST} SELECT item_id, '[BK_MANIFEST_INVALID] ' || CASE WHEN CAST(item_id AS BIGINT) % 2 = 0 THEN 'validity ''probably'' is unknown' ELSE 'lang has not the form' END || ' Retrying will not change this; change the input instead.' AS said FROM manifest")
+def error_texts(spark, d):
+    m, even = corpus(spark, d)[0].drop("authority_rank"), F.col("item_id").cast("long") % 2 == 0
+    bad = m.withColumn("validity", F.when(even, F.lit("probably")).otherwise(F.col("validity"))).withColumn("lang", F.when(even, F.col("lang")).otherwise(F.lit("english")))
+    return validate.validated(bad).select("item_id", validate.error_text(F.element_at("errors", 1)).alias("said"))
+
+
+@query("SELECT doc_id, doc_id % 5 = 1 OR doc_id % 5 = 2 OR doc_id % 5 = 3 AS matches FROM documents")
+def celex_pattern(spark, d):
+    """The bare pattern: no stripping, no change of case, so the first form of celex_parse's isn't one."""
+    return table(spark, d, "documents").select("doc_id", F.expr(_CELEX.replace("VARCHAR", "STRING")).rlike(celex.CELEX).alias("matches"))

@@ -22,21 +22,29 @@ def rendered(fetched: DataFrame) -> DataFrame:
 
 
 def manifest_rows(texts: DataFrame, facts: DataFrame) -> DataFrame:
-    """The manifest's rows, validated: texts (item_id, text) joined with facts, which hold all columns but bytes and sha256."""
-    sized = texts.select("item_id", utf8_size(F.col("text")).alias("bytes"), sha256(F.col("text")).alias("sha256"))
-    return validate.validated(facts.drop("bytes", "sha256").join(sized, "item_id"))
+    """The manifest's rows, validated: texts (item_id, text) joined with facts, which hold all columns but bytes and sha256.
+
+    A text without facts, and a fact without a text, is a row too, __text or __facts null.
+    """
+    sized = texts.select("item_id", utf8_size(F.col("text")).alias("bytes"), sha256(F.col("text")).alias("sha256"), F.lit(True).alias("__text"))
+    return validate.validated(facts.drop("bytes", "sha256").withColumn("__facts", F.lit(True)).join(sized, "item_id", "full_outer"))
 
 
 def ingest(texts: DataFrame, facts: DataFrame, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(manifest, refused, receipts): only texts whose manifest row breaks no rule, and that aren't blank, are stored.
 
-    receipts is the write: nothing is stored until it runs.
+    Every text and every fact is in the manifest or refused with its reasons: a blank text, a text
+    that nobody stated facts of, facts whose text isn't there, an id that stands on more than one
+    text or fact. receipts is the write: nothing is stored until it runs.
     """
-    full = texts.where(strip(text(F.col("text"))) != "")
-    checked = manifest_rows(full, facts)
-    good = checked.where(F.size("errors") == 0).drop("errors")
-    reason = F.transform("errors", lambda e: e["message"])
-    refused = checked.where(F.size("errors") > 0).select("item_id", reason.alias("reasons")).unionByName(
-        texts.where(strip(text(F.col("text"))) == "").select("item_id", F.array(F.lit("the text is blank")).alias("reasons"))
-    )
+    blank = strip(text(F.col("text"))) == ""
+    twice = texts.groupBy("item_id").count().unionByName(facts.groupBy("item_id").count()).where("count > 1").select("item_id").distinct().withColumn("__twice", F.lit(True))
+    checked = manifest_rows(texts.where(~blank), facts).join(texts.where(blank).select("item_id").distinct().withColumn("__blank", F.lit(True)), "item_id", "left").join(twice, "item_id", "left")
+    own = F.when(F.col("__facts").isNull(), F.array(F.lit("nobody stated facts of this text"))).when(F.col("__text").isNull(), F.array(F.lit("there is no text"))).otherwise(F.transform("errors", lambda e: e["message"]))
+    reasons = F.when(F.col("__twice"), F.concat(F.array(F.lit("the item_id is not unique")), own)).otherwise(own)
+    #: a blank text is refused as such, its facts aren't refused again
+    told = checked.where("__blank IS NULL OR __text").select("*", reasons.alias("reasons")).drop("__facts", "__text", "__twice", "__blank")
+    good = told.where(F.size("reasons") == 0).drop("errors", "reasons")
+    refused = told.where(F.size("reasons") > 0).select("item_id", "reasons").unionByName(texts.where(blank).select("item_id", F.array(F.lit("the text is blank")).alias("reasons")))
+    full = texts.where(~blank)
     return good, refused, store.write_texts(full.join(good.select("item_id"), "item_id", "left_semi").select("item_id", "text"), root)

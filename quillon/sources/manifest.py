@@ -6,6 +6,7 @@ import csv
 import io
 from pathlib import Path
 
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,21 +45,23 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """A manifest as a checked DataFrame; too long rows are an error too."""
-    checked = validate.validated(scan(spark, path))
+    return width_checked(validate.validated(scan(spark, path)))
+
+
+def width_checked(checked: DataFrame) -> DataFrame:
+    """The errors of validated rows, and one more where _corrupt holds a row with more fields than the header; _corrupt goes."""
     width = F.array(F.struct(F.lit(ManifestError.code), F.lit("row"), F.lit("the row has more or fewer fields than the header"), F.lit(False))).cast(validate.ERRORS)
     long = F.col("_corrupt").isNotNull() & (F.size(F.split("_corrupt", "\t")) > len(COLUMNS))
     return checked.withColumn("errors", F.when(long, F.concat("errors", width)).otherwise(F.col("errors"))).drop("_corrupt")
 
 
 def write(df: DataFrame, path) -> int:
-    """One sorted, exactly quoted file, written row by row on the driver; ids must be unique. Returns the rows."""
+    """One sorted, exactly quoted file, written row by row on the driver, at a path or a URI; ids must be unique. Returns the rows."""
     twice = validate.duplicate_ids(df).orderBy("item_id").limit(1).collect()
     if twice:
         raise ManifestError(f"item_id '{twice[0][0]}' is on {twice[0][1]} rows.")
-    path = Path(path)
-    path.parent.mkdir(parents=True, exist_ok=True)
     n = 0
-    with path.open("w", encoding="utf-8", newline="") as f:
+    with _created(path) as f:
         out = csv.writer(f, delimiter="\t", lineterminator="\n")
         out.writerow(COLUMNS)
         for row in df.select(*COLUMNS).orderBy("item_id").toLocalIterator():
@@ -67,6 +70,15 @@ def write(df: DataFrame, path) -> int:
     return n
 
 
+def _created(path):
+    if "://" in str(path):
+        fs, at = pyarrow.fs.FileSystem.from_uri(str(path))
+        fs.create_dir(at.rpartition("/")[0], recursive=True)
+        return io.TextIOWrapper(fs.open_output_stream(at), encoding="utf-8", newline="")
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    return Path(path).open("w", encoding="utf-8", newline="")
+
+
 def write_parts(df: DataFrame, path: str) -> None:
     """The same rows as a folder of files, each with the header, written by the executors; scan() and read() take the folder."""
     own = df.select(*[text(F.col(c)).alias(c) for c in COLUMNS])
@@ -93,6 +105,13 @@ def get(df: DataFrame, item_id: str):
     return found[0]
 
 
+def get_all(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """(ids' columns, the row's columns but item_id, known) of many exact ids at once; the first in file order of each."""
+    order = ["file_pos"] if "file_pos" in df.columns else list(COLUMNS)
+    first = df.groupBy("item_id").agg(F.min_by(F.struct(*[F.col(c) for c in df.columns if c != "item_id"]), F.struct(*order)).alias("row"))
+    return ids.join(first, "item_id", "left").select(*ids.columns, "row.*", F.col("row").isNotNull().alias("known"))
+
+
 def equal(a: DataFrame, b: DataFrame) -> bool:
     """The same rows as often, in any order."""
     a, b = a.select(*COLUMNS), b.select(*COLUMNS)

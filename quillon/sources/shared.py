@@ -6,7 +6,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,3 +30,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def drop_path(spark: SparkSession, path: str) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder and read again: made once, whatever is asked of them, and lost with no executor."""
+    at, schema = scratch_path(df.sparkSession, name), df.schema
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(schema).parquet(at)
+
+
+def sized(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """A written table of short rows, to be broadcast if it is counted to hold few; else Spark shuffles both sides."""
+    return F.broadcast(df) if df.count() <= rows else df

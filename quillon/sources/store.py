@@ -118,6 +118,24 @@ def texts(spark: SparkSession, root: str, every_suffix: bool = False) -> DataFra
     return out.join(least, "path", "left_semi").select("item_id", "suffix", "path", "text", "bytes", "sha256")
 
 
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """(item_id, suffix, path, packed_bytes) of every file of a store; no file is opened."""
+    schema = "item_id string, suffix string, path string, packed_bytes long"
+    if "://" not in root and not any(Path(root).glob("*.gz")):
+        return spark.createDataFrame([], schema)
+    files = spark.read.format("binaryFile").load(f"{root}/*.gz").select("path", "length", F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B"))).alias("name"))
+    stem = r"^([^.].*)(\.[^.]*)\.gz$"
+    return files.where(F.col("name").rlike(stem)).select(F.regexp_extract("name", stem, 1).alias("item_id"), F.regexp_extract("name", stem, 2).alias("suffix"), "path", F.col("length").alias("packed_bytes"))
+
+
+def located(files: DataFrame, wanted: DataFrame, suffix: str | None = None) -> DataFrame:
+    """(wanted's columns, safe, found, suffix) of many ids at once: whether an id can name a file, and its first file, of that suffix or of any."""
+    own = files.where(F.col("suffix") == suffix) if suffix is not None else files
+    first = own.groupBy("item_id").agg(F.min("suffix").alias("suffix"))
+    asked = wanted.withColumn("__k", strip(text(F.col("item_id"))))
+    return asked.join(first.withColumnRenamed("item_id", "__k"), "__k", "left").select(*wanted.columns, is_safe(F.col("item_id")).alias("safe"), F.col("suffix").isNotNull().alias("found"), "suffix")
+
+
 def compact(spark: SparkSession, root: str, manifest: DataFrame, path: str) -> DataFrame:
     """The store as Parquet, partitioned by validity, so that searches of text in force read nothing else."""
     joined = texts(spark, root).join(manifest.select("item_id", "validity"), "item_id")

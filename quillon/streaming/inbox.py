@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quillon.operators import validate
+from quillon.sources import manifest as manifests
 
 
 def arriving(spark: SparkSession, inbox: str, files_at_once: int = 100) -> DataFrame:
-    """The rows of tab-separated files put into the inbox, validated, with the time they were read."""
-    schema = ", ".join(f"{c} string" for c in validate.COLUMNS)
-    rows = spark.readStream.option("maxFilesPerTrigger", files_at_once).csv(inbox, schema=schema, sep="\t", header=True, quote='"', escape='"', multiLine=True, enforceSchema=False)
-    return validate.validated(rows).withColumn("seen", F.current_timestamp())
+    """The rows of tab-separated files put into the inbox, validated, with the time they were read; rows of another width have an error."""
+    schema = ", ".join(f"{c} string" for c in validate.COLUMNS) + ", _corrupt string"
+    rows = spark.readStream.option("maxFilesPerTrigger", files_at_once).csv(inbox, schema=schema, sep="\t", header=True, quote='"', escape='"', multiLine=True, enforceSchema=False, columnNameOfCorruptRecord="_corrupt")
+    return manifests.width_checked(validate.validated(rows)).withColumn("seen", F.current_timestamp())
 
 
 def start(spark: SparkSession, inbox: str, accepted: str, quarantined: str, checkpoint: str, within: str = "1 day") -> StreamingQuery:

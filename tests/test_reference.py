@@ -80,12 +80,13 @@ def test_rejoining_is_the_fold_over_lines(spark):
     texts = [t for t in odd_texts(seed=2) if t] + ["means the California\nPrivacy Agency\n(a) one", "  first\nsecond", "ABC DEFGH\nx", "x\nABC DEFGH", "a\n\nb", "Ends.\nnext", "x\n§ 1"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     bare = F.transform(textexpr.split_lines(F.col("text")), textexpr.rstrip)
-    blocks = pdfclean.rejoined_blocks(df.select("doc_id", F.posexplode(bare).alias("line_no", "line")))
+    blocks = pdfclean.rejoined_blocks(df, bare)
     got = {}
     for r in blocks.orderBy("doc_id", "block").collect():
         got.setdefault(r.doc_id, []).append(r.text)
     assert [got.get(k, []) for k in range(len(texts))] == [wrapped_twin("\n".join(x.rstrip() for x in t.splitlines()) + "\n") for t in texts]
-    assert column(spark, texts, pdfclean.rejoined) == ["\n".join(wrapped_twin(t)) for t in texts]
+    whole = {r.doc_id: r.text for r in pdfclean.rejoined(df, bare).collect()}
+    assert [whole[k] or "" for k in range(len(texts))] == ["\n".join(got.get(k, [])) for k in range(len(texts))]
 
 
 # --- vocabulary, CELEX ---------------------------------------------------------------------------
@@ -325,6 +326,43 @@ def test_grep_pushes_the_validity_filter_and_prunes(spark, tmp_path):
     assert "EqualTo(validity,in-force)" in plan and "unused" not in plan and "Python" not in plan
 
 
+PATTERNS = [
+    "{", "}", "a{", "a{,2}b", "a{1,}", "a{2}", r"\w{x}", r"\U00000061", r"\u0061\x62", "[^]]a", "[]a]", "[[:x]ber", "[a&&b]", "[a&b^c]", r"\101", r"[\101]", r"\0", r"\v|\a", r"^\w+$", r"\bü", r"\Bé\b", r"\W\d", r"[\w.]+@",
+    r"[^\s\w]", r"[\S]x", r"(a)(?:b)\1", r"(?P<n>a)b(?P=n)", r"(?#note)ab", "(?<=a)b(?!c)", "a*?b", "a++b", r"a\Z", r"\Aa", "(?s:a.b)", "(?-i:A)", r"²|½", r"\.\-\#", "a|^$", r"[a\]b]", r"[\b]", "x{0}", "(?i)A",
+]
+
+
+def test_patterns_are_pythons(spark):
+    """All at once over odd lines, each in Java's dialect if there is such a form, and all must agree with re."""
+    lines = ["", "a", "A{", "a{x}", "aab", "b", "aaaaab}", "a{,2}b", "aba", "abab", "]a", "[a", "über", "x²y", "½", "caf\u0301é é", "a.b@c", "a&^c", " \u2003x", "\x0b\x07\x08", "\x00", "Sx1 #-.", "a\u200db", "ab c", "ABc", "\x1fz", "_1", "k\u212a"]
+    df = spark.createDataFrame(list(enumerate(lines)), "k int, x string")
+    got = df.select("k", *[search.matches(F.col("x"), p).alias(f"p{k}") for k, p in enumerate(PATTERNS)]).orderBy("k").collect()
+    for k, p in enumerate(PATTERNS):
+        assert [r[f"p{k}"] for r in got] == [bool(re.search(p, x, re.I)) for x in lines], p
+    assert sum(search.java_form(p) is None for p in PATTERNS) < 8
+
+
+def test_a_corpus_has_a_length_and_an_order(spark, root):
+    c = search.Corpus(spark, root)
+    assert len(c) == 4 and [r.item_id for r in c] == ["32016R0679", "aadhaar-s57", "bad", "ghost"]
+    bad = root / "BAD.tsv"
+    bad.write_text((root / "MANIFEST.tsv").read_text().replace("struck-down", "struck"))
+    with pytest.raises(errors.CorpusError, match="BAD.tsv line 3: validity 'struck'"):
+        search.Corpus(spark, root, "BAD.tsv")
+
+
+def test_containment_against_every_pair(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("ab é.") for _ in range(rng.randrange(1, 5)))
+    texts = [" ".join(word() for _ in range(rng.randrange(12))) for _ in range(60)] + [None, "", "aa"]
+    phrases = [" ".join(word() for _ in range(rng.randrange(1, 5))) for _ in range(60)] + [None, "", "a", "aa"]
+    t, p = spark.createDataFrame(list(enumerate(texts)), "t long, text string"), spark.createDataFrame(list(enumerate(phrases)), "p int, phrase string")
+    want = sorted((i, j) for i, x in enumerate(texts) for j, y in enumerate(phrases) if x is not None and y is not None and y in x)
+    for size in (8_000_000, 40):
+        assert sorted(map(tuple, analysis.contained(t, p, "t", "p", block_chars=size).collect())) == want
+    assert analysis.contained(t, p.limit(0), "t", "p").count() == 0
+
+
 def test_cli(spark, root, capsys):
     run = lambda *a: (cli.main(["--corpus", str(root), *a], spark), capsys.readouterr())
     code, out = run("32016R0679")
@@ -529,9 +567,9 @@ def test_fetching_a_worklist_and_ingesting(spark, tmp_path):
     out = {r.celex: r for r in texts.collect()}
     assert out["32016R0679"].text == "Body text.\n\nAnnex text.\n" and out["the GDPR"].text is None
     facts = raw_frame(spark, [GOOD, GOOD | dict(item_id="x", validity="repealed")])
-    good, refused, receipts = ingest.ingest(texts.where("text is not null").selectExpr("celex as item_id", "text").union(spark.createDataFrame([("x", "words"), ("y", " \n")], "item_id string, text string")), facts, str(tmp_path / "s"))
+    good, refused, receipts = ingest.ingest(texts.where("text is not null").selectExpr("celex as item_id", "text").union(spark.createDataFrame([("x", "words"), ("y", " \n"), ("z", "unstated"), (None, "no id"), ("d", "one"), ("d", "two")], "item_id string, text string")), facts.union(raw_frame(spark, [GOOD | dict(item_id="d"), GOOD | dict(item_id="nothing")])), str(tmp_path / "s"))
     assert receipts.count() == 1
-    assert {r.item_id: len(r.reasons) for r in refused.collect()} == {"x": 1, "y": 1}
+    assert {r.item_id: len(r.reasons) for r in refused.collect()} == {"x": 1, "y": 1, "z": 1, "": 1, "d": 1, "nothing": 1}
     row = good.first()
     assert store.Store(tmp_path / "s").verify("32016R0679", row.sha256) and row.bytes == len("Body text.\n\nAnnex text.\n")
     members = spark.createDataFrame([(bytearray(zipped),), (bytearray(b"x"),), (None,)], "z binary").select(fetch.unzipped(F.col("z")).alias("u"))
@@ -561,12 +599,13 @@ def test_controls_and_distributions(spark, root):
 def test_inbox(spark, tmp_path):
     (tmp_path / "in").mkdir()
     bad = GOOD | dict(item_id="bad", lang="x")
-    for name, rows in (("1.tsv", [GOOD, bad]), ("2.tsv", [GOOD, GOOD | dict(item_id="b")])):
+    for name, rows in (("1.tsv", [GOOD, bad]), ("2.tsv", [GOOD, GOOD | dict(item_id="b")]), ("3.tsv", [GOOD | dict(item_id="long", sha256="a" * 64 + "\tmore")])):
         (tmp_path / "in" / name).write_text("\n".join("\t".join(r[c] for c in validate.COLUMNS) for r in [dict(zip(validate.COLUMNS, validate.COLUMNS)), *rows]) + "\n")
     q = inbox.start(spark, str(tmp_path / "in"), str(tmp_path / "ok"), str(tmp_path / "bad"), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert sorted(r.item_id for r in spark.read.parquet(str(tmp_path / "ok")).collect()) == ["32016R0679", "b"]
-    assert [r.item_id for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == ["bad"]
+    out = {r.item_id: r.errors for r in spark.read.parquet(str(tmp_path / "bad")).collect()}
+    assert set(out) == {"bad", "long"} and [e.field for e in out["long"]] == ["row"]
 
 
 def test_catalogue_equals_its_sql(spark):
