@@ -27,10 +27,14 @@ def replies(conversations: DataFrame) -> DataFrame:
     role or text is ''.
     """
     own = conversations.select(F.col("conv_id").cast("long").alias("tree"), F.col("turn").cast("long").alias("node"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")])
-    own = own.where("tree IS NOT NULL AND node IS NOT NULL").groupBy("tree", "node").agg(F.min(F.struct("role", "text")).alias("m")).select("tree", "node", "m.*")
+    own = own.where("tree IS NOT NULL AND node IS NOT NULL")
+    #: turns are put in order without their texts, however many a conversation has
+    roles = own.groupBy("tree", "node").agg(F.min("role").alias("role"))
     turns = Window.partitionBy("tree").orderBy("node")
     before = F.when(F.col("role") != F.lag("role").over(turns), F.lag("node").over(turns))
-    return own.withColumn("__before", before).withColumn("parent", F.last("__before", ignorenulls=True).over(turns)).select("tree", "node", "parent", "role", "text")
+    parents = roles.withColumn("__before", before).select("tree", "node", F.last("__before", ignorenulls=True).over(turns).alias("parent"))
+    said = own.groupBy("tree", "node").agg(F.min(F.struct("role", "text")).alias("m"))
+    return said.join(parents, ["tree", "node"]).select("tree", "node", "parent", "m.role", "m.text")
 
 
 def branches(nodes: DataFrame, p: Params = Params()) -> DataFrame:
