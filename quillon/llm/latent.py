@@ -282,6 +282,11 @@ def signature(rows: np.ndarray, terms: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(out, axis=1).view(np.uint64)
 
 
+def folded(signatures: np.ndarray) -> np.ndarray:
+    """The eight words of each row made two, a bit set that is set in one of four."""
+    return np.bitwise_or.reduce(signatures.reshape(len(signatures), 4, 2), axis=1)
+
+
 def neighbourhood(rows: np.ndarray, terms: np.ndarray, n: int, span: tuple[int, int]) -> np.ndarray:
     """signature() of each block together with span[0] blocks before and span[1] - 1 after it."""
     own = signature(rows, terms, n)
@@ -314,13 +319,18 @@ def _found(table: DataFrame, items: Items, idf: np.ndarray, space: np.ndarray, p
         owner, target = owner[a.named], np.ascontiguousarray(target.T)
         weighted, per = space * idf[:, None], p.width // p.stride
         masks = [(_masks(w), len(w), _masks(x), len(x)) for w, x in zip(items.words, items.answers)]
+        wide = 4 * p.stride
         #: of an item's bits, all but one for each word it may lack must be set near a passage
         bits = np.concatenate([signature(np.zeros(len(w), np.int64), w, 1) for w in items.words])
         need = np.bitwise_count(bits).sum(axis=1) - np.array([len(w) - int(np.ceil(p.lcs * len(w) - 1e-9)) for w in items.words])
-        span = (-(-max(map(len, items.words)) // p.stride), per + -(-max(map(len, items.words)) // p.stride))
+        #: how far round a passage an item's words may lie, in blocks: its own size, rounded up to a power of two
+        reaches, reach = np.unique([1 << (-(-len(w) // p.stride) - 1).bit_length() for w in items.words], return_inverse=True)
+        #: the same by a quarter of the bits first, which rejects most at less cost
+        few_bits = np.ascontiguousarray(folded(bits).T)
+        few_need = np.bitwise_count(few_bits).sum(axis=0) - (np.bitwise_count(bits).sum(axis=1) - need)
 
         def search(ids, docs):
-            rows, terms, at, whose, first = [], [], [], [], []
+            rows, terms, at, whose, first, hits = [], [], [], [], [], []
             n = m = 0
             for k, words in enumerate(docs):
                 hit = np.flatnonzero(words >= 0)
@@ -328,12 +338,13 @@ def _found(table: DataFrame, items: Items, idf: np.ndarray, space: np.ndarray, p
                 blocks = len(starts) + per - 1
                 rows.append(n + np.minimum(hit // p.stride, blocks - 1))
                 terms.append(words[hit])
+                hits.append(hit)
                 at.append(starts)
                 whose.append(np.full(len(starts), k))
                 first.append(n + np.arange(len(starts)))
                 n += blocks
                 m += len(starts)
-            rows_all, terms_all = np.concatenate(rows), np.concatenate(terms)
+            terms_of, rows_all, terms_all = terms, np.concatenate(rows), np.concatenate(terms)
             live = idf[terms_all] > 0
             rows, terms = rows_all[live], terms_all[live]
             if not len(rows):
@@ -349,17 +360,33 @@ def _found(table: DataFrame, items: Items, idf: np.ndarray, space: np.ndarray, p
             norm = np.linalg.norm(y, axis=1)
             some = np.flatnonzero(norm > 0)
             y, at, whose = y[some] / norm[some, None], at[some], whose[some]
-            around = neighbourhood(rows_all, terms_all, n, span)[first[some]]
+            around = np.concatenate([neighbourhood(rows_all, terms_all, n, (int(r), per + int(r)))[first[some]] for r in reaches])
+            few_around, of_reach = np.ascontiguousarray(folded(around).T), reach * len(some)
             for k in range(0, len(y), 4096):
                 near = y[k : k + 4096] @ target
                 row, col = np.divmod(np.flatnonzero(near.ravel() >= p.cosine), near.shape[1])
                 item = owner[col]
-                enough = np.bitwise_count(around[k + row] & bits[item]).sum(axis=1) >= need[item]
-                for row, item, cosine in zip(row[enough], item[enough], near[row[enough], col[enough]].tolist()):
+                there = of_reach[item] + k + row
+                few = np.bitwise_count(few_around[0][there] & few_bits[0][item]) + np.bitwise_count(few_around[1][there] & few_bits[1][item])
+                left = np.flatnonzero(few >= few_need[item])
+                left = left[np.bitwise_count(around[there[left]] & bits[item[left]]).sum(axis=1) >= need[item[left]]]
+                row, item, col = row[left], item[left], col[left]
+                #: passages of a run that an item is near are tried together first: what all their words don't hold, none does
+                run = at[k + row] // wide
+                _, group, many = np.unique((whose[k + row] << 32 | run) * len(masks) + item, return_inverse=True, return_counts=True)
+                held = [None if m > 1 else True for m in many.tolist()]
+                for row, item, cosine, run, group in zip(row, item, near[row, col].tolist(), run.tolist(), group.tolist()):
                     passage = k + row
                     doc, start = whose[passage], int(at[passage])
                     whole, size, answer, answer_size = masks[item]
-                    part = docs[doc][max(0, start - size) : start + p.width + size].tolist()
+                    if held[group] is None:
+                        lo, hi = np.searchsorted(hits[doc], (wide * run - size, wide * (run + 1) - p.stride + p.width + size))
+                        held[group] = common_subsequence(whole, size, terms_of[doc][lo:hi].tolist()) / size >= p.lcs
+                    if not held[group]:
+                        continue
+                    #: words outside the vocabulary match nothing
+                    lo, hi = np.searchsorted(hits[doc], (start - size, start + p.width + size))
+                    part = terms_of[doc][lo:hi].tolist()
                     lcs = common_subsequence(whole, size, part) / size
                     if lcs < p.lcs:
                         continue
