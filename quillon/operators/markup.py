@@ -1,4 +1,4 @@
-"""Formex and CAML markup to text: mixed content, so a parser in Arrow-batched UDFs, all else in Catalyst.
+"""Formex and CAML markup to text: mixed content, so a parser in Python, which returns only what is asked for, cleaned.
 
 The parser refuses entity declarations, so nothing expands. Executors never fail for data: a document
 that can't be parsed has its reason in `error`.
@@ -10,12 +10,11 @@ import re
 from xml.etree import ElementTree
 from xml.parsers import expat
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.errors import CamlError, FormexError, QuillonError
-from quillon.functions.textexpr import LAYOUT, LAYOUT_TO, clean_markup, squeeze
+from quillon.functions.textexpr import LAYOUT, LAYOUT_TO, by_row, py_clean_markup
 
 BLOCK = frozenset("ALINEA ARTICLE CONSID DIVISION ITEM LIST NOTE NP P PARAG STI STI.ART TI TI.ART TITLE VISA".split())
 SPACED = frozenset(("NO.P", "NO.PARAG"))
@@ -84,14 +83,38 @@ def _direct(node: ElementTree.Element, tag: str) -> str:
     return "" if found is None else "".join(found.itertext())
 
 
-def _formex(source) -> tuple:
-    root = parse(source, FormexError)
-    articles = [(a.get("IDENTIFIER", ""), _direct(a, "TI.ART"), _direct(a, "STI.ART"), raw_text(a)) for a in root.iter("ARTICLE")]
-    return raw_text(root), articles, [("".join(r.itertext()), raw_text(r)) for r in root.iter("CONSID")]
+_NUMBER, _LABEL = re.compile(r"\d+[a-z]?"), re.compile(r"\((\d+)\)")
+HEAD = "identifier:string,number:string,heading:string"
+CAML = "struct<paragraphs:array<string>,error:string>"
 
 
-FORMEX = "raw string, articles array<struct<identifier:string,title:string,heading:string,raw:string>>, recitals array<struct<label:string,raw:string>>, error string"
-CAML = "paragraphs array<string>, error string"
+def article_number(title: str, identifier: str) -> str:
+    """The first number in the title, with a small letter, else the identifier without leading zeros."""
+    number = _NUMBER.search(title)
+    return number[0] if number else identifier.lstrip("0") or identifier
+
+
+def _numbered(root: ElementTree.Element):
+    """Every article in document order, nested ones too, with its identifier and number."""
+    for a in root.iter("ARTICLE"):
+        identifier = a.get("IDENTIFIER", "")
+        yield a, identifier, article_number(_direct(a, "TI.ART"), identifier)
+
+
+def _heads(source) -> list[tuple]:
+    return [(identifier, number, " ".join(_direct(a, "STI.ART").split())) for a, identifier, number in _numbered(parse(source, FormexError))]
+
+
+def _articles(source) -> list[tuple]:
+    return [(identifier, number, " ".join(_direct(a, "STI.ART").split()), py_clean_markup(raw_text(a))) for a, identifier, number in _numbered(parse(source, FormexError))]
+
+
+def _recitals(source) -> list[tuple]:
+    out = []
+    for r in parse(source, FormexError).iter("CONSID"):
+        label = _LABEL.search("".join(r.itertext()))
+        out.append((label[1] if label else "", py_clean_markup(raw_text(r))))
+    return out
 
 
 def _guarded(source, read, width: int) -> tuple:
@@ -101,14 +124,18 @@ def _guarded(source, read, width: int) -> tuple:
         return (*[None] * width, f"[{e.code}] {e.message}")
 
 
-def formex(source: Column) -> Column:
-    """A struct (FORMEX) of one document; all its parts are null if there is an error."""
+def _parts(read):
+    """The same without the error: a document that can't be parsed has no parts."""
 
-    def read(sources: pd.Series) -> pd.DataFrame:
-        rows = [_guarded(s, _formex, 3) for s in sources]
-        return pd.DataFrame(rows, columns=["raw", "articles", "recitals", "error"])
+    def parts(source):
+        return _guarded(source, lambda x: (read(x),), 1)[0]
 
-    return F.pandas_udf(read, FORMEX)(source)
+    return parts
+
+
+def formex(source: Column) -> Column:
+    """A struct (text, error) of one document, rendered and cleaned; text is null if there is an error."""
+    return by_row(lambda s: _guarded(s, lambda x: (py_clean_markup(raw_text(parse(x, FormexError))),), 1), "struct<text:string,error:string>")(source)
 
 
 def paragraphs_of(source) -> list[str]:
@@ -125,45 +152,51 @@ def paragraphs_of(source) -> list[str]:
 
 def caml(source: Column) -> Column:
     """A struct (CAML) of one document."""
-
-    def read(sources: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_guarded(s, lambda x: (paragraphs_of(x),), 1) for s in sources], columns=["paragraphs", "error"])
-
-    return F.pandas_udf(read, CAML)(source)
-
-
-def article_number(title: Column, identifier: Column) -> Column:
-    """The first number in the title, with a small letter, else the identifier without leading zeros."""
-    number = F.regexp_extract(title, "(?U)(\\d+[a-z]?)", 1)
-    bare = F.ltrim(identifier, F.lit("0"))
-    return F.when(number != "", number).when(bare != "", bare).otherwise(identifier)
+    return by_row(lambda s: _guarded(s, lambda x: (paragraphs_of(x),), 1), CAML)(source)
 
 
 def formex_texts(docs: DataFrame, source: str = "source", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(keep..., text, error): each document rendered and cleaned."""
-    return docs.select(*keep, formex(F.col(source)).alias("f")).select(*keep, clean_markup(F.col("f.raw")).alias("text"), F.col("f.error").alias("error"))
+    return docs.select(*keep, formex(F.col(source)).alias("f")).select(*keep, "f.text", "f.error")
+
+
+def article_heads(docs: DataFrame, source: str = "source", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keep..., ordinal, identifier, number, heading): formex_articles() without the texts, which aren't rendered."""
+    heads = by_row(_parts(_heads), f"array<struct<{HEAD}>>")
+    return docs.select(*keep, heads(F.col(source)).alias("f")).select(*keep, F.posexplode("f").alias("ordinal", "a")).select(*keep, "ordinal", "a.*")
 
 
 def formex_articles(docs: DataFrame, source: str = "source", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(keep..., ordinal, identifier, number, heading, text): every article in document order, nested ones too."""
-    rows = docs.select(*keep, formex(F.col(source)).alias("f")).select(*keep, F.posexplode("f.articles").alias("ordinal", "a"))
-    return rows.select(*keep, "ordinal", "a.identifier", article_number(F.col("a.title"), F.col("a.identifier")).alias("number"), squeeze(F.col("a.heading")).alias("heading"), clean_markup(F.col("a.raw")).alias("text"))
+    articles = by_row(_parts(_articles), f"array<struct<{HEAD},text:string>>")
+    return docs.select(*keep, articles(F.col(source)).alias("f")).select(*keep, F.posexplode("f").alias("ordinal", "a")).select(*keep, "ordinal", "a.*")
 
 
 def formex_recitals(docs: DataFrame, source: str = "source", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(keep..., ordinal, number, text): every recital in document order."""
-    rows = docs.select(*keep, formex(F.col(source)).alias("f")).select(*keep, F.posexplode("f.recitals").alias("ordinal", "r"))
-    return rows.select(*keep, "ordinal", F.regexp_extract("r.label", r"(?U)\((\d+)\)", 1).alias("number"), clean_markup(F.col("r.raw")).alias("text"))
+    recitals = by_row(_parts(_recitals), "array<struct<number:string,text:string>>")
+    return docs.select(*keep, recitals(F.col(source)).alias("f")).select(*keep, F.posexplode("f").alias("ordinal", "r")).select(*keep, "ordinal", "r.*")
 
 
 def article_text(docs: DataFrame, number, source: str = "source") -> DataFrame:
-    """(doc_id, text, available): of each document the first article of that number; without one, up to twelve numbers there are."""
+    """(doc_id, text, available): of each document the first article of that number; without one, up to twelve numbers there are.
+
+    Each document is answered where it is read: only the article asked for is rendered, and nothing is shuffled.
+    """
     wanted = str(number).strip().lower()
-    every = formex_articles(docs, source)
-    found = every.where(F.lower("number") == wanted).groupBy("doc_id").agg(F.min_by("text", "ordinal").alias("text"))
-    listed = every.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "number"))), lambda x: x["number"]).alias("n"))
-    out = docs.select("doc_id").join(listed, "doc_id", "left").join(found, "doc_id", "left")
-    return out.select("doc_id", "text", F.when(F.col("text").isNull(), F.coalesce(F.array_join(F.slice("n", 1, 12), ", "), F.lit("(none)"))).alias("available"))
+
+    def answer(xml) -> tuple:
+        numbers = []
+        try:
+            for a, _, n in _numbered(parse(xml, FormexError)):
+                if n.lower() == wanted:
+                    return py_clean_markup(raw_text(a)), None
+                numbers += [n] if len(numbers) < 12 else []
+        except FormexError:
+            pass
+        return None, ", ".join(numbers) if numbers else "(none)"
+
+    return docs.select("doc_id", by_row(answer, "struct<text:string,available:string>")(F.col(source)).alias("f")).select("doc_id", "f.*")
 
 
 def heading(paragraphs: Column) -> Column:

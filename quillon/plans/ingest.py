@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.textexpr import clean_markup, sha256, strip, text, utf8_size
+from quillon.functions.textexpr import sha256, strip, text, utf8_size
 from quillon.operators import markup, validate
 from quillon.sources import store
 
@@ -14,7 +14,7 @@ def rendered(fetched: DataFrame) -> DataFrame:
     """(celex, text, error): body and annexes rendered, one after the other, in order; a part that can't be parsed fails the whole."""
     parts = fetched.select("celex", F.col("error.message").alias("failed"), F.concat(F.array("body"), F.coalesce("annex_bodies", F.array().cast("array<binary>"))).alias("parts"))
     each = parts.select("celex", "failed", F.posexplode_outer("parts").alias("k", "part"))
-    drawn = each.select("celex", "failed", "k", markup.formex(F.when(F.col("failed").isNull(), F.col("part"))).alias("f")).select("celex", "failed", "k", clean_markup(F.col("f.raw")).alias("t"), F.col("f.error").alias("e"))
+    drawn = each.select("celex", "failed", "k", markup.formex(F.when(F.col("failed").isNull(), F.col("part"))).alias("f")).select("celex", "failed", "k", F.col("f.text").alias("t"), F.col("f.error").alias("e"))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", F.coalesce("t", F.lit("")).alias("t")))), lambda x: x["t"]), "\n")
     joined = drawn.groupBy("celex").agg(F.coalesce(F.max("failed"), F.max("e")).alias("error"), whole.alias("text"))
     blank = F.when(F.col("error").isNull() & (strip(F.col("text")) == ""), F.lit("the document has no text"))
