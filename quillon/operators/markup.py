@@ -138,21 +138,25 @@ def formex(source: Column) -> Column:
     return by_row(lambda s: _guarded(s, lambda x: (py_clean_markup(raw_text(parse(x, FormexError))),), 1), "struct<text:string,error:string>")(source)
 
 
-def paragraphs_of(source) -> list[str]:
-    """Paragraphs of any namespace: their text and, a blank before each, their direct children's text and tail."""
+def paragraphs_of(source, separators: bool = False) -> list[str]:
+    """Paragraphs of any namespace: their text and, a blank before each, their direct children's text and tail.
+
+    With separators, the blank of a child that nothing follows is kept: a label without a text stays a label.
+    """
     out = []
     for p in parse(source, CamlError).iter():
         if p.tag == "p" or p.tag.endswith("}p"):
             said = (p.text or "") + "".join(" " + (c.text or "") + (c.tail or "") for c in p)
             said = " ".join(said.translate(_TABLE).split())
             if said:
-                out.append(said)
+                last = p[-1] if separators and len(p) else None
+                out.append(said + " " if last is not None and not ((last.text or "") + (last.tail or "")).translate(_TABLE).strip() else said)
     return out
 
 
-def caml(source: Column) -> Column:
+def caml(source: Column, separators: bool = False) -> Column:
     """A struct (CAML) of one document."""
-    return by_row(lambda s: _guarded(s, lambda x: (paragraphs_of(x),), 1), CAML)(source)
+    return by_row(lambda s: _guarded(s, lambda x: (paragraphs_of(x, separators),), 1), CAML)(source)
 
 
 def formex_texts(docs: DataFrame, source: str = "source", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -205,8 +209,8 @@ def heading(paragraphs: Column) -> Column:
     return F.when(first.rlike(r"(?U)^\(\w+\)") | first.endswith(".") | (F.length(first) > 120), F.lit("")).otherwise(first)
 
 
-def caml_texts(docs: DataFrame, source: str = "source", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(keep..., heading, text, error)."""
-    rows = docs.select(*keep, caml(F.col(source)).alias("c"))
+def caml_texts(docs: DataFrame, source: str = "source", keep: tuple[str, ...] = ("doc_id",), separators: bool = False) -> DataFrame:
+    """(keep..., heading, text, error); separators as in paragraphs_of()."""
+    rows = docs.select(*keep, caml(F.col(source), separators).alias("c"))
     body = F.concat(F.array_join("c.paragraphs", "\n\n"), F.lit("\n"))
     return rows.select(*keep, F.when(F.col("c.error").isNull(), heading(F.col("c.paragraphs"))).alias("heading"), body.alias("text"), F.col("c.error").alias("error"))
