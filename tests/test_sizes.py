@@ -1,9 +1,14 @@
 """What a worker, the driver or a shuffle holds: steps that once grew with the corpus, and blank texts."""
 
-from pyspark.sql import functions as F
+from collections import Counter
+
+import duckdb
+import pytest
 
 from quillon.functions import textexpr
 from quillon.operators import markup
+from quillon.plans import catalogue
+from quillon.sources import store
 from tests.test_reference import clean_twin, docs, odd_texts
 
 
@@ -35,3 +40,34 @@ def test_an_article_is_answered_where_its_document_is_read(spark):
 def test_heads_are_the_articles_without_texts(spark):
     df = docs(spark, ACT, "<broken")
     assert markup.article_heads(df).collect() == markup.formex_articles(df).drop("text").collect()
+
+
+@pytest.fixture(scope="module")
+def blanks(spark, tmp_path_factory):
+    """A folder of documents, whose texts are empty, blank or short."""
+    at = str(tmp_path_factory.mktemp("blanks"))
+    rows = [(k, ("", " ", "\n \n", f"text {k}\nand  more\n", f"Text {k}.")[k % 5], "en", f"src{k % 3}", 0) for k in range(105)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{at}/documents.parquet")
+    return at
+
+
+@pytest.mark.parametrize("name", ["caml_sections", "ingest_refused", "store_located", "stored_texts"])
+def test_blank_texts_are_as_the_sql_has_them(spark, blanks, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{blanks}/documents.parquet/*.parquet'")
+    got = catalogue.QUERIES[name](spark, blanks)
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({catalogue.ORACLE[name]})").fetchall()
+    assert Counter(map(tuple, got.collect())) == Counter(want)
+
+
+def test_a_label_without_a_text_loses_its_blank_unless_asked(spark):
+    df = docs(spark, '<x><p/><p>(a)<s/></p><p><s/></p><p>(b)<s/>y</p></x>')
+    assert markup.caml_texts(df).first().text == "(a)\n\n(b) y\n"
+    assert markup.caml_texts(df, separators=True).first().text == "(a) \n\n(b) y\n"
+
+
+def test_empty_texts_are_stored_only_when_asked(spark, tmp_path):
+    df = spark.createDataFrame([("a", ""), ("b", None), ("c", "x")], "item_id string, text string")
+    kept = lambda at, **how: {r.item_id for r in store.write_texts(df, str(tmp_path / at), **how).collect() if r.error is None}
+    assert kept("no") == {"c"} and kept("yes", empty=True) == {"a", "c"}
+    assert {(r.item_id, r.text) for r in store.texts(spark, str(tmp_path / "yes")).collect()} == {("a", ""), ("c", "x")}
