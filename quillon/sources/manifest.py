@@ -6,6 +6,7 @@ import csv
 import io
 from pathlib import Path
 
+import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from quillon.errors import ManifestError
 from quillon.functions.textexpr import text
 from quillon.operators import validate
 from quillon.operators.validate import COLUMNS, Item
+from quillon.sources import shared
 
 
 def read_items(path) -> list[Item]:
@@ -56,27 +58,52 @@ def width_checked(checked: DataFrame) -> DataFrame:
 
 
 def write(df: DataFrame, path) -> int:
-    """One sorted, exactly quoted file, written row by row on the driver, at a path or a URI; ids must be unique. Returns the rows."""
-    twice = validate.duplicate_ids(df).orderBy("item_id").limit(1).collect()
-    if twice:
-        raise ManifestError(f"item_id '{twice[0][0]}' is on {twice[0][1]} rows.")
-    n = 0
-    with _created(path) as f:
-        out = csv.writer(f, delimiter="\t", lineterminator="\n")
-        out.writerow(COLUMNS)
-        for row in df.select(*COLUMNS).orderBy("item_id").toLocalIterator():
-            out.writerow(row)
-            n += 1
-    return n
+    """One sorted, exactly quoted file at a path or a URI; ids must be unique. Returns the rows.
+
+    The executors sort and quote the rows and write them in parts, whose bytes are then put one after
+    the other, a few MB at a time: no row is sent to the driver.
+    """
+    spark = df.sparkSession
+    at = shared.scratch_path(spark, "manifest-parts")
+    own = df.select(*COLUMNS)
+    own.write.parquet(f"{at}/rows")
+    own = spark.read.schema(own.schema).parquet(f"{at}/rows")
+    try:
+        twice = validate.duplicate_ids(own).orderBy("item_id").limit(1).collect()
+        if twice:
+            raise ManifestError(f"item_id '{twice[0][0]}' is on {twice[0][1]} rows.")
+        own.orderBy("item_id").mapInArrow(_quoted, "value string").write.text(f"{at}/lines", compression="none", lineSep="\n")
+        fs, base = pyarrow.fs.FileSystem.from_uri(f"{at}/lines")
+        parts = [i.path for i in fs.get_file_info(pyarrow.fs.FileSelector(base)) if i.base_name.startswith("part-")]
+        with _created(path) as f:
+            f.write(("\t".join(COLUMNS) + "\n").encode())
+            for part in sorted(parts, key=lambda p: int(p.rsplit("/part-", 1)[1].split("-")[0])):
+                with fs.open_input_stream(part, compression=None) as lines:
+                    while chunk := lines.read(4_000_000):
+                        f.write(chunk)
+        return own.count()
+    finally:
+        shared.drop_path(spark, at)
+
+
+def _quoted(batches):
+    """Rows as lines of the file, without their ends."""
+    for batch in batches:
+        out = []
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            line = io.StringIO()
+            csv.writer(line, delimiter="\t", lineterminator="").writerow(row)
+            out.append(line.getvalue())
+        yield pa.record_batch([pa.array(out, pa.string())], names=["value"])
 
 
 def _created(path):
     if "://" in str(path):
         fs, at = pyarrow.fs.FileSystem.from_uri(str(path))
         fs.create_dir(at.rpartition("/")[0], recursive=True)
-        return io.TextIOWrapper(fs.open_output_stream(at), encoding="utf-8", newline="")
+        return fs.open_output_stream(at, compression=None)
     Path(path).parent.mkdir(parents=True, exist_ok=True)
-    return Path(path).open("w", encoding="utf-8", newline="")
+    return Path(path).open("wb")
 
 
 def write_parts(df: DataFrame, path: str) -> None:

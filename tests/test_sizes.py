@@ -1,15 +1,16 @@
 """What a worker, the driver or a shuffle holds: steps that once grew with the corpus, and blank texts."""
 
+import csv
 from collections import Counter
 
 import duckdb
 import pytest
 
 from quillon.functions import textexpr
-from quillon.operators import markup, pdfclean
+from quillon.operators import markup, pdfclean, validate
 from quillon.plans import catalogue
-from quillon.sources import store
-from tests.test_reference import clean_twin, docs, odd_texts
+from quillon.sources import manifest, store
+from tests.test_reference import clean_twin, docs, items, odd_texts
 
 
 def plan(df) -> str:
@@ -86,3 +87,14 @@ def test_a_documents_pages_come_together_once(spark):
     assert plan(out).count("Exchange hashpartitioning") == 1 and "Join" not in plan(out)
     got = {r.doc_id: (r.text, r.error and r.error.code) for r in out.collect()}
     assert got == {"a": ("one more\n", None), "b": (None, "BK_PDF_EXTRACT"), "c": ("3 alone\n", None)}
+
+
+def test_a_sorted_manifest_isnt_sent_to_the_driver(spark, tmp_path, monkeypatch):
+    odd = [dict(item_id=k, title=t) for k, t in (("b", 'say "x"'), ("a", "tab\there"), ("é", "two\nlines\r"), ("c", "c"), ("10", " x"), ("9", "'"))]
+    df = items(spark, *odd).repartition(3)
+    rows = [tuple(r) for r in df.select(*validate.COLUMNS).orderBy("item_id").collect()]
+    monkeypatch.setattr(type(df), "toLocalIterator", None)
+    assert manifest.write(df, tmp_path / "m" / "M.tsv") == 6 and manifest.write(df, f"file://{tmp_path}/u/M.tsv") == 6
+    with open(tmp_path / "want.tsv", "w", encoding="utf-8", newline="") as f:
+        csv.writer(f, delimiter="\t", lineterminator="\n").writerows([validate.COLUMNS, *rows])
+    assert (tmp_path / "m" / "M.tsv").read_bytes() == (tmp_path / "want.tsv").read_bytes() == (tmp_path / "u" / "M.tsv").read_bytes()
