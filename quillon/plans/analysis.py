@@ -18,10 +18,10 @@ from quillon.operators.search import matching_lines
 def sweep(manifest: DataFrame, texts: DataFrame, families: dict[str, str], in_force_only: bool = False) -> DataFrame:
     """(family, item's keys, line_no, line) for each line and each of the named patterns it holds, in one scan of the texts.
 
-    The patterns are literals of the plan, compiled once a task; only hits meet the manifest.
+    Texts go to Python a hundred at a time; only hits meet the manifest.
     """
     items = manifest.where(F.col("validity") == "in-force") if in_force_only else manifest
-    hits = matching_lines(texts, families, "item_id").join(items.select("item_id", "authority_tier", "authority_rank", "validity"), "item_id")
+    hits = matching_lines(texts, families, "item_id", in_python=True).join(items.select("item_id", "authority_tier", "authority_rank", "validity"), "item_id")
     return hits.select("item_id", "authority_tier", "authority_rank", "validity", "line_no", F.col("raw").alias("line"), F.explode("found").alias("family"))
 
 

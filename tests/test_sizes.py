@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from quillon.functions import textexpr
-from quillon.operators import markup, pdfclean, validate
+from quillon.operators import markup, pdfclean, search, validate
 from quillon.plans import catalogue
 from quillon.sources import manifest, store
 from tests.test_reference import clean_twin, docs, items, odd_texts
@@ -89,6 +89,24 @@ def test_a_documents_pages_come_together_once(spark):
     assert got == {"a": ("one more\n", None), "b": (None, "BK_PDF_EXTRACT"), "c": ("3 alone\n", None)}
 
 
+def test_lines_are_searched_in_python_where_a_text_is_read(spark):
+    df = spark.createDataFrame([("a", "x\u2028A licence\r\nthe\n"), ("b", None), ("c", "")], "item_id string, text string")
+    out = search.matching_lines(df, {"l": "licen[cs]e", "a": "^a|^t"}, "item_id", in_python=True)
+    assert "BatchEvalPython" in plan(out) and "Exchange" not in plan(out)
+    assert [tuple(r) for r in out.collect()] == [("a", 2, "A licence", ["l", "a"]), ("a", 3, "the", ["a"])]
+
+
+def test_clusters_look_for_their_own_family_only(spark, blanks):
+    seen = []
+    one = catalogue.analysis.sweep
+    catalogue.analysis.sweep = lambda m, t, families: seen.append(families) or one(m, t, families)
+    try:
+        assert "BatchEvalPython" in plan(catalogue.QUERIES["hit_clusters"](spark, blanks))
+    finally:
+        catalogue.analysis.sweep = one
+    assert seen == [{"licence": catalogue.FAMILIES["licence"]}]
+
+
 def test_a_sorted_manifest_isnt_sent_to_the_driver(spark, tmp_path, monkeypatch):
     odd = [dict(item_id=k, title=t) for k, t in (("b", 'say "x"'), ("a", "tab\there"), ("é", "two\nlines\r"), ("c", "c"), ("10", " x"), ("9", "'"))]
     df = items(spark, *odd).repartition(3)
