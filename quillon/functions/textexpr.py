@@ -62,8 +62,11 @@ def clean_markup(raw: Column) -> Column:
 
 
 def by_row(f, kind: str):
-    """A function of values as a column's. Python gets a hundred rows at a time, not an Arrow batch of ten thousand, so that long texts don't fill the workers."""
-    return F.udf(f, kind, useArrow=False)
+    """A function of values as a column's. Python gets a hundred rows at a time, not an Arrow batch of ten thousand, so that long texts don't fill the workers.
+
+    It counts as not deterministic, else a filter that Spark infers from explode() runs it once more.
+    """
+    return F.udf(f, kind, useArrow=False).asNondeterministic()
 
 
 _WRAPPED, _BLANKS, _EMPTY = re.compile(r"\n(?<![.:;)\]]\n)(?=[a-z(])"), re.compile(r"[ \t]{2,}"), re.compile(r"\n{3,}")
